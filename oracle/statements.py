@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from oracle import base
+from oracle import base, reference
 
 
 def build() -> dict[str, str]:
     out = {f"axis_{a}": base.axis_sql(a) for a in base.AXIS}
     out["fingerprint_axes"] = f"{base.FINGERPRINT}\nSELECT piece_id, axis, value FROM raw"
+    out.update(reference.build())
     return out

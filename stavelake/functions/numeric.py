@@ -42,3 +42,8 @@ def clamp(x: Column, lo: float, hi: float) -> Column:
 def half_even(x: Column) -> Column:
     """Round an already scaled value to a whole number, ties to even."""
     return F.rint(x)
+
+
+def round_clean(x: Column, digits: int) -> Column:
+    """Round for reporting; the inner step removes summation noise so exact ties round one way."""
+    return F.round(F.round(x, 9), digits)

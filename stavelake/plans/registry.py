@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.operators import axes
+from stavelake.operators import axes, corpus, gates
+from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.sources import tables
 
@@ -30,7 +31,84 @@ def fingerprint_axes(spark, sf_dir):
     return r6(axes.fingerprint(frames(spark, sf_dir)), "value")
 
 
+# -- reference distribution and gates ----------------------------------------------------------
+_CORPORA: dict[tuple[str, str], Corpus] = {}
+
+
+def corpus_of(spark, sf_dir) -> Corpus:
+    """The reference distribution of a data set, built once per application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _CORPORA:
+        fr = frames(spark, sf_dir)
+        keep = corpus.admitted(fr.pieces, fr.voices)
+        _CORPORA[key] = Corpus(axes.fingerprint(Frames(fr.events, keep), ("genre",)))
+        fr.release()
+    return _CORPORA[key]
+
+
+def forget() -> None:
+    """Drop the distributions kept by corpus_of (the bench measures from scratch)."""
+    _CORPORA.clear()
+
+
+def corpus_balanced_values(spark, sf_dir):
+    return corpus_of(spark, sf_dir).balanced
+
+
+def corpus_breakpoints(spark, sf_dir):
+    return corpus_of(spark, sf_dir).breakpoints
+
+
+def corpus_shapes(spark, sf_dir):
+    return r6(corpus_of(spark, sf_dir).shapes(), "mean", "sd", "skew", "kurt", "bc", "modal_share")
+
+
+def corpus_genre_bands(spark, sf_dir):
+    return corpus_of(spark, sf_dir).genre_bands
+
+
+def corpus_extreme_budget(spark, sf_dir):
+    return r6(corpus_of(spark, sf_dir).extreme_budget, "mean")
+
+
+def percentile_profile(spark, sf_dir):
+    return corpus_of(spark, sf_dir).profile_report()
+
+
+def band_profile(spark, sf_dir):
+    return gates.band_profile(corpus_of(spark, sf_dir).profile)
+
+
+def band_summary(spark, sf_dir):
+    return r6(gates.band_summary(corpus_of(spark, sf_dir).profile), "spread", "from_center")
+
+
+def genre_band_check(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return gates.genre_band_check(c, c.profile)
+
+
+def global_band_check(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return gates.global_band_check(c, c.profile)
+
+
+def genre_extremes(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return gates.genre_extremes(c, c.profile)
+
+
+def genre_fit(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return gates.band_occupancy(c, c.profile)
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
-    out["fingerprint_axes"] = fingerprint_axes
+    for q in (
+        fingerprint_axes, corpus_balanced_values, corpus_breakpoints, corpus_shapes, corpus_genre_bands,
+        corpus_extreme_budget, percentile_profile, band_profile, band_summary, genre_band_check, global_band_check,
+        genre_extremes, genre_fit,
+    ):
+        out[q.__name__] = q
     return out
