@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from oracle.base import FINGERPRINT
 
-BP = ("round(round(quantile_cont(value, 0.05), 9), 4) AS p5, round(round(quantile_cont(value, 0.25), 9), 4) AS p25, round(round(quantile_cont(value, 0.5), 9), 4) AS p50,"
-      " round(round(quantile_cont(value, 0.75), 9), 4) AS p75, round(round(quantile_cont(value, 0.95), 9), 4) AS p95, round(round(avg(value), 9), 4) AS mean,"
-      " round(round(stddev_pop(value), 9), 4) AS sd, round(round(min(value), 9), 4) AS min, round(round(max(value), 9), 4) AS max")
+BP = ("round(CAST(quantile_cont(value, 0.05) AS DECIMAL(28,9)), 4)::DOUBLE AS p5, round(CAST(quantile_cont(value, 0.25) AS DECIMAL(28,9)), 4)::DOUBLE AS p25, round(CAST(quantile_cont(value, 0.5) AS DECIMAL(28,9)), 4)::DOUBLE AS p50,"
+      " round(CAST(quantile_cont(value, 0.75) AS DECIMAL(28,9)), 4)::DOUBLE AS p75, round(CAST(quantile_cont(value, 0.95) AS DECIMAL(28,9)), 4)::DOUBLE AS p95, round(CAST(avg(value) AS DECIMAL(28,9)), 4)::DOUBLE AS mean,"
+      " round(CAST(stddev_pop(value) AS DECIMAL(28,9)), 4)::DOUBLE AS sd, round(CAST(min(value) AS DECIMAL(28,9)), 4)::DOUBLE AS min, round(CAST(max(value) AS DECIMAL(28,9)), 4)::DOUBLE AS max")
 
 # The balanced values are spelled out row by row here, one per resampling index.
 CORPUS = FINGERPRINT + f""",

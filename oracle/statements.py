@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from oracle import base, reference
+from oracle import base, overlap, reference
 
 
 def build() -> dict[str, str]:
     out = {f"axis_{a}": base.axis_sql(a) for a in base.AXIS}
     out["fingerprint_axes"] = f"{base.FINGERPRINT}\nSELECT piece_id, axis, value FROM raw"
-    out.update(reference.build())
+    for part in (reference, overlap):
+        out.update(part.build())
     return out

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.operators import axes, corpus, gates
+from stavelake.operators import axes, calibrate, corpus, gates, overlap, retrieval
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.sources import tables
@@ -103,12 +103,54 @@ def genre_fit(spark, sf_dir):
     return gates.band_occupancy(c, c.profile)
 
 
+# -- copy risk and retrieval -------------------------------------------------------------------
+def copy_risk(spark, sf_dir):
+    n = tables.notes(spark, sf_dir)
+    return overlap.copy_risk(n, n)
+
+
+def copy_overlap_exact(spark, sf_dir):
+    n = tables.notes(spark, sf_dir)
+    return r6(overlap.corpus_overlap(n, n, top_k=None).drop("bar_offset"), "overlap")
+
+
+def copy_budget(spark, sf_dir):
+    n = tables.notes(spark, sf_dir)
+    return calibrate.copy_budget(overlap.corpus_overlap(n, n), tables.pieces(spark, sf_dir))
+
+
+def _neighbors(spark, sf_dir):
+    v = retrieval.vectors(corpus_of(spark, sf_dir).profile)
+    return retrieval.nearest(v, v)
+
+
+def nearest_neighbors(spark, sf_dir):
+    return r6(_neighbors(spark, sf_dir).withColumnRenamed("key", "piece_id"), "dist")
+
+
+def neighbor_tendencies(spark, sf_dir):
+    df = retrieval.tendencies(_neighbors(spark, sf_dir), corpus_of(spark, sf_dir).profile)
+    return r6(df.withColumnRenamed("key", "piece_id"), "center")
+
+
+def centroid_exemplars(spark, sf_dir):
+    return r6(retrieval.exemplars(corpus_of(spark, sf_dir).profile), "dist")
+
+
+def embedding_neighbors(spark, sf_dir):
+    v = tables.read_table(spark, sf_dir, "embeddings").select(
+        F.col("vec_id").alias("key"), F.col("embedding").cast("array<double>").alias("vec")
+    )
+    return r6(retrieval.nearest(v, v).withColumnRenamed("key", "vec_id"), "dist")
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for q in (
         fingerprint_axes, corpus_balanced_values, corpus_breakpoints, corpus_shapes, corpus_genre_bands,
         corpus_extreme_budget, percentile_profile, band_profile, band_summary, genre_band_check, global_band_check,
-        genre_extremes, genre_fit,
+        genre_extremes, genre_fit, copy_risk, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
+        centroid_exemplars, embedding_neighbors,
     ):
         out[q.__name__] = q
     return out
