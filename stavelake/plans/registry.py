@@ -7,9 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.operators import axes, calibrate, corpus, gates, overlap, retrieval
+from stavelake.operators import axes, bank, calibrate, corpus, gates, overlap, retrieval
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
+from stavelake.operators.structure import Structure
 from stavelake.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -144,13 +145,28 @@ def embedding_neighbors(spark, sf_dir):
     return r6(retrieval.nearest(v, v).withColumnRenamed("key", "vec_id"), "dist")
 
 
+# -- legacy metric bank ------------------------------------------------------------------------
+def _bank(part) -> Query:
+    return lambda spark, sf_dir: r6(bank.bank(frames(spark, sf_dir), part), "value")
+
+
+def bank_candidates(spark, sf_dir):
+    return r6(bank.candidates(frames(spark, sf_dir)), "value")
+
+
+def bar_similarity(spark, sf_dir):
+    return r6(Structure(frames(spark, sf_dir)).similar_bars.select("piece_id", "b1", "b2", "sim"), "sim")
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
+    for part in bank.PARTS:
+        out[f"bank{part.__name__}"] = _bank(part)
     for q in (
         fingerprint_axes, corpus_balanced_values, corpus_breakpoints, corpus_shapes, corpus_genre_bands,
         corpus_extreme_budget, percentile_profile, band_profile, band_summary, genre_band_check, global_band_check,
         genre_extremes, genre_fit, copy_risk, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
-        centroid_exemplars, embedding_neighbors,
+        centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity,
     ):
         out[q.__name__] = q
     return out
