@@ -47,3 +47,12 @@ def half_even(x: Column) -> Column:
 def round_clean(x: Column, digits: int) -> Column:
     """Round for reporting; the inner step removes summation noise so exact ties round one way."""
     return F.round(F.round(x, 9), digits)
+
+
+def chance(salt: str, *parts: Column) -> Column:
+    """A uniform number in [0, 1) fixed by the key columns and the salt.
+
+    Hash-based, so an edit does not depend on partitioning or on the run.
+    """
+    text = F.concat_ws("|", F.lit(salt), *[p.cast("string") for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 8), 16, 10).cast("long") / float(1 << 32)

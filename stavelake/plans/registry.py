@@ -3,14 +3,17 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.operators import axes, bank, calibrate, corpus, gates, overlap, retrieval
+from stavelake.functions import pitch
+from stavelake.operators import anomaly, axes, bank, calibrate, corpus, facts, gates, levers, overlap, patterns, retrieval
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
+from stavelake.session import cut_lineage
 from stavelake.sources import tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -158,15 +161,109 @@ def bar_similarity(spark, sf_dir):
     return r6(Structure(frames(spark, sf_dir)).similar_bars.select("piece_id", "b1", "b2", "sim"), "sim")
 
 
+# -- pattern catalogue -------------------------------------------------------------------------
+PATTERN_KINDS = {"harmony": "H", "melody": "M", "rhythm": "R", "form": "F", "texture": "T"}
+
+
+def _patterns(kind) -> Query:
+    return lambda spark, sf_dir: patterns.detect(frames(spark, sf_dir), kind)
+
+
+def pattern_catalog(spark, sf_dir):
+    return patterns.catalog(cut_lineage(patterns.detect(frames(spark, sf_dir))))
+
+
+# -- facts, edits and anomalies ----------------------------------------------------------------
+def encoding_cost(spark, sf_dir):
+    return facts.encoding_cost(frames(spark, sf_dir))
+
+
+def ground_truth(spark, sf_dir):
+    return facts.ground_truth(frames(spark, sf_dir))
+
+
+def constant_baselines(spark, sf_dir):
+    return r6(facts.constant_baselines(cut_lineage(facts.ground_truth(frames(spark, sf_dir)))), "accuracy")
+
+
+def key_guess(spark, sf_dir):
+    return r6(facts.key_guess(frames(spark, sf_dir)), "outside")
+
+
+def difficulty_grade(spark, sf_dir):
+    return facts.difficulty(frames(spark, sf_dir))
+
+
+def bar_chords(spark, sf_dir):
+    return facts.bar_chords(frames(spark, sf_dir))
+
+
+def _keys(spark, sf_dir) -> DataFrame:
+    tonic = F.array_position(F.array(*map(F.lit, pitch.SHARP_NAMES)), F.col("tonic")) - 1
+    return facts.key_guess(frames(spark, sf_dir)).select("piece_id", anomaly.key_mask(tonic, F.col("mode")).alias("key"))
+
+
+def anomaly_sites(spark, sf_dir):
+    """The edit each single-token injector would make, one per piece and kind."""
+    n, keys = tables.notes(spark, sf_dir), _keys(spark, sf_dir)
+    kinds = [k for k in anomaly.KINDS if k != "parallel_fifths"]
+    df = reduce(DataFrame.unionByName, [anomaly.site(n, k, 0, keys) for k in kinds])
+    joined = {c: F.array_join(F.col(c).cast("array<string>"), "+") for c in ("old", "new")}
+    return df.withColumns(joined).select("piece_id", "kind", "bar", "voice", "slot", "dur_slots", "old", "new")
+
+
+def anomaly_verify(spark, sf_dir):
+    return anomaly.verify(tables.notes(spark, sf_dir), _keys(spark, sf_dir))
+
+
+def anomaly_heuristic(spark, sf_dir):
+    return anomaly.bar_heuristic(tables.notes(spark, sf_dir), _keys(spark, sf_dir))
+
+
+def anomaly_detection(spark, sf_dir):
+    """Inject an overlong note into every piece and score the rule baseline on edited and original pieces."""
+    n = tables.notes(spark, sf_dir)
+    site = cut_lineage(anomaly.site(n, "meter_glitch"))
+    tag = F.concat(F.col("piece_id"), F.lit("*"))
+    dirty = anomaly.inject(n, site).withColumn("piece_id", tag)
+    both = n.withColumn("piece_id", F.col("piece_id").cast("string")).unionByName(dirty)
+    keys = _keys(spark, sf_dir)
+    keys = keys.withColumn("piece_id", F.col("piece_id").cast("string")).unionByName(keys.withColumn("piece_id", tag))
+    clean = tables.pieces(spark, sf_dir).select(
+        F.col("piece_id").cast("string"), F.lit(False).alias("has_anomaly"), F.lit(None).cast("int").alias("bar"), F.lit(None).cast("string").alias("kind")
+    )
+    cases = clean.unionByName(site.select(tag.alias("piece_id"), F.lit(True).alias("has_anomaly"), "bar", "kind"))
+    return anomaly.detection(cases, anomaly.bar_heuristic(both, keys))
+
+
+LEVER_DOSE = 0.5
+
+
+def _lever(metric) -> Query:
+    def query(spark, sf_dir):
+        edited = levers.perturb(tables.notes(spark, sf_dir), metric, LEVER_DOSE)
+        return edited.groupBy("piece_id").agg(
+            F.count(F.lit(1)).alias("n"), F.sum("slot").cast("long").alias("sum_slot"), F.sum("dur_slots").cast("long").alias("sum_dur"),
+            F.sum("midi").alias("sum_midi"), F.sum(F.col("bar") * F.col("midi")).alias("sum_bar"), F.sum("grid").alias("sum_grid"),
+        )
+    return query
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
         out[f"bank{part.__name__}"] = _bank(part)
+    for name, kind in PATTERN_KINDS.items():
+        out[f"patterns_{name}"] = _patterns(kind)
+    for metric in levers.LEVERS:
+        out[f"lever_{metric}"] = _lever(metric)
     for q in (
         fingerprint_axes, corpus_balanced_values, corpus_breakpoints, corpus_shapes, corpus_genre_bands,
         corpus_extreme_budget, percentile_profile, band_profile, band_summary, genre_band_check, global_band_check,
         genre_extremes, genre_fit, copy_risk, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
-        centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity,
+        centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity, pattern_catalog,
+        encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
+        anomaly_verify, anomaly_heuristic, anomaly_detection,
     ):
         out[q.__name__] = q
     return out
