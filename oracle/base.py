@@ -44,10 +44,10 @@ ch AS (SELECT piece_id, q, max(k) AS k, list_sort(list((pc - mn + 12) % 12)) AS
        list((pc - b + 12) % 12) AS iv FROM instb GROUP BY ALL),
 barpc AS (SELECT DISTINCT piece_id, bar, pc FROM n),
 barset AS (SELECT piece_id, bar, list(pc) AS s FROM barpc GROUP BY ALL),
-spine AS (SELECT piece_id, b.bar, coalesce(s, []) AS s FROM p CROSS JOIN (SELECT unnest(range(1, 33)) AS bar) b
+spine AS (SELECT piece_id, bar, coalesce(s, []) AS s FROM (SELECT piece_id, unnest(range(1, n_bars + 1)) AS bar FROM p) b
           LEFT JOIN barset USING (piece_id, bar)),
-barn AS (SELECT piece_id, b.bar, count(n.bar) AS k, max(midi) - min(midi) AS span FROM p
-         CROSS JOIN (SELECT unnest(range(1, 33)) AS bar) b LEFT JOIN n USING (piece_id, bar) GROUP BY ALL)
+barn AS (SELECT b.piece_id, b.bar, count(n.bar) AS k, max(midi) - min(midi) AS span FROM (SELECT piece_id, unnest(range(1, n_bars + 1)) AS bar FROM p) b
+         LEFT JOIN n ON n.piece_id = b.piece_id AND n.bar = b.bar GROUP BY ALL)
 """
 
 MAJOR = "[0,2,4,5,7,9,11]"
@@ -110,7 +110,7 @@ AXIS = {
     " USING (piece_id, root) GROUP BY ALL",
     "note_density_bar_variability": "SELECT piece_id, stddev_pop(k) / avg(k) AS v FROM barn GROUP BY ALL HAVING avg(k) > 0",
     "offbeat_onset_ratio": f"SELECT piece_id, avg(CASE WHEN {_BEAT} > 0.08 THEN 1.0::DOUBLE ELSE 0 END) AS v FROM n GROUP BY ALL",
-    "onset_density": "SELECT piece_id, count(DISTINCT (voice, abs)) / 32.0::DOUBLE AS v FROM n GROUP BY ALL",
+    "onset_density": "SELECT piece_id, count(DISTINCT (voice, abs)) / any_value(n_bars)::DOUBLE AS v FROM n JOIN p USING (piece_id) GROUP BY piece_id",
     "onset_synchrony": "SELECT piece_id, avg(CASE WHEN k >= 2 THEN 1.0::DOUBLE ELSE 0 END) AS v FROM (SELECT piece_id,"
     " count(DISTINCT voice) AS k FROM n WHERE NOT is_drum GROUP BY piece_id, round_even(abs * 4, 0)) GROUP BY ALL",
     "pc_entropy": "SELECT piece_id, -sum(CASE WHEN w > 0 THEN w / t * ln(w / t) ELSE 0 END) / ln(12) AS v FROM pcw"
@@ -159,3 +159,12 @@ def fingerprint_cte() -> str:
 
 
 FINGERPRINT = f"{PRELUDE},\n{fingerprint_cte()}"
+
+
+def derived_fingerprint(notes: str, pieces: str) -> str:
+    """A nested query: raw(piece_id, genre, axis, value) of notes derived from the adapter.
+
+    ``notes`` and ``pieces`` are SELECTs over n0 and p0, the original adapter CTEs.
+    """
+    source = NOTES.strip().replace("n AS (", "n0 AS (", 1).replace("\np AS (", "\np0 AS (", 1)
+    return f"WITH {source},\nn AS ({notes}),\np AS ({pieces}),\n{LEVELS.strip()},\n{fingerprint_cte()}\nSELECT * FROM raw"

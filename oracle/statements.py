@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from oracle import bank, base, edits, overlap, patterns, reference
+from oracle import bank, base, edits, overlap, patterns, regions, reference
 
 
 def build() -> dict[str, str]:
     out = {f"axis_{a}": base.axis_sql(a) for a in base.AXIS}
     out["fingerprint_axes"] = f"{base.FINGERPRINT}\nSELECT piece_id, axis, value FROM raw"
-    for part in (reference, overlap, bank, patterns, edits):
+    for part in (reference, overlap, bank, patterns, edits, regions):
         out.update(part.build())
     return out

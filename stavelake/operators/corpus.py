@@ -124,11 +124,15 @@ class Corpus:
     @cached_property
     def profile(self) -> DataFrame:
         """Percentile coordinates of the corpus pieces: (piece_id, genre, axis, value, percentile)."""
-        return cut_lineage(self.score(self.fingerprint))
+        return cut_lineage(self._score(self.fingerprint))
 
     def score(self, fingerprint: DataFrame) -> DataFrame:
         """Integer percentile of any fingerprint against this distribution (inclusive, half to even)."""
-        asked = fingerprint.withColumn("value", F.round("value", 6))
+        # Read twice below (distinct values, then the join back), so it is written once.
+        asked = cut_lineage(fingerprint.withColumn("value", F.round("value", 6)))
+        return self._score(asked)
+
+    def _score(self, asked: DataFrame) -> DataFrame:
         scored = ranks.cdf_scores(asked, self.cumulative, ["axis"], "value")
         return scored.withColumn("percentile", num.half_even(F.col("cdf") * 100).cast("int"))
 

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import anomaly, axes, bank, calibrate, corpus, facts, gates, levers, overlap, patterns, retrieval
+from stavelake.operators import anomaly, axes, bank, calibrate, corpus, facts, gates, levers, overlap, patterns, regions, retrieval
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -249,6 +249,84 @@ def _lever(metric) -> Query:
     return query
 
 
+# -- regions -----------------------------------------------------------------------------------
+def within_song_variation(spark, sf_dir):
+    return r6(regions.within_song_variation(frames(spark, sf_dir), corpus_of(spark, sf_dir)), "wsv")
+
+
+def _regions(spark, sf_dir, context=False) -> DataFrame:
+    return cut_lineage(regions.scored_regions(frames(spark, sf_dir), corpus_of(spark, sf_dir), context))
+
+
+def region_profile(spark, sf_dir):
+    return regions.scored_regions(frames(spark, sf_dir), corpus_of(spark, sf_dir)).select("piece_id", "axis", "value", "percentile")
+
+
+def region_budget(spark, sf_dir):
+    return regions.region_budget(corpus_of(spark, sf_dir), _regions(spark, sf_dir))
+
+
+def region_reprise(spark, sf_dir):
+    return r6(regions.region_reprise(frames(spark, sf_dir)).drop("source_id"), "reprise")
+
+
+def reprise_gate(spark, sf_dir):
+    return regions.reprise_gate(regions.region_reprise(frames(spark, sf_dir)))
+
+
+def region_fitness(spark, sf_dir):
+    """The real regions themselves as round-one candidates, against budgets and gates calibrated on them."""
+    fr, c = frames(spark, sf_dir), corpus_of(spark, sf_dir)
+    region, context = _regions(spark, sf_dir), _regions(spark, sf_dir, context=True)
+    reprise = cut_lineage(regions.region_reprise(fr).select("piece_id", "type", "reprise"))
+    gap = regions.gap_regions(fr)
+    sizes = gap.events.groupBy("piece_id").agg(F.count_distinct("bar").alias("bars")).join(
+        gap.pieces.select("piece_id", F.col("n_bars").alias("target_bars")), "piece_id"
+    )
+    budget = cut_lineage(regions.region_budget(c, region))
+    gate = cut_lineage(regions.reprise_gate(reprise))
+    return regions.fitness(c, region, context, reprise, sizes, budget, gate)
+
+
+def _edited(spark, sf_dir) -> Frames:
+    """Generated stand-ins: every piece after the chromatic lever."""
+    return Frames(levers.perturb(tables.notes(spark, sf_dir), "har_chromaticism", LEVER_DOSE), tables.pieces(spark, sf_dir))
+
+
+def channel_check(spark, sf_dir):
+    fr = frames(spark, sf_dir)
+    df = overlap.channel_check(
+        regions.gap_regions(_edited(spark, sf_dir)).events, regions.gap_regions(fr).events, regions.gap_regions(fr, context=True).events
+    )
+    return r6(df, "rate", "innocent")
+
+
+def final_grade(spark, sf_dir):
+    fr, c = frames(spark, sf_dir), corpus_of(spark, sf_dir)
+    gen = _edited(spark, sf_dir)
+    answer = overlap.case_overlap(regions.gap_regions(gen).events, regions.gap_regions(fr).events)
+    region = cut_lineage(regions.scored_regions(gen, c))
+    return regions.final_grade(region, _regions(spark, sf_dir), _regions(spark, sf_dir, context=True), c, answer)
+
+
+def drift_report(spark, sf_dir):
+    """Profiles before and after the chromatic lever."""
+    c = corpus_of(spark, sf_dir)
+    after = cut_lineage(c.score(axes.fingerprint(_edited(spark, sf_dir))))
+    return gates.drift(c.profile, after)
+
+
+def drift_verdict(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    after = cut_lineage(c.score(axes.fingerprint(_edited(spark, sf_dir))))
+    return r6(gates.drift_verdict(c.profile, after), "spread0", "spread1")
+
+
+def gate_thresholds(spark, sf_dir):
+    c, n = corpus_of(spark, sf_dir), tables.notes(spark, sf_dir)
+    return calibrate.gate_thresholds(gates.extreme_counts(c, c.profile), gates.band_occupancy(c, c.profile), overlap.corpus_overlap(n, n))
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
@@ -263,7 +341,8 @@ def build() -> dict[str, Query]:
         genre_extremes, genre_fit, copy_risk, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
         centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity, pattern_catalog,
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
-        anomaly_verify, anomaly_heuristic, anomaly_detection,
+        anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
+        region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
     ):
         out[q.__name__] = q
     return out
