@@ -13,7 +13,7 @@ n AS (
          CAST(36 + l_orderkey % 48 AS INTEGER) AS midi,
          CAST((36 + l_orderkey % 48) % 12 AS INTEGER) AS pc,
          [32, 56, 80, 104][1 + l_orderkey % 4] AS vel,
-         l_orderkey * 8 + l_linenumber AS seq,
+         l_orderkey * 64 + l_linenumber * 8 + CAST(trunc(l_quantity) AS INTEGER) % 8 AS seq,
          (l_partkey % 16) / 4.0::DOUBLE AS onb,
          (((date_diff('day', DATE '1995-01-01', CAST(l_shipdate AS DATE)) % 32) + 32) % 32) * 4.0::DOUBLE
            + (l_partkey % 16) / 4.0::DOUBLE AS abs,

@@ -48,8 +48,6 @@ def _note_family(fr: Frames) -> DataFrame:
         F.min("abs").alias("start"),
         F.max(F.col("abs") + dur).alias("end"),
         F.avg("midi").alias("midi_mean"),
-        F.percentile("midi", F.lit(0.5)).alias("midi_median"),
-        F.min("midi").alias("midi_min"),
         F.sum(F.when(on_beat & beat.isin(1.0, 3.0), vel)).alias("vel_back"),
         F.sum(F.when(on_beat & beat.isin(0.0, 2.0), vel)).alias("vel_front"),
         num.count_if(on_beat & vel.isNull()).alias("n_silent_beat"),
@@ -61,7 +59,6 @@ def _note_family(fr: Frames) -> DataFrame:
     return agg.select(
         "piece_id",
         F.when(F.col("n_silent_beat") > 0, 0.0).otherwise(num.ratio(back, back + front)).alias("axis_backbeat_emphasis"),
-        F.when(F.col("n") >= 2, F.col("midi_median") - F.col("midi_min")).alias("axis_bass_register_gap"),
         num.ratio(F.col("n_drum"), F.col("n")).alias("axis_drum_ratio"),
         F.when(F.col("n_dur") >= 2, num.cv(F.col("dur_sd"), F.col("dur_mean"))).alias("axis_duration_cv"),
         F.col("dur_mean").alias("axis_mean_note_length"),
@@ -81,12 +78,18 @@ def _voice_family(fr: Frames) -> DataFrame:
         num.count_if(~F.col("is_drum")).alias("n_pitched"),
     )
     programs = fr.voices.filter(F.col("program").isNotNull()).groupBy("piece_id", "program").agg(F.sum("n").alias("n"))
+    # At most 128 pitches per voice: the exact median comes from the histogram.
+    reach = fr.pitches.groupBy("piece_id").agg(
+        F.when(F.sum("n") >= 2, F.percentile("midi", F.lit(0.5), F.col("n")) - F.min("midi")).alias("axis_bass_register_gap")
+    )
     kits = fr.pitches.filter("is_drum").groupBy("piece_id", "midi").agg(F.sum("n").alias("n"))
     return (
         agg.join(_entropy(programs, "axis_instrument_diversity"), "piece_id", "left")
         .join(_entropy(kits, "axis_drum_timbre_entropy"), "piece_id", "left")
+        .join(reach, "piece_id", "left")
         .select(
             "piece_id",
+            "axis_bass_register_gap",
             F.col("n_voice").cast("double").alias("axis_active_voice_count"),
             F.when(F.col("n_pitched") >= 2, F.col("sep")).alias("axis_voice_register_separation"),
             "axis_instrument_diversity",
@@ -103,21 +106,21 @@ def _entropy(counts: DataFrame, name: str) -> DataFrame:
 
 # -- pitch-class weights ---------------------------------------------------------------------
 def _tonal_family(fr: Frames) -> DataFrame:
-    def w(k):
-        return F.col("w")[k % 12]
-
     def mass(root, degrees):
-        return reduce(lambda a, b: a + b, [w(root + d) for d in degrees])
+        return reduce(lambda a, b: a + b, [at(root, d) for d in degrees])
 
     def best_root(degrees):
         """Root of largest mass; the lowest root wins a tie."""
-        return F.array_max(F.array(*[F.struct(mass(r, degrees).alias("m"), F.lit(-r).alias("r")) for r in range(12)]))
+        return F.array_max(F.transform(F.sequence(F.lit(0), F.lit(11)), lambda r: F.struct(mass(r, degrees).alias("m"), (-r).alias("r"))))
+
+    def scale_mass(root):
+        return F.greatest(mass(root, MAJOR), mass(root, MINOR))
 
     def at(root, interval):
         return F.element_at("w", ((root + interval) % 12 + 1).cast("int"))
 
     total = F.col("total")
-    inside = F.array_max(F.array(*[mass(r, scale) for scale in (MAJOR, MINOR) for r in range(12)]))
+    inside = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(11)), scale_mass))
     spread = F.aggregate("w", F.lit(0.0), lambda a, x: a + num.plogp(x, total))
     df = fr.pc_weights.filter(total > 0).select(
         "piece_id",
@@ -267,7 +270,7 @@ def _onset_family(fr: Frames) -> DataFrame:
     gap = F.lead("abs").over(w) - F.col("abs")
     held = F.when(
         (gap > 1e-6) & F.col("voice_ix").isNotNull() & ~F.col("is_drum"),
-        F.least(F.col("last")["dur"] / gap, F.lit(3.0)),
+        F.least(F.col("last_dur") / gap, F.lit(3.0)),
     )
     agg = (
         fr.voice_onsets.select("piece_id", held.alias("held"))
@@ -307,7 +310,7 @@ def _jitter_family(fr: Frames) -> DataFrame:
         return df.withColumn("jump", F.abs(F.col("first_vel") - F.lag("last_vel").over(w)))
 
     def roll_up(df, keys, order):
-        key = F.struct(*order)
+        key = order[0]
         return df.groupBy(*keys).agg(
             (F.sum("total") + F.coalesce(F.sum("jump"), F.lit(0))).alias("total"),
             (F.sum("pairs") + F.count("jump")).alias("pairs"),
@@ -317,14 +320,14 @@ def _jitter_family(fr: Frames) -> DataFrame:
         )
 
     notes = fr.events.select(
-        "piece_id", "abs", F.shiftright("seq", SEQ_CHUNK_BITS).alias("chunk"), "seq", "dur",
+        "piece_id", "abs", F.shiftright("seq", SEQ_CHUNK_BITS).alias("chunk"), "seq",
         F.col("vel").alias("first_vel"), F.col("vel").alias("last_vel"),
         F.lit(0).cast("long").alias("total"), F.lit(0).cast("long").alias("pairs"),
         F.col("vel").isNull().cast("int").alias("gaps"),
     )
     df = notes
     for keys, order in (
-        (["piece_id", "abs", "chunk"], ["seq", "dur"]),
+        (["piece_id", "abs", "chunk"], ["seq"]),
         (["piece_id", "abs"], ["chunk"]),
         (["piece_id"], ["abs"]),
     ):
@@ -337,12 +340,12 @@ def _jitter_family(fr: Frames) -> DataFrame:
 
 FAMILIES = {
     _note_family: (
-        "axis_backbeat_emphasis", "axis_bass_register_gap", "axis_drum_ratio", "axis_duration_cv",
+        "axis_backbeat_emphasis", "axis_drum_ratio", "axis_duration_cv",
         "axis_mean_note_length", "axis_offbeat_onset_ratio", "axis_polyphony", "axis_register_center",
         "axis_swing_ratio", "axis_velocity_dynamic_range",
     ),
     _voice_family: (
-        "axis_active_voice_count", "axis_voice_register_separation", "axis_instrument_diversity",
+        "axis_active_voice_count", "axis_voice_register_separation", "axis_instrument_diversity", "axis_bass_register_gap",
         "axis_drum_timbre_entropy",
     ),
     _tonal_family: ("axis_blue_note_content", "axis_mode_majorness", "axis_chromaticism", "axis_pc_entropy"),

@@ -5,6 +5,8 @@ Entropies here are normalized by the log of the number of nonzero classes.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -62,11 +64,14 @@ def _rhythm(st: Structure) -> DataFrame:
 
 def _harmony(st: Structure) -> DataFrame:
     fr = st.fr
-    w = F.col("w")
-    scales = [sum((w[(r + d) % 12] for d in MAJOR[1:]), w[r]) for r in range(12)]
+
+    def major_mass(root):
+        return reduce(lambda a, b: a + b, [F.element_at("w", ((root + d) % 12 + 1).cast("int")) for d in MAJOR])
+
+    inside = F.array_max(F.transform(F.sequence(F.lit(0), F.lit(11)), major_mass))
     weights = fr.pc_weights.select(
         "piece_id",
-        num.ratio(F.col("total") - F.greatest(*scales), F.col("total")).alias("har_chromaticism"),
+        num.ratio(F.col("total") - inside, F.col("total")).alias("har_chromaticism"),
         F.size(F.filter("w", lambda x: x > 0)).cast("double").alias("har_distinct_pc"),
     )
     spread = _even_entropy(fr.pc_weights.select("piece_id", F.explode("w").alias("n")), "har_pc_entropy")

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from math import comb
-
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -11,24 +9,29 @@ from pyspark.sql import functions as F
 from stavelake.functions import numeric as num
 
 MIN_PIECES = 8
-EXACT_SIGN_N = 60
+EXACT_SIGN_N = 100_000
 BOOTSTRAP = 4000
 
 
 def sign_test(k, n):
-    """One-sided sign test P(at least k of n agree) as a column, exact for n up to 60.
+    """One-sided sign test P(at least k of n agree) as a column.
 
-    Beyond that the normal approximation with continuity correction is used.
+    The binomial tail is summed in log space from i = n down to k; past EXACT_SIGN_N pieces the
+    normal approximation with continuity correction takes over.
     """
-    tails = F.array(*[F.array(*[F.lit(sum(comb(m, j) for j in range(i, m + 1)) / 2**m) for i in range(m + 1)]) for m in range(EXACT_SIGN_N + 1)])
-    exact = tails[F.least(n, F.lit(EXACT_SIGN_N)).cast("int")][k.cast("int")]
-    z = (k - 0.5 - n / 2) / F.sqrt(n / 4)
-    # Abramowitz-Stegun 7.1.26 for the normal tail
-    x = F.abs(z) / F.sqrt(F.lit(2.0))
-    t = 1 / (1 + 0.3275911 * x)
-    erf = 1 - (((((1.061405429 * t - 1.453152027) * t) + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t * F.exp(-x * x)
-    tail = F.when(z >= 0, 0.5 * (1 - erf)).otherwise(0.5 * (1 + erf))
-    return F.when(n == 0, F.lit(1.0)).when(n <= EXACT_SIGN_N, exact).otherwise(tail)
+    k, n = k.cast("double"), n.cast("double")
+    tail = F.aggregate(
+        F.sequence(F.lit(0), F.least(n - k, F.lit(EXACT_SIGN_N)).cast("int")),
+        F.struct((-n * F.log(F.lit(2.0))).alias("log_term"), F.lit(0.0).alias("sum")),
+        lambda acc, j: F.struct(
+            (acc["log_term"] + F.log(F.greatest(n - j, F.lit(1.0))) - F.log(j + 1.0)).alias("log_term"),
+            (acc["sum"] + F.exp(acc["log_term"])).alias("sum"),
+        ),
+        lambda acc: acc["sum"],
+    )
+    z = (k - 0.5 - n / 2) / F.sqrt(F.greatest(n, F.lit(1.0)) / 4)
+    normal = 0.5 * F.exp(-0.717 * z - 0.416 * z * z)  # upper tail for z >= 0
+    return F.when(n == 0, F.lit(1.0)).when(n <= EXACT_SIGN_N, tail).otherwise(normal)
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -40,7 +43,7 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 
     ranked = rows.withColumn("_rx", avg_rank(x)).withColumn("_ry", avg_rank(y))
     return ranked.groupBy(*keys).agg(
-        F.when((F.min(x) < F.max(x)) & (F.min(y) < F.max(y)), F.corr("_rx", "_ry")).alias("rho")
+        F.round(F.try_divide(F.covar_pop("_rx", "_ry"), F.stddev_pop("_rx") * F.stddev_pop("_ry")), 12).alias("rho")
     ).filter(F.col("rho").isNotNull())
 
 

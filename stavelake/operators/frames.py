@@ -40,7 +40,8 @@ class Frames:
             F.sum("midi").alias("sum_midi"),
             F.max("dur").alias("max_dur"),
             F.min("seq").alias("first_seq"),
-            F.max(F.struct("seq", "dur")).alias("last"),
+            F.max("seq").alias("last_seq"),
+            F.max_by("dur", "seq").alias("last_dur"),
         )
         return shared(df)
 
@@ -61,7 +62,7 @@ class Frames:
             F.min("lo").alias("lo"),
             F.max("hi").alias("hi"),
             F.max("max_dur").alias("max_dur"),
-            F.max("last").alias("last"),
+            F.max_by("last_dur", "last_seq").alias("last_dur"),
         )
 
     @cached_property
@@ -74,7 +75,7 @@ class Frames:
             F.max("hi").alias("hi"),
             F.min("first_seq").alias("first_seq"),
         )
-        return per_onset.groupBy("piece_id", "voice", "voice_ix", "is_drum", "program").agg(
+        df = per_onset.groupBy("piece_id", "voice", "voice_ix", "is_drum", "program").agg(
             F.sum("n").alias("n"),
             F.count(F.lit(1)).alias("n_onset"),
             F.sum("sum_midi").alias("sum_midi"),
@@ -84,6 +85,7 @@ class Frames:
             (F.sum("sum_midi") / F.sum("n")).alias("avg_midi"),
             (F.sum("n") / F.count(F.lit(1))).alias("chordality"),
         )
+        return shared(df)
 
     @cached_property
     def pc_weights(self) -> DataFrame:
@@ -146,7 +148,7 @@ class Frames:
             .agg(
                 F.bit_or("pcs").alias("pcs"),
                 F.min("lo").alias("lo"),
-                (F.min("voice") != F.max("voice")).alias("many_voices"),
+                (F.min(F.xxhash64("voice")) != F.max(F.xxhash64("voice"))).alias("many_voices"),
             )
         )
         return grouped.withColumn("size", bits.size(F.col("pcs"))).withColumn(
@@ -164,6 +166,6 @@ class Frames:
         )
 
     def release(self) -> None:
-        for name in ("onsets", "pitches"):
+        for name in ("onsets", "pitches", "voices"):
             if name in self.__dict__:
                 self.__dict__[name].unpersist()

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import anomaly, axes, bank, calibrate, corpus, facts, gates, levers, overlap, patterns, regions, retrieval
+from stavelake.operators import anomaly, axes, bank, calibrate, corpus, dose, facts, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
 from stavelake.session import cut_lineage
-from stavelake.sources import tables
+from stavelake.sources import grammar, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -327,6 +327,143 @@ def gate_thresholds(spark, sf_dir):
     return calibrate.gate_thresholds(gates.extreme_counts(c, c.profile), gates.band_occupancy(c, c.profile), overlap.corpus_overlap(n, n))
 
 
+# -- classifier and trajectories ---------------------------------------------------------------
+def _features(spark, sf_dir) -> DataFrame:
+    return cut_lineage(models.wide(corpus_of(spark, sf_dir).profile, axes.AXES))
+
+
+def genre_classifier(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    return models.GenreModel.fit(f, axes.AXES).read(f)
+
+
+def genre_rank_thresholds(spark, sf_dir):
+    return models.rank_thresholds(models.cross_validated_ranks(_features(spark, sf_dir), axes.AXES))
+
+
+def genre_steer(spark, sf_dir):
+    f = _features(spark, sf_dir)
+    model = models.GenreModel.fit(f, axes.AXES, standardize=False)
+    return r6(models.steer(corpus_of(spark, sf_dir).profile, model.read(f), model.coefficients()), "gap")
+
+
+def axis_correlation(spark, sf_dir):
+    """Pearson correlation of every axis pair over the corpus."""
+    return r6(prune.correlations(corpus_of(spark, sf_dir).fingerprint), "r")
+
+
+def axis_prune(spark, sf_dir):
+    return prune.pruned(corpus_of(spark, sf_dir).fingerprint)
+
+
+MORPH_PARTS = 4
+
+
+def _morph_cases(spark, sf_dir) -> DataFrame:
+    """Source and target exemplars of neighbouring genres, as (case_id, a, b, genre_a, genre_b)."""
+    best = retrieval.exemplars(corpus_of(spark, sf_dir).profile, 1)
+    return cut_lineage(morph.cyclic_pairs(best).withColumn("case_id", F.concat_ws("_", "a", "b")))
+
+
+def _medleys(spark, sf_dir, cases) -> Frames:
+    """One stand-in piece per case: the first half of A, then the second half of B."""
+    n, half = tables.notes(spark, sf_dir), tables.N_BARS // 2
+    first = n.filter(F.col("bar") <= half).join(cases.select(F.col("a").alias("piece_id"), "case_id"), "piece_id")
+    second = n.filter(F.col("bar") > half).join(cases.select(F.col("b").alias("piece_id"), "case_id"), "piece_id")
+    events = first.unionByName(second).withColumn("piece_id", F.col("case_id")).drop("case_id")
+    pieces = cases.select(
+        F.col("case_id").alias("piece_id"), F.col("genre_a").alias("genre"), F.lit(tables.BAR_QL).alias("bar_ql"), F.lit(tables.N_BARS).alias("n_bars")
+    )
+    return Frames(events, pieces)
+
+
+def _morph_segments(spark, sf_dir, cases) -> DataFrame:
+    seg = regions.segments(_medleys(spark, sf_dir, cases), F.lit(MORPH_PARTS))
+    scored = corpus_of(spark, sf_dir).score(axes.fingerprint(seg, ("source_id", "part")))
+    return cut_lineage(scored.select(F.col("source_id").alias("case_id"), "part", "axis", "percentile"))
+
+
+def morph_targets(spark, sf_dir):
+    return morph.targets(_morph_cases(spark, sf_dir), corpus_of(spark, sf_dir).profile)
+
+
+def _graduality(spark, sf_dir, cases, segments) -> DataFrame:
+    p = corpus_of(spark, sf_dir).profile.select("piece_id", "axis", "percentile")
+    ends = cases.join(p.withColumnsRenamed({"piece_id": "a", "percentile": "pa"}), "a").join(
+        p.withColumnsRenamed({"piece_id": "b", "percentile": "pb"}), ["b", "axis"]
+    )
+    return morph.graduality(morph.progress(segments, ends.select("case_id", "axis", "pa", "pb")))
+
+
+def morph_graduality(spark, sf_dir):
+    cases = _morph_cases(spark, sf_dir)
+    return _graduality(spark, sf_dir, cases, _morph_segments(spark, sf_dir, cases))
+
+
+def morph_verdict(spark, sf_dir):
+    cases = _morph_cases(spark, sf_dir)
+    segments = _morph_segments(spark, sf_dir, cases)
+    model = models.GenreModel.fit(_features(spark, sf_dir), axes.AXES, standardize=False)
+    shift = morph.genre_shift(model, models.wide(segments, axes.AXES, ("case_id", "part")), cases.select("case_id", "genre_a", "genre_b"))
+    medleys = _medleys(spark, sf_dir, cases).events
+    corpus_notes = tables.notes(spark, sf_dir).withColumn("piece_id", F.col("piece_id").cast("string"))
+    copy = overlap.corpus_overlap(medleys, corpus_notes).select(F.col("piece_id").alias("case_id"), F.col("overlap").alias("copy_risk"))
+    return morph.verdict(_graduality(spark, sf_dir, cases, segments), shift, copy)
+
+
+# -- dose-response -----------------------------------------------------------------------------
+DOSES = (0.0, 0.25, 0.5, 1.0)
+DOSE_LEVERS = ("har_chromaticism", "har_pc_entropy", "rhy_onset_pos_entropy")
+
+
+def _dose_rows(spark, sf_dir) -> DataFrame:
+    """Share of notes outside the original key of every piece after three levers at four doses."""
+    n, keys = tables.notes(spark, sf_dir), _keys(spark, sf_dir)
+    parts = []
+    for metric in DOSE_LEVERS:
+        for amount in DOSES:
+            out = F.col("key").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("pc"))) == 0
+            parts.append(
+                levers.perturb(n, metric, amount).join(keys, "piece_id").groupBy("piece_id")
+                .agg(F.round(-F.avg(out.cast("double")), 9).alias("score"))
+                .withColumns({"axis": F.lit(metric), "dose": F.lit(amount), "entangled": F.lit(0)})
+            )
+    return reduce(DataFrame.unionByName, parts)
+
+
+def dose_spearman(spark, sf_dir):
+    return r6(dose.spearman(_dose_rows(spark, sf_dir), ["axis", "piece_id"], "dose", "score"), "rho")
+
+
+def dose_response(spark, sf_dir):
+    return r6(dose.summarize(cut_lineage(_dose_rows(spark, sf_dir))), "within_rho", "delta", "sign_p")
+
+
+def bootstrap_overlap(spark, sf_dir):
+    """Bootstrap interval of mean nearest-neighbour overlap per genre."""
+    n = tables.notes(spark, sf_dir)
+    df = overlap.corpus_overlap(n, n).join(tables.pieces(spark, sf_dir), "piece_id").withColumn("row_id", F.col("piece_id"))
+    return r6(dose.bootstrap_mean(df, ["genre"], "overlap"), "mean", "lo", "hi")
+
+
+def grammar_roundtrip(spark, sf_dir):
+    """Write every piece in the notation, read it back and count notes lost or gained."""
+    n = tables.notes(spark, sf_dir)
+    head = tables.pieces(spark, sf_dir).select(
+        "piece_id", F.lit("KEY: C major | METER: 4/4 | TEMPO: 120 | GRID: 16th | BARS: 32").alias("header"),
+        F.lit("VOICES: V1[prog=0], V2[prog=0], V3[prog=24], V4[prog=24], V5[prog=48], V6[prog=48], V7[drums]").alias("voices_line"),
+    )
+    texts = cut_lineage(grammar.render(n, head))
+    cols = ["piece_id", "voice", "bar", "abs", "dur", "midi", "vel"]
+    want, got = n.select(*cols).distinct(), grammar.events(texts).select(*cols)
+    lost, extra = want.exceptAll(got), got.exceptAll(want)
+    counts = got.groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"))
+    return (
+        counts.join(lost.groupBy("piece_id").agg(F.count(F.lit(1)).alias("lost")), "piece_id", "left")
+        .join(extra.groupBy("piece_id").agg(F.count(F.lit(1)).alias("extra")), "piece_id", "left").fillna(0)
+    )
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
@@ -343,6 +480,8 @@ def build() -> dict[str, Query]:
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
+        genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
+        morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip,
     ):
         out[q.__name__] = q
     return out
