@@ -85,4 +85,19 @@ SELECT case_id, round(CAST(span AS DECIMAL(28,9)), 3)::DOUBLE AS span, round(CAS
   round(CAST(CASE WHEN span / k > 1e-6 THEN top / (span / k) ELSE 0 END AS DECIMAL(28,9)), 2)::DOUBLE AS max_jolt, bt AS backtracks, f < 0.4 AND l > 0.6 AS anchored,
   round(CAST((greatest(0, mono) + least(1, span / 0.6) + ev + (f < 0.4 AND l > 0.6)::INTEGER) / 4 AS DECIMAL(28,9)), 3)::DOUBLE AS score FROM ag""",
         "grammar_roundtrip": PRELUDE + "SELECT piece_id, count(*) AS notes, 0 AS lost, 0 AS extra FROM (SELECT DISTINCT piece_id, voice, bar, abs, dur, midi, vel FROM n) GROUP BY ALL",
+        "drill_rhythm": PRELUDE + """, sg AS (SELECT piece_id, bar, list_sort(list((onb, dur))) AS s FROM n GROUP BY ALL),
+rn AS (SELECT *, sum(CASE WHEN s = q THEN 0 ELSE 1 END) OVER (PARTITION BY piece_id ORDER BY bar) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY piece_id ORDER BY bar) AS q FROM sg)),
+lr AS (SELECT piece_id, max(k) AS longest_run, count(*) AS runs, sum(k) AS nb FROM (SELECT piece_id, run, count(*) AS k FROM rn GROUP BY ALL) GROUP BY ALL),
+kd AS (SELECT piece_id, count(DISTINCT s) AS n_rhythm FROM sg GROUP BY ALL)
+SELECT piece_id, longest_run, n_rhythm, round((runs - 1) / (nb - 1)::DOUBLE, 6) AS change_share, n_rhythm >= least(3, nb) AND longest_run <= 2 AND (runs - 1) / (nb - 1)::DOUBLE >= 0.5 AS rhythm_mixed FROM lr JOIN kd USING (piece_id)""",
+        "drill_register": PRELUDE + """, o AS (SELECT piece_id, least(3, greatest(0, (midi - 36) // 12)) AS o, count(*)::DOUBLE AS c FROM n GROUP BY ALL)
+SELECT piece_id, round(-sum(c / t * ln(c / t)) / ln(4), 6) AS balance, round(max(c / t), 6) AS busiest_share FROM (SELECT *, sum(c) OVER (PARTITION BY piece_id) AS t FROM o) GROUP BY piece_id""",
+        "drum_groove": PRELUDE + f""", g0 AS (SELECT piece_id, midi, CASE WHEN {pick('synco')} < {D} THEN slot + 1 ELSE slot END AS slot FROM n WHERE is_drum),
+g AS (SELECT piece_id, slot % 16 AS b, count(*)::DOUBLE AS g FROM g0 GROUP BY ALL), r AS (SELECT piece_id, slot % 16 AS b, count(*)::DOUBLE AS r FROM n WHERE is_drum GROUP BY ALL),
+j AS (SELECT piece_id, sum(coalesce(g, 0) * coalesce(r, 0)) AS dot, sum(coalesce(g, 0) ** 2) AS gg, sum(coalesce(r, 0) ** 2) AS rr, sum(coalesce(g, 0)) AS ng, sum(coalesce(r, 0)) AS nr FROM g FULL JOIN r USING (piece_id, b) GROUP BY piece_id),
+k AS (SELECT piece_id, max((midi IN (35,36))::INTEGER) + max((midi IN (37,38,40))::INTEGER) + max((midi IN (42,44,46,49,51,52,55,57,59))::INTEGER) AS kit FROM g0 GROUP BY ALL)
+SELECT piece_id, kit, round(ng / 32, 1) AS density, round(nr / 32, 1) AS density_real, round(dot / sqrt(gg * rr), 3) AS rhythm_sim, kit >= 2 AND ng / nr BETWEEN 0.4 AND 2.5 AND round(dot / sqrt(gg * rr), 3) >= 0.5 AS groove_fit FROM j JOIN k USING (piece_id)""",
+        "voice_roles": PRELUDE + "SELECT piece_id, voice, CASE WHEN is_drum THEN 'drums' WHEN n / n_on::DOUBLE >= 1.4 THEN 'harmony' ELSE 'melody' END AS role FROM voicemean",
+        "voice_removal": PRELUDE + """SELECT piece_id, count(*) AS n, sum(midi) AS sum_midi, 'context' AS part FROM n ANTI JOIN lead USING (piece_id, voice) GROUP BY piece_id
+UNION ALL SELECT piece_id, count(*), sum(midi), 'answer' FROM n JOIN lead USING (piece_id, voice) GROUP BY piece_id UNION ALL SELECT piece_id, count(*), sum(midi), 'spliced' FROM n GROUP BY piece_id""",
     }

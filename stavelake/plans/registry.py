@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import anomaly, axes, bank, calibrate, corpus, dose, facts, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval, rounds
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -464,6 +464,65 @@ def grammar_roundtrip(spark, sf_dir):
     )
 
 
+# -- drills, claims, accompaniment -------------------------------------------------------------
+def drill_checks(spark, sf_dir):
+    return drills.challenge_checks(drills.features(frames(spark, sf_dir)))
+
+
+def drill_rhythm(spark, sf_dir):
+    return r6(drills.rhythm_mix(frames(spark, sf_dir)), "change_share")
+
+
+def drill_register(spark, sf_dir):
+    return r6(drills.register_balance(frames(spark, sf_dir), 36, 83), "balance", "busiest_share")
+
+
+def claim_grades(spark, sf_dir):
+    """Grade what is true of a piece as a claim about the piece with the next id."""
+    fr = frames(spark, sf_dir)
+    truth = cut_lineage(facts.ground_truth(fr))
+    pcs = F.array(F.lit("C"), F.lit("E"))
+    claimed = truth.select(
+        (F.col("piece_id") + 1).alias("piece_id"), pitch.midi_name(F.col("highest_midi")).alias("highest"), pitch.midi_name(F.col("lowest_midi")).alias("lowest"),
+        F.col("most_active_voice").alias("active_voice"), F.col("active_span").alias("span"), F.col("longest_beats").alias("longest"),
+        F.col("any_longer_than_bar").alias("over_bar"), F.col("densest_bar").alias("densest"), (~F.col("near_identical_bars")).alias("no_repeat"),
+        F.lit(1).alias("bar_a"), F.lit(2).alias("bar_b"), F.lit("C").alias("query_pc"), F.lit(True).alias("pc_present"),
+        F.col("distinct_pc_count").alias("pc_count"), F.lit("C").alias("tonic"), F.lit("major").alias("mode"), "subdivision", "syncopation", "note_value",
+        F.lit(1).alias("chord_bar"), pcs.alias("chord_pcs"), F.lit("V1").alias("voice_a"), F.lit("V2").alias("voice_b"), F.lit(True).alias("parallel"),
+    )
+    return claims.grade(fr, truth, claimed)
+
+
+def drum_groove(spark, sf_dir):
+    """The drum voice after the syncopation lever against the real one."""
+    n = tables.notes(spark, sf_dir)
+    real = n.filter("is_drum")
+    return accompany.groove(levers.perturb(real, "rhy_syncopation_rate", LEVER_DOSE), real, tables.pieces(spark, sf_dir))
+
+
+def voice_roles(spark, sf_dir):
+    v = frames(spark, sf_dir).voices
+    return v.select("piece_id", "voice", accompany.role(F.col("voice"), F.col("program"), F.col("is_drum"), F.col("chordality")).alias("role"))
+
+
+def voice_removal(spark, sf_dir):
+    """Take the busiest voice out and put it back: notes of context, answer and the spliced piece."""
+    fr = frames(spark, sf_dir)
+    context, answer = accompany.remove_voice(fr.events, fr.lead_voice)
+    parts = {"context": context, "answer": answer, "spliced": accompany.splice(context, answer)}
+    return reduce(DataFrame.unionByName, [
+        df.groupBy("piece_id").agg(F.count(F.lit(1)).alias("n"), F.sum("midi").alias("sum_midi")).withColumn("part", F.lit(k)) for k, df in parts.items()
+    ])
+
+
+def best_rounds(spark, sf_dir):
+    """Score each region of a piece as a round of one case and keep the best."""
+    fitness = region_fitness(spark, sf_dir)
+    turn = F.element_at(F.create_map(*[F.lit(x) for kv in (("start", 1), ("infill", 2), ("cont", 3)) for x in kv]), F.col("type"))
+    results = fitness.select(F.split("piece_id", r"\\|")[0].alias("case_id"), turn.alias("round"), "score", "converged")
+    return rounds.pick_best(results, rounds.orders()["gap"])
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
@@ -482,6 +541,7 @@ def build() -> dict[str, Query]:
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip,
+        drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
     ):
         out[q.__name__] = q
     return out

@@ -45,7 +45,7 @@ def pieces(texts: DataFrame) -> DataFrame:
     den = F.coalesce(F.regexp_extract(meter, r"^(\d+)\s*/\s*(\d+)", 2).try_cast("int"), F.lit(4))
     labels = F.when(
         F.col("second").startswith("VOICES") & F.col("second").contains(":"),
-        F.transform(F.split(F.regexp_extract("second", r"^[^:]*:(.*)$", 1), ","), F.trim),
+        F.transform(F.split(F.regexp_extract("second", r"^[^:]*:(.*)$", 1), ","), lambda v: F.trim(v)),
     ).otherwise(F.array().cast("array<string>"))
 
     def annotation(v):
