@@ -100,4 +100,11 @@ SELECT piece_id, kit, round(ng / 32, 1) AS density, round(nr / 32, 1) AS density
         "voice_roles": PRELUDE + "SELECT piece_id, voice, CASE WHEN is_drum THEN 'drums' WHEN n / n_on::DOUBLE >= 1.4 THEN 'harmony' ELSE 'melody' END AS role FROM voicemean",
         "voice_removal": PRELUDE + """SELECT piece_id, count(*) AS n, sum(midi) AS sum_midi, 'context' AS part FROM n ANTI JOIN lead USING (piece_id, voice) GROUP BY piece_id
 UNION ALL SELECT piece_id, count(*), sum(midi), 'answer' FROM n JOIN lead USING (piece_id, voice) GROUP BY piece_id UNION ALL SELECT piece_id, count(*), sum(midi), 'spliced' FROM n GROUP BY piece_id""",
+        "midi_roundtrip": PRELUDE + "SELECT piece_id, count(*) AS notes, 0 AS lost, 0 AS extra FROM (SELECT DISTINCT piece_id, voice, abs, dur, midi FROM n) GROUP BY ALL",
+        "adaptive_grid": PRELUDE + """, o AS (SELECT DISTINCT piece_id, bar, voice, onb, g FROM n CROSS JOIN (SELECT unnest([4, 8, 16, 32, 64, 6, 12, 24]) AS g) g),
+v AS (SELECT piece_id, bar, g, voice, count(*) AS k, count(DISTINCT round_even(onb * g / 4, 0)) AS s, sum(abs(onb - round_even(onb * g / 4, 0) * 4 / g)) AS off FROM o GROUP BY ALL),
+q AS (SELECT piece_id, bar, g, bool_or(s < k) AS merged, round(sum(off) / sum(k), 12) AS miss FROM v GROUP BY ALL),
+b AS (SELECT piece_id, bar, min(g) AS g, arg_min(miss, g) AS miss FROM q WHERE g IN (4, 8, 16, 32, 64) AND (NOT merged OR g = 64) GROUP BY ALL),
+t AS (SELECT q.piece_id, q.bar, min(q.g) AS t FROM q JOIN b USING (piece_id, bar) WHERE q.g IN (6, 12, 24) AND NOT merged AND b.miss > 0.02 AND q.miss < 0.5 * b.miss GROUP BY ALL)
+SELECT piece_id, bar, coalesce(t, g) AS grid, t IS NOT NULL AS is_triplet FROM b LEFT JOIN t USING (piece_id, bar)""",
     }

@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,7 +15,7 @@ from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
 from stavelake.session import cut_lineage
-from stavelake.sources import grammar, tables
+from stavelake.sources import grammar, midi, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -464,6 +465,34 @@ def grammar_roundtrip(spark, sf_dir):
     )
 
 
+def adaptive_grid(spark, sf_dir):
+    return midi.bar_grids(tables.notes(spark, sf_dir))
+
+
+def midi_roundtrip(spark, sf_dir):
+    """Write every piece as MIDI bytes, decode them and compare notes by pitch, onset and length."""
+    n = tables.notes(spark, sf_dir)
+    encoded = cut_lineage(midi.encode(n, 120.0))
+
+    def decode(batches):
+        for pdf in batches:
+            for pid, data in zip(pdf["piece_id"], pdf["content"]):
+                rows = midi.read_bytes(bytes(data))
+                yield pd.DataFrame([(pid, r[1], r[4], r[5], r[6]) for r in rows], columns=["piece_id", "voice", "abs", "dur", "midi"])
+
+    got = encoded.mapInPandas(decode, "piece_id long, voice string, abs double, dur double, midi int").distinct()
+    cols = ["piece_id", "voice", "abs", "dur", "midi"]
+    want = n.select(*cols).distinct()
+    lost = want.exceptAll(got).groupBy("piece_id").agg(F.count(F.lit(1)).alias("lost"))
+    extra = got.exceptAll(want).groupBy("piece_id").agg(F.count(F.lit(1)).alias("extra"))
+    counts = want.groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"))
+    return counts.join(lost, "piece_id", "left").join(extra, "piece_id", "left").fillna(0)
+
+
+def abc_lines(spark, sf_dir):
+    return midi.abc_lines(tables.notes(spark, sf_dir))
+
+
 # -- drills, claims, accompaniment -------------------------------------------------------------
 def drill_checks(spark, sf_dir):
     return drills.challenge_checks(drills.features(frames(spark, sf_dir)))
@@ -519,7 +548,7 @@ def best_rounds(spark, sf_dir):
     """Score each region of a piece as a round of one case and keep the best."""
     fitness = region_fitness(spark, sf_dir)
     turn = F.element_at(F.create_map(*[F.lit(x) for kv in (("start", 1), ("infill", 2), ("cont", 3)) for x in kv]), F.col("type"))
-    results = fitness.select(F.split("piece_id", r"\\|")[0].alias("case_id"), turn.alias("round"), "score", "converged")
+    results = fitness.select(F.split("piece_id", r"\|")[0].alias("case_id"), turn.alias("round"), "score", "converged")
     return rounds.pick_best(results, rounds.orders()["gap"])
 
 
@@ -540,7 +569,7 @@ def build() -> dict[str, Query]:
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
-        morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip,
+        morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
         drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
     ):
         out[q.__name__] = q
