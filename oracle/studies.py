@@ -48,6 +48,16 @@ rho AS (SELECT axis, piece_id, corr(rx, ry) AS rho, arg_max(score, dose) - arg_m
 """
 
 
+GATES = CORPUS + "," + CELLS[CELLS.index("cell AS"):] + """,
+ec AS (SELECT f.piece_id, f.genre, count(x.axis) AS extremes FROM (SELECT DISTINCT piece_id, genre FROM prof) f LEFT JOIN ext x USING (piece_id) GROUP BY ALL),
+ft AS (SELECT piece_id, count(*) FILTER (value BETWEEN p25 AND p75) AS fit FROM prof JOIN gb USING (axis, genre) GROUP BY ALL),
+q AS (SELECT genre, count(*) AS n, quantile_cont(extremes::DOUBLE, 0.85) AS e, quantile_cont(fit::DOUBLE, 0.15) AS f FROM ec JOIN ft USING (piece_id) GROUP BY genre),
+cc AS (SELECT genre, quantile_cont(round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE, 0.9) AS c FROM topb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre),
+th AS (SELECT genre, n, CAST(greatest(3, least(6, ceil(round(e, 9)))) AS INTEGER) AS c1_budget, CAST(greatest(3, least(6, floor(round(f, 9)))) AS INTEGER) AS fit_threshold,
+  round(CAST(c AS DECIMAL(28,9)), 3)::DOUBLE AS real_copy_ceiling, round(CAST(greatest(0.3, least(0.45, c * 1.2)) AS DECIMAL(28,9)), 2)::DOUBLE AS copy_threshold FROM q JOIN cc USING (genre))
+"""
+
+
 def build() -> dict[str, str]:
     wide = ", ".join(f"max(value) FILTER (axis = '{a}') AS {a}" for a in AXIS_NAMES)
     pairs = " UNION ALL ".join(
@@ -59,13 +69,17 @@ def build() -> dict[str, str]:
 k AS (SELECT piece_id, count(*) FILTER (kind = 'toward-band') AS toward, count(*) FILTER (kind = 'AWAY') AS away, count(*) FILTER (kind = 'centering') AS centering FROM dr GROUP BY ALL)
 SELECT piece_id, round(spread0, 6) AS spread0, near0, round(spread1, 6) AS spread1, near1, coalesce(toward, 0) AS toward, coalesce(away, 0) AS away, coalesce(centering, 0) AS centering,
   NOT spread1 >= spread0 - 3 AS collapsing, spread1 >= spread0 - 3 AND coalesce(toward, 0) >= coalesce(away, 0) AS healthy FROM s0 LEFT JOIN k USING (piece_id)""",
-        "gate_thresholds": CORPUS + "," + CELLS[CELLS.index("cell AS"):] + """,
-ec AS (SELECT f.piece_id, f.genre, count(x.axis) AS extremes FROM (SELECT DISTINCT piece_id, genre FROM prof) f LEFT JOIN ext x USING (piece_id) GROUP BY ALL),
-ft AS (SELECT piece_id, count(*) FILTER (value BETWEEN p25 AND p75) AS fit FROM prof JOIN gb USING (axis, genre) GROUP BY ALL),
-q AS (SELECT genre, count(*) AS n, quantile_cont(extremes::DOUBLE, 0.85) AS e, quantile_cont(fit::DOUBLE, 0.15) AS f FROM ec JOIN ft USING (piece_id) GROUP BY genre),
-cc AS (SELECT genre, quantile_cont(round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE, 0.9) AS c FROM topb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre)
-SELECT genre, n, CAST(greatest(3, least(6, ceil(round(e, 9)))) AS INTEGER) AS c1_budget, CAST(greatest(3, least(6, floor(round(f, 9)))) AS INTEGER) AS fit_threshold,
-  round(CAST(c AS DECIMAL(28,9)), 3)::DOUBLE AS real_copy_ceiling, round(CAST(greatest(0.3, least(0.45, c * 1.2)) AS DECIMAL(28,9)), 2)::DOUBLE AS copy_threshold FROM q JOIN cc USING (genre)""",
+        "gate_thresholds": GATES + "SELECT * FROM th",
+        "genre_guardrail": CORPUS + """, sv AS (SELECT piece_id, genre, axis, CASE WHEN value < p5 THEN 'raise' ELSE 'lower' END AS move,
+ round(CASE WHEN value < p5 THEN p5 - value ELSE value - p95 END / greatest(p95 - p5, 1e-6), 9) AS severity FROM prof JOIN gb USING (axis, genre) WHERE value < p5 OR value > p95)
+SELECT piece_id, genre, axis, move, round(severity, 6) AS severity, row_number() OVER (PARTITION BY piece_id ORDER BY severity DESC, axis) AS rank FROM sv""",
+        "piece_fitness": GATES + """, oo AS (SELECT piece_id, count(*) AS n_oob FROM prof JOIN tgt USING (axis, genre) WHERE NOT value BETWEEN lo AND hi GROUP BY ALL),
+sb AS (SELECT piece_id, count(DISTINCT bar) AS bars FROM n GROUP BY ALL),
+z AS (SELECT ec.piece_id, ec.genre, bars, extremes, c1_budget, round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE AS copy, copy_threshold, fit, fit_threshold, coalesce(n_oob, 0) AS n_oob
+ FROM ec JOIN th USING (genre) JOIN ft USING (piece_id) JOIN topb USING (piece_id) JOIN totals USING (piece_id) JOIN sb USING (piece_id) LEFT JOIN oo USING (piece_id))
+SELECT *, extremes <= c1_budget AS c1_pass, bars BETWEEN 64 AND 179 AS c2_pass, copy < copy_threshold AS copy_pass, fit >= fit_threshold AS fit_pass,
+ extremes <= c1_budget AND bars BETWEEN 64 AND 179 AND copy < copy_threshold AND fit >= fit_threshold AS converged,
+ round(CAST(greatest(0, extremes - c1_budget) * 40 + CASE WHEN bars BETWEEN 64 AND 179 THEN 0 ELSE 50 END + greatest(0, copy - copy_threshold) * 300 + greatest(0, fit_threshold - fit) * 15 + n_oob * 2 AS DECIMAL(28,9)), 1)::DOUBLE AS score FROM z""",
         "axis_correlation": CORPUS + f", w AS (SELECT piece_id, {wide} FROM fp GROUP BY piece_id)\nSELECT axis_a, axis_b, round(r, 6) AS r FROM ({pairs})",
         "dose_spearman": DOSE + "SELECT axis, piece_id, round(rho, 6) AS rho FROM rho",
         "dose_response": DOSE + """, g AS (SELECT axis, avg(rho) AS m, count(*) AS n, count(*) FILTER (round(rho, 12) < 0) AS neg, avg(change) AS d FROM rho GROUP BY axis)

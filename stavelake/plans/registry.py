@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval, rounds
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, feedback, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval, rounds
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -250,6 +250,29 @@ def _lever(metric) -> Query:
     return query
 
 
+def _piece_fitness(spark, sf_dir) -> DataFrame:
+    c, n = corpus_of(spark, sf_dir), tables.notes(spark, sf_dir)
+    ext, fits = gates.extreme_counts(c, c.profile), gates.band_occupancy(c, c.profile)
+    copies = cut_lineage(overlap.corpus_overlap(n, n))
+    oob = gates.genre_band_check(c, c.profile).filter("state <> 'in'").groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_oob"))
+    sounding = n.groupBy("piece_id").agg(F.count_distinct("bar").alias("bars"))
+    return feedback.fitness(ext, fits, copies, sounding, oob, cut_lineage(calibrate.gate_thresholds(ext, fits, copies)))
+
+
+def piece_fitness(spark, sf_dir):
+    return _piece_fitness(spark, sf_dir)
+
+
+def piece_corrections(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return feedback.corrections(cut_lineage(_piece_fitness(spark, sf_dir)), gates.genre_band_check(c, c.profile))
+
+
+def genre_guardrail(spark, sf_dir):
+    c = corpus_of(spark, sf_dir)
+    return r6(feedback.guardrail(c, c.profile), "severity")
+
+
 # -- regions -----------------------------------------------------------------------------------
 def within_song_variation(spark, sf_dir):
     return r6(regions.within_song_variation(frames(spark, sf_dir), corpus_of(spark, sf_dir)), "wsv")
@@ -568,6 +591,7 @@ def build() -> dict[str, Query]:
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
+        piece_fitness, piece_corrections, genre_guardrail,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
         drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
