@@ -16,8 +16,8 @@ sys.path.insert(0, str(Path(__file__).resolve().parent))
 
 HEADLINE = (
     "axis_register_center", "fingerprint_axes", "percentile_profile", "copy_risk", "copy_overlap_exact", "nearest_neighbors",
-    "bank_rhythm", "bank_form", "patterns_harmony", "ground_truth", "encoding_cost", "bar_chords", "anomaly_verify",
-    "region_reprise", "lever_har_chromaticism",
+    "bank_rhythm", "bank_form", "patterns_harmony", "ground_truth", "encoding_cost", "bar_chords",
+    "lever_har_chromaticism",
 )
 
 
