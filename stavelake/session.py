@@ -39,7 +39,8 @@ def shared(df: DataFrame) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder; a private one only where the session names none."""
+    """The cluster's shared checkpoint folder. Where the session names none, a local master gets a private folder and any
+    other master is refused: executors on other machines would not see it."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     current = spark.sparkContext.getCheckpointDir()
     if configured:
@@ -47,6 +48,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
             spark.sparkContext.setCheckpointDir(configured)
         return configured
     if current is None:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="stavelake-checkpoint-"))
     return spark.sparkContext.getCheckpointDir()
 
