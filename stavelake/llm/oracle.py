@@ -1,5 +1,9 @@
 """DuckDB SQL for the registered queries that SQL can express."""
 
+from __future__ import annotations
+
+from stavelake.llm import license_scan
+
 CHAT = r"""
 WITH turns AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
@@ -18,4 +22,80 @@ SELECT conv_id, count(*) AS n_turns,
 FROM marked GROUP BY conv_id
 """
 
-STATEMENTS = {"op3_chat_format": CHAT}
+LINES = r"""
+WITH docs AS (SELECT doc_id, text, source, md5(text) AS body FROM documents),
+lines AS (
+  SELECT doc_id, body, source, unnest(string_split(text, chr(10))) AS raw, generate_subscripts(string_split(text, chr(10)), 1) AS place FROM docs
+), bare AS (SELECT *, trim(raw, E' \t\n\x0B\f\r') AS line FROM lines),
+wide AS (
+  SELECT line, min((doc_id, place)) AS first FROM bare WHERE line <> ''
+  GROUP BY line HAVING count(DISTINCT coalesce(source, chr(1))) >= 10
+), marked AS (
+  SELECT b.*, w.line IS NOT NULL AND (b.doc_id, b.place) <> w.first AS gone FROM bare b LEFT JOIN wide w ON b.line = w.line AND b.line <> ''
+)
+SELECT doc_id, coalesce(string_agg(raw, chr(10) ORDER BY place) FILTER (NOT gone), '') AS text,
+  count(*) FILTER (line <> '') AS n_lines, count(*) FILTER (gone) AS n_removed
+FROM marked GROUP BY doc_id, body
+"""
+
+
+def _licenses() -> str:
+    quoted = ", ".join(f"({i}, '{name}', '{text.replace(chr(39), 2 * chr(39))}')" for i, (name, text) in enumerate(license_scan.TEMPLATES))
+    words = r"list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda w: w <> '')"
+    grams = "SELECT DISTINCT {key}, array_to_string(list_slice(w, i, i + 4), ' ') AS gram FROM (SELECT {key}, w, unnest(range(1, greatest(len(w) - 4, 1) + 1)) AS i FROM (SELECT {key}, {words} AS w FROM {table}) WHERE len(w) > 0)"
+    return f"""
+WITH templates(template, license, text) AS (VALUES {quoted}),
+tg AS ({grams.format(key="template", words=words, table="templates")}),
+dg AS ({grams.format(key="doc_id", words=words, table="documents")}),
+n AS (SELECT template, count(*) AS of FROM tg GROUP BY template)
+SELECT doc_id, license, template::INTEGER AS template, count(*) / any_value(of) AS containment
+FROM dg JOIN tg USING (gram) JOIN n USING (template) JOIN templates USING (template)
+GROUP BY doc_id, license, template HAVING count(*) / any_value(of) >= 0.8
+"""
+
+
+URLS = r"""
+WITH RECURSIVE rules(action, host, path) AS (
+  VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
+), parts AS (
+  SELECT row_number() OVER () AS rid, page_id, html,
+    translate(coalesce(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+    coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '') AS path
+  FROM pages
+), ruled AS (
+  SELECT p.rid, p.page_id, p.host, p.path,
+    arg_max(r.host || r.path, length(r.host || r.path) * 2 + (r.action = 'block')::INT) AS rule,
+    arg_max(r.action, length(r.host || r.path) * 2 + (r.action = 'block')::INT) AS action
+  FROM parts p LEFT JOIN rules r ON (p.host = r.host OR ends_with(p.host, '.' || r.host)) AND starts_with(p.path, r.path)
+  GROUP BY p.rid, p.page_id, p.host, p.path
+), links AS (
+  SELECT host AS src, translate(unnest(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?\s*(?:https?:)?//([^/?#"''\s<>]+)', 1)),
+    'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM parts
+), edges AS (SELECT src, dst, count(*) AS n FROM links WHERE src <> '' AND src <> dst GROUP BY src, dst),
+steps AS (
+  SELECT 'trust' AS kind, src AS f, dst AS t, n / sum(n) OVER (PARTITION BY src) AS part FROM edges
+  UNION ALL SELECT 'distrust', dst, src, n / sum(n) OVER (PARTITION BY dst) FROM edges
+), walk(i, kind, host, mass) AS (
+  SELECT 0, k.kind, host, avg(CASE WHEN ruled.action = k.action THEN 1.0 ELSE 0.0 END)
+  FROM ruled, (VALUES ('trust', 'allow'), ('distrust', 'block')) k(kind, action) GROUP BY k.kind, host
+  UNION ALL
+  SELECT w.i + 1, s.kind, s.t, sum(w.mass * s.part * 0.85) FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.f WHERE w.i < 40 GROUP BY w.i, s.kind, s.t
+), scores AS (
+  SELECT host, sum(CASE WHEN kind = 'distrust' THEN mass ELSE -mass END) AS excess FROM walk GROUP BY host
+)
+SELECT page_id, host, path, rule, coalesce(action, CASE WHEN excess > 0.5 THEN 'block' ELSE 'allow' END) AS verdict
+FROM ruled LEFT JOIN scores USING (host)
+"""
+
+WARC = r"""
+WITH rows AS (SELECT page_id, coalesce(html, '') AS payload FROM pages),
+marked AS (SELECT *, min(page_id) OVER (PARTITION BY payload) AS first FROM rows),
+hashed AS (SELECT *, page_id IS DISTINCT FROM first AND first IS NOT NULL AS again, sha1(payload) AS hex FROM marked)
+SELECT page_id, strlen(payload) AS payload_bytes,
+  list_reduce(list_transform(range(0, 32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+    1 + ((('0x' || substr(hex, 1 + 5 * (i // 4), 5))::BIGINT >> (15 - 5 * (i % 4))) & 31)::INT, 1)), lambda a, b: a || b) AS payload_digest,
+  CASE WHEN again THEN 'revisit' ELSE 'response' END AS record_type, CASE WHEN again THEN first END AS refers_to
+FROM hashed
+"""
+
+STATEMENTS = {"op4_url_filter": URLS, "op6_warc": WARC, "op3_chat_format": CHAT, "op7_line_dedup": LINES, "op10_license_scan": _licenses()}

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm import chat_format, quality_rules, source_mix
-from stavelake.llm.common import read
+from stavelake.llm import chat_format, license_scan, line_dedup, quality_rules, source_mix, url_filter, warc
+from stavelake.llm.common import read, scratch
 
 
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -19,6 +19,31 @@ def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_format.digest(chat_format.formatted(turns.unionByName(extra)))
 
 
+#: The rules of the query: (action, host, path).
+URL_RULES = tuple(
+    url_filter.Rule(*r)
+    for r in (
+        ("allow", "com", "/"), ("block", "example.com", "/en/"), ("allow", "www.example.com", "/en/"),
+        ("block", "net", "/es/"), ("block", "net", "/fr/"),
+    )
+)
+
+
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.filtered(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = scratch(spark, "warc")
+    warc.write(read(spark, sf_dir, "pages"), path)
+    return warc.read(spark, path).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = line_dedup.cleaned(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", "text", F.col("ld_lines").alias("n_lines"), F.col("ld_removed").alias("n_removed"))
+
+
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     return docs.select("doc_id", quality_rules.verdict(docs["text"]).alias("v")).select("doc_id", "v.*")
@@ -30,8 +55,16 @@ def op9_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.matches(read(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op3_chat_format": op3_chat_format,
+    "op4_url_filter": op4_url_filter,
+    "op6_warc": op6_warc,
+    "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
     "op9_source_mix": op9_source_mix,
+    "op10_license_scan": op10_license_scan,
 }
