@@ -5,10 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm import chat_format, license_scan, line_dedup, quality_rules, source_mix, url_filter, warc
+from stavelake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash_dedup, source_mix, url_filter, warc
 from stavelake.llm.common import read, scratch
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
 def op3_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = r"\### Assistant: </turn> ok"
@@ -33,6 +37,11 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.filtered(read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op5_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = simhash_dedup.classes(read(spark, sf_dir, "documents"))
+    return made.select("doc_id", simhash_dedup.hexadecimal(F.col("fp")).alias("fingerprint"), F.col("first.doc_id").alias("component_id"))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "warc")
     warc.write(read(spark, sf_dir, "pages"), path)
@@ -60,8 +69,10 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
+    "op5_simhash_dedup": op5_simhash_dedup,
     "op6_warc": op6_warc,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_rules": op8_quality_rules,
