@@ -54,6 +54,27 @@ GROUP BY doc_id, license, template HAVING count(*) / any_value(of) >= 0.8
 """
 
 
+REPEATS = r"""
+WITH docs AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
+places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM docs),
+grams AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 1 + 2 * p, 200) ORDER BY doc_id, p) > 1 AS again FROM places),
+hits AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM grams WHERE again),
+runs AS (SELECT doc_id, p, sum((gap IS NULL OR gap > 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
+spans AS (SELECT doc_id, run, min(p) AS low, max(p) + 100 AS high FROM runs GROUP BY doc_id, run),
+cuts AS (
+  SELECT doc_id, run, low, high, coalesce(lag(high) OVER (PARTITION BY doc_id ORDER BY run), 0) AS before,
+    run = max(run) OVER (PARTITION BY doc_id) AS is_last FROM spans
+),
+kept AS (
+  SELECT c.doc_id, count(*) AS n_spans, sum(high - low) AS n_removed,
+    string_agg(substr(h, 1 + 2 * before, 2 * (low - before)), '' ORDER BY run) || any_value(substr(h, 1 + 2 * high)) FILTER (is_last) AS h
+  FROM cuts c JOIN docs d ON c.doc_id = d.doc_id GROUP BY c.doc_id
+)
+SELECT d.doc_id, length(d.h) // 2 AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0) AS n_spans,
+  sha256(unhex(coalesce(k.h, d.h))) AS kept_sha256
+FROM docs d LEFT JOIN kept k ON d.doc_id = k.doc_id
+"""
+
 URLS = r"""
 WITH RECURSIVE rules(action, host, path) AS (
   VALUES ('allow', 'com', '/'), ('block', 'example.com', '/en/'), ('allow', 'www.example.com', '/en/'), ('block', 'net', '/es/'), ('block', 'net', '/fr/')
@@ -98,4 +119,4 @@ SELECT page_id, strlen(payload) AS payload_bytes,
 FROM hashed
 """
 
-STATEMENTS = {"op4_url_filter": URLS, "op6_warc": WARC, "op3_chat_format": CHAT, "op7_line_dedup": LINES, "op10_license_scan": _licenses()}
+STATEMENTS = {"op1_suffix_dedup": REPEATS, "op4_url_filter": URLS, "op6_warc": WARC, "op3_chat_format": CHAT, "op7_line_dedup": LINES, "op10_license_scan": _licenses()}

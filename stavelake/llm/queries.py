@@ -5,10 +5,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash_dedup, source_mix, url_filter, warc
+from stavelake.llm import chat_format, decontaminate, license_scan, line_dedup, quality_rules, simhash_dedup, source_mix, suffix_dedup, url_filter, warc
 from stavelake.llm.common import read, scratch
 
 
+def op1_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = suffix_dedup.deduplicated(read(spark, sf_dir, "documents"))
+    return made.select(
+        "doc_id", "n_bytes", "n_removed", F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256")
+    )
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
 
@@ -69,6 +76,7 @@ def op10_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_suffix_dedup": op1_suffix_dedup,
     "op2_decontaminate": op2_decontaminate,
     "op3_chat_format": op3_chat_format,
     "op4_url_filter": op4_url_filter,
