@@ -17,8 +17,9 @@ slid AS (SELECT piece_id, song, max(hits) AS hits FROM (SELECT a.piece_id, b.pie
 pre AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY bag DESC, song DESC) AS r FROM bag) WHERE r <= 25),
 topb AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.piece_id ORDER BY hits DESC, bag DESC, s.song DESC) AS b
          FROM slid s JOIN pre USING (piece_id, song)) WHERE b = 1),
-allb AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.piece_id ORDER BY hits DESC, bag DESC, s.song DESC) AS b
-         FROM slid s JOIN bag USING (piece_id, song)) WHERE b = 1)
+bestb AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY s.piece_id ORDER BY hits DESC, bag DESC, s.song DESC) AS b
+         FROM slid s JOIN bag USING (piece_id, song)) WHERE b = 1),
+allb AS (SELECT piece_id, song, coalesce(hits, 0) AS hits FROM totals LEFT JOIN bestb USING (piece_id))
 """
 
 VEC = CORPUS + """,
@@ -31,10 +32,12 @@ nn AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER B
 def build() -> dict[str, str]:
     return {
         "copy_risk": CELLS + "SELECT piece_id, song, round(hits / total::DOUBLE, 3) AS copy_risk, hits / total::DOUBLE < 0.3 AS passed"
-        " FROM topb JOIN totals USING (piece_id)",
+        " FROM allb JOIN totals USING (piece_id)",
+        "copy_risk_prefiltered": CELLS + "SELECT piece_id, song, round(coalesce(hits, 0) / total::DOUBLE, 3) AS copy_risk, coalesce(hits, 0) / total::DOUBLE < 0.3 AS passed"
+        " FROM totals LEFT JOIN topb USING (piece_id)",
         "copy_overlap_exact": CELLS + "SELECT piece_id, song, hits, total, round(hits / total::DOUBLE, 6) AS overlap FROM allb JOIN totals USING (piece_id)",
         "copy_budget": CELLS + "SELECT genre, count(*) AS n, round(CAST(quantile_cont(hits / total::DOUBLE, 0.9) AS DECIMAL(28,9)), 2)::DOUBLE AS p90,"
-        " round(CAST(quantile_cont(hits / total::DOUBLE, 0.5) AS DECIMAL(28,9)), 2)::DOUBLE AS median FROM topb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre",
+        " round(CAST(quantile_cont(hits / total::DOUBLE, 0.5) AS DECIMAL(28,9)), 2)::DOUBLE AS median FROM allb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre",
         "nearest_neighbors": VEC + "SELECT piece_id, neighbor, round(dist, 6) AS dist, rank FROM nn",
         "neighbor_tendencies": VEC + ", m AS (SELECT nn.piece_id, axis, avg(percentile::DOUBLE) AS center FROM nn JOIN prof ON prof.piece_id = nn.neighbor GROUP BY ALL)\n"
         "SELECT piece_id, axis, round(center, 6) AS center, rank FROM (SELECT *, row_number() OVER (PARTITION BY piece_id ORDER BY"

@@ -62,12 +62,12 @@ def build() -> dict[str, str]:
         "band_summary": f", s AS (SELECT *, {STATUS} AS st FROM prof)\nSELECT piece_id, count(*) FILTER (st = 'in') AS n_in, count(*) FILTER (st <> 'in') AS n_out,"
         " count(*) FILTER (st LIKE 'EXT%') AS n_extreme, round(stddev_pop(percentile), 6) AS spread, round(avg(abs(percentile - 50)), 6) AS from_center,"
         " count(*) FILTER (percentile BETWEEN 40 AND 60) AS near_mean FROM s GROUP BY piece_id",
-        "genre_band_check": "SELECT piece_id, genre, axis, value, percentile, lo, hi, target, CASE WHEN value BETWEEN lo AND hi THEN 'in'"
-        " WHEN value < lo THEN 'LOW' ELSE 'HIGH' END AS state FROM prof JOIN tgt USING (axis, genre)",
+        "genre_band_check": "SELECT piece_id, genre, axis, value, percentile, lo, hi, target, CASE WHEN lo IS NULL THEN 'no_band' WHEN value BETWEEN lo AND hi THEN 'in'"
+        " WHEN value < lo THEN 'LOW' ELSE 'HIGH' END AS state FROM prof LEFT JOIN tgt USING (axis, genre)",
         "global_band_check": "SELECT piece_id, axis, value, p50 AS target, CASE WHEN value < p25 THEN 'LOW' ELSE 'HIGH' END AS state"
         " FROM prof JOIN bps USING (axis) WHERE NOT value BETWEEN p25 AND p75",
         "genre_extremes": "SELECT * FROM ext",
-        "genre_fit": "SELECT piece_id, genre, count(*) FILTER (value BETWEEN p25 AND p75) AS fit FROM prof JOIN gb USING (axis, genre) GROUP BY ALL",
+        "genre_fit": "SELECT piece_id, genre, CASE WHEN count(p25) > 0 THEN count(*) FILTER (value BETWEEN p25 AND p75) END AS fit FROM prof LEFT JOIN gb USING (axis, genre) GROUP BY piece_id, genre",
     }
     out = {k: CORPUS + v for k, v in q.items()}
     out["corpus_shapes"] = SHAPES

@@ -13,7 +13,7 @@ CTX_N = f"SELECT piece_id || '|' || type AS piece_id, CAST(CASE WHEN bar > hi TH
 GAP_P = f"SELECT piece_id || '|' || type AS piece_id, genre, hi - lo AS n_bars, bar_ql FROM p0 CROSS JOIN {CUTS}"
 CTX_P = f"SELECT piece_id || '|' || type AS piece_id, genre, 32 - (hi - lo) AS n_bars, bar_ql FROM p0 CROSS JOIN {CUTS}"
 GEN_N = GAP_N.replace("midi, pc,", "CASE WHEN pk THEN least(127, midi + 1) ELSE midi END AS midi, CASE WHEN pk THEN (midi + 1) % 12 ELSE pc END AS pc,").replace(
-    "FROM n0", f"FROM (SELECT *, {pick('chroma')} < 0.25 AS pk FROM n0)")
+    "FROM n0", f"FROM (SELECT *, {pick('har_chromaticism')} < 0.25 AS pk FROM n0)")
 
 
 def scored(name: str, notes: str, pieces: str) -> str:

@@ -10,7 +10,7 @@ from oracle.regions import REST, scored
 
 SHIFTED = f"SELECT piece_id, bar, abs, {REST} FROM n0".replace(
     "midi, pc,", "CASE WHEN pk THEN least(127, midi + 1) ELSE midi END AS midi, CASE WHEN pk THEN (midi + 1) % 12 ELSE pc END AS pc,").replace(
-    "FROM n0", f"FROM (SELECT *, {pick('chroma')} < 0.25 AS pk FROM n0)")
+    "FROM n0", f"FROM (SELECT *, {pick('har_chromaticism')} < 0.25 AS pk FROM n0)")
 
 S0, S1 = STATUS.replace("percentile", "p0"), STATUS.replace("percentile", "p1")
 DRIFT = CORPUS + scored("aft", SHIFTED, "SELECT * FROM p0") + f""",
@@ -38,8 +38,8 @@ def _out(metric: str, cond: str, edited: str, dose: float) -> str:
 
 DOSE = PRELUDE + KEY + ", rowsd AS (" + " UNION ALL ".join(
     q for d in (0.0, 0.25, 0.5, 1.0) for q in (
-        _out("har_chromaticism", f"{pick('chroma')} < {0.5 * d}", "(pc + 1) % 12", d),
-        _out("har_pc_entropy", f"{pick('pcent')} < {d}", "0", d),
+        _out("har_chromaticism", f"{pick('har_chromaticism')} < {0.5 * d}", "(pc + 1) % 12", d),
+        _out("har_pc_entropy", f"{pick('har_pc_entropy')} < {d}", "0", d),
         _out("rhy_onset_pos_entropy", "false", "pc", d),
     )) + """),
 rk AS (SELECT *, rank() OVER (PARTITION BY axis, piece_id ORDER BY dose) + (count(*) OVER (PARTITION BY axis, piece_id, dose) - 1) / 2.0::DOUBLE AS rx,
@@ -50,10 +50,10 @@ rho AS (SELECT axis, piece_id, corr(rx, ry) AS rho, arg_max(score, dose) - arg_m
 
 GATES = CORPUS + "," + CELLS[CELLS.index("cell AS"):] + """,
 ec AS (SELECT f.piece_id, f.genre, count(x.axis) AS extremes FROM (SELECT DISTINCT piece_id, genre FROM prof) f LEFT JOIN ext x USING (piece_id) GROUP BY ALL),
-ft AS (SELECT piece_id, count(*) FILTER (value BETWEEN p25 AND p75) AS fit FROM prof JOIN gb USING (axis, genre) GROUP BY ALL),
+ft AS (SELECT piece_id, CASE WHEN count(p25) > 0 THEN count(*) FILTER (value BETWEEN p25 AND p75) END AS fit FROM prof LEFT JOIN gb USING (axis, genre) GROUP BY piece_id),
 q AS (SELECT genre, count(*) AS n, quantile_cont(extremes::DOUBLE, 0.85) AS e, quantile_cont(fit::DOUBLE, 0.15) AS f FROM ec JOIN ft USING (piece_id) GROUP BY genre),
-cc AS (SELECT genre, quantile_cont(round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE, 0.9) AS c FROM topb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre),
-th AS (SELECT genre, n, CAST(greatest(3, least(6, ceil(round(e, 9)))) AS INTEGER) AS c1_budget, CAST(greatest(3, least(6, floor(round(f, 9)))) AS INTEGER) AS fit_threshold,
+cc AS (SELECT genre, quantile_cont(round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE, 0.9) AS c FROM allb JOIN totals USING (piece_id) JOIN p USING (piece_id) GROUP BY genre),
+th AS (SELECT genre, n, CAST(greatest(3, least(6, ceil(round(e, 9)))) AS INTEGER) AS c1_budget, CASE WHEN f IS NOT NULL THEN CAST(greatest(3, least(6, floor(round(f, 9)))) AS INTEGER) END AS fit_threshold,
   round(CAST(c AS DECIMAL(28,9)), 3)::DOUBLE AS real_copy_ceiling, round(CAST(greatest(0.3, least(0.45, c * 1.2)) AS DECIMAL(28,9)), 2)::DOUBLE AS copy_threshold FROM q JOIN cc USING (genre))
 """
 
@@ -76,7 +76,7 @@ SELECT piece_id, genre, axis, move, round(severity, 6) AS severity, row_number()
         "piece_fitness": GATES + """, oo AS (SELECT piece_id, count(*) AS n_oob FROM prof JOIN tgt USING (axis, genre) WHERE NOT value BETWEEN lo AND hi GROUP BY ALL),
 sb AS (SELECT piece_id, count(DISTINCT bar) AS bars FROM n GROUP BY ALL),
 z AS (SELECT ec.piece_id, ec.genre, bars, extremes, c1_budget, round(CAST(hits / total::DOUBLE AS DECIMAL(28,12)), 3)::DOUBLE AS copy, copy_threshold, fit, fit_threshold, coalesce(n_oob, 0) AS n_oob
- FROM ec JOIN th USING (genre) JOIN ft USING (piece_id) JOIN topb USING (piece_id) JOIN totals USING (piece_id) JOIN sb USING (piece_id) LEFT JOIN oo USING (piece_id))
+ FROM ec JOIN th USING (genre) JOIN ft USING (piece_id) JOIN allb USING (piece_id) JOIN totals USING (piece_id) JOIN sb USING (piece_id) LEFT JOIN oo USING (piece_id))
 SELECT *, extremes <= c1_budget AS c1_pass, bars BETWEEN 64 AND 179 AS c2_pass, copy < copy_threshold AS copy_pass, fit >= fit_threshold AS fit_pass,
  extremes <= c1_budget AND bars BETWEEN 64 AND 179 AND copy < copy_threshold AND fit >= fit_threshold AS converged,
  round(CAST(greatest(0, extremes - c1_budget) * 40 + CASE WHEN bars BETWEEN 64 AND 179 THEN 0 ELSE 50 END + greatest(0, copy - copy_threshold) * 300 + greatest(0, fit_threshold - fit) * 15 + n_oob * 2 AS DECIMAL(28,9)), 1)::DOUBLE AS score FROM z""",
@@ -106,7 +106,7 @@ kd AS (SELECT piece_id, count(DISTINCT s) AS n_rhythm FROM sg GROUP BY ALL)
 SELECT piece_id, longest_run, n_rhythm, round((runs - 1) / (nb - 1)::DOUBLE, 6) AS change_share, n_rhythm >= least(3, nb) AND longest_run <= 2 AND (runs - 1) / (nb - 1)::DOUBLE >= 0.5 AS rhythm_mixed FROM lr JOIN kd USING (piece_id)""",
         "drill_register": PRELUDE + """, o AS (SELECT piece_id, least(3, greatest(0, (midi - 36) // 12)) AS o, count(*)::DOUBLE AS c FROM n GROUP BY ALL)
 SELECT piece_id, round(-sum(c / t * ln(c / t)) / ln(4), 6) AS balance, round(max(c / t), 6) AS busiest_share FROM (SELECT *, sum(c) OVER (PARTITION BY piece_id) AS t FROM o) GROUP BY piece_id""",
-        "drum_groove": PRELUDE + f""", g0 AS (SELECT piece_id, midi, CASE WHEN {pick('synco')} < {D} THEN slot + 1 ELSE slot END AS slot FROM n WHERE is_drum),
+        "drum_groove": PRELUDE + f""", g0 AS (SELECT piece_id, midi, CASE WHEN {pick('rhy_syncopation_rate')} < {D} THEN slot + 1 ELSE slot END AS slot FROM n WHERE is_drum),
 g AS (SELECT piece_id, slot % 16 AS b, count(*)::DOUBLE AS g FROM g0 GROUP BY ALL), r AS (SELECT piece_id, slot % 16 AS b, count(*)::DOUBLE AS r FROM n WHERE is_drum GROUP BY ALL),
 j AS (SELECT piece_id, sum(coalesce(g, 0) * coalesce(r, 0)) AS dot, sum(coalesce(g, 0) ** 2) AS gg, sum(coalesce(r, 0) ** 2) AS rr, sum(coalesce(g, 0)) AS ng, sum(coalesce(r, 0)) AS nr FROM g FULL JOIN r USING (piece_id, b) GROUP BY piece_id),
 k AS (SELECT piece_id, max((midi IN (35,36))::INTEGER) + max((midi IN (37,38,40))::INTEGER) + max((midi IN (42,44,46,49,51,52,55,57,59))::INTEGER) AS kit FROM g0 GROUP BY ALL)

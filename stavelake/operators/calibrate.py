@@ -31,11 +31,13 @@ def small_quantile(value: Column, q: float) -> Column:
 
 
 def gate_thresholds(extremes: DataFrame, fits: DataFrame, overlaps: DataFrame) -> DataFrame:
-    """Per genre: extreme budget, fit threshold, copy ceiling and copy threshold."""
+    """Per genre: extreme budget, fit threshold (null without a genre band), copy ceiling and copy threshold."""
     by_count = extremes.join(fits.select("piece_id", "fit"), "piece_id").groupBy("genre").agg(
         F.count(F.lit(1)).alias("n"),
         num.clamp(F.ceil(num_clean(small_quantile(F.col("extremes"), ADMIT))), *BUDGET_RANGE).cast("int").alias("c1_budget"),
-        num.clamp(F.floor(num_clean(small_quantile(F.col("fit"), 1 - ADMIT))), *FIT_RANGE).cast("int").alias("fit_threshold"),
+        F.when(
+            F.count("fit") > 0, num.clamp(F.floor(num_clean(small_quantile(F.col("fit"), 1 - ADMIT))), *FIT_RANGE)
+        ).cast("int").alias("fit_threshold"),
     )
     genre_of = extremes.select("piece_id", "genre")
     rounded = overlaps.join(genre_of, "piece_id").select("genre", F.round("overlap", 3).alias("overlap"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -9,29 +11,44 @@ from pyspark.sql import functions as F
 from stavelake.functions import numeric as num
 
 MIN_PIECES = 8
-EXACT_SIGN_N = 100_000
 BOOTSTRAP = 4000
 
 
+def _log_gamma(x):
+    """ln of the gamma function for x >= 1: Stirling's series eight steps up, stepped back."""
+    y = x + 8.0
+    series = (1 / 12.0 - (1 / 360.0 - (1 / 1260.0 - 1 / (1680.0 * y * y)) / (y * y)) / (y * y)) / y
+    up = (y - 0.5) * F.log(y) - y + 0.5 * math.log(2 * math.pi) + series
+    return up - sum((F.log(x + float(i)) for i in range(1, 8)), F.log(x))
+
+
 def sign_test(k, n):
-    """One-sided sign test P(at least k of n agree) as a column.
+    """One-sided sign test P(at least k of n agree) as a column: the regularised incomplete beta I(1/2; k, n - k + 1).
 
-    The binomial tail is summed in log space from i = n down to k; past EXACT_SIGN_N pieces the
-    normal approximation with continuity correction takes over.
+    One method for every n: its continued fraction (Lentz's algorithm), whose length grows with the root of n.
     """
     k, n = k.cast("double"), n.cast("double")
-    tail = F.aggregate(
-        F.sequence(F.lit(0), F.least(n - k, F.lit(EXACT_SIGN_N)).cast("int")),
-        F.struct((-n * F.log(F.lit(2.0))).alias("log_term"), F.lit(0.0).alias("sum")),
-        lambda acc, j: F.struct(
-            (acc["log_term"] + F.log(F.greatest(n - j, F.lit(1.0))) - F.log(j + 1.0)).alias("log_term"),
-            (acc["sum"] + F.exp(acc["log_term"])).alias("sum"),
-        ),
-        lambda acc: acc["sum"],
-    )
-    z = (k - 0.5 - n / 2) / F.sqrt(F.greatest(n, F.lit(1.0)) / 4)
-    normal = 0.5 * F.exp(-0.717 * z - 0.416 * z * z)  # upper tail for z >= 0
-    return F.when(n == 0, F.lit(1.0)).when(n <= EXACT_SIGN_N, tail).otherwise(normal)
+    mirrored = k < (n + 1) / 2  # the fraction converges fast on the far side; the other follows by symmetry
+    a, b = F.when(mirrored, n - k + 1).otherwise(k), F.when(mirrored, k).otherwise(n - k + 1)
+    tiny = F.lit(1e-300)
+    away = lambda v: F.when(F.abs(v) < tiny, tiny).otherwise(v)
+
+    def step(acc, m):
+        m = m.cast("double")
+        even = m * (b - m) * 0.5 / ((a + 2 * m - 1) * (a + 2 * m))
+        odd = -(a + m) * (a + b + m) * 0.5 / ((a + 2 * m) * (a + 2 * m + 1))
+        d1, c1 = 1 / away(1 + even * acc["d"]), away(1 + even / acc["c"])
+        half = F.struct(d1.alias("d"), c1.alias("c"), (acc["h"] * d1 * c1).alias("h"))
+        d2, c2 = 1 / away(1 + odd * half["d"]), away(1 + odd / half["c"])
+        return F.struct(d2.alias("d"), c2.alias("c"), (half["h"] * d2 * c2).alias("h"))
+
+    first = 1 / away(1 - (a + b) * 0.5 / (a + 1))
+    steps = F.sequence(F.lit(1), (F.lit(30) + F.ceil(6 * F.sqrt(n))).cast("int"))
+    fraction = F.aggregate(steps, F.struct(first.alias("d"), F.lit(1.0).alias("c"), first.alias("h")), step, lambda acc: acc["h"])
+    front = F.exp(_log_gamma(a + b) - _log_gamma(a) - _log_gamma(b) - (a + b) * math.log(2.0)) / a
+    beta = front * fraction
+    tail = F.when(mirrored, 1 - beta).otherwise(beta)
+    return F.when((n == 0) | (k <= 0), F.lit(1.0)).otherwise(tail)
 
 
 def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
@@ -69,13 +86,23 @@ def summarize(rows: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame:
     )
 
 
-def bootstrap_mean(values: DataFrame, keys: list[str], value: str, draws: int = BOOTSTRAP, seed: int = 0) -> DataFrame:
+def _poisson_cdf() -> list[float]:
+    """The distribution function of Poisson(1) at 0, 1, ... to where double precision ends."""
+    term, total, out = math.exp(-1.0), 0.0, []
+    while total + term > total:
+        total += term
+        out.append(total)
+        term /= len(out)
+    return out
+
+
+def poisson_bootstrap_mean(values: DataFrame, keys: list[str], value: str, draws: int = BOOTSTRAP, seed: int = 0) -> DataFrame:
     """Mean with a 95 % Poisson-bootstrap interval per group.
 
-    Each row draws a Poisson(1) count per replicate from a hash, and only per-replicate sums are kept,
-    so the resampling is one map-side aggregation whatever the group size.
+    Each row draws a Poisson(1) count per replicate from a hash (the inverse distribution function, without an upper
+    end), and only per-replicate sums are kept, so the resampling is one map-side aggregation whatever the group size.
     """
-    cut = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]
+    cut = _poisson_cdf()
     rep = values.select(*keys, F.col(value).alias("_v"), F.monotonically_increasing_id().alias("_id")) if "row_id" not in values.columns else values.select(
         *keys, F.col(value).alias("_v"), F.col("row_id").alias("_id"))
     rep = rep.withColumn("_r", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))))

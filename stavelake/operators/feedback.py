@@ -15,6 +15,8 @@ LENGTH = (64, 179)
 def fitness(extremes: DataFrame, fits: DataFrame, overlaps: DataFrame, bars: DataFrame, out_of_band: DataFrame, thresholds: DataFrame) -> DataFrame:
     """One row per piece: the four gates, the penalty score (lower is better) and convergence.
 
+    A genre too small for a band has no fit: that gate is null, costs nothing and convergence cannot be true.
+
     bars: (piece_id, bars); out_of_band: (piece_id, n_oob).
     """
     df = extremes.join(thresholds.drop("n"), "genre").join(fits.select("piece_id", "fit"), "piece_id")
@@ -68,7 +70,7 @@ def corrections(verdicts: DataFrame, states: DataFrame) -> DataFrame:
         F.when(low, "raise ").otherwise("lower "), name, F.when(agrees, F.format_string(" (percentile %d)", c("percentile"))).otherwise("")
     )
     # At most one line per axis.
-    lines = states.filter(c("state") != "in").groupBy("piece_id").agg(F.sort_array(F.collect_list(text)).alias("lines"))
+    lines = states.filter(c("state").isin("LOW", "HIGH")).groupBy("piece_id").agg(F.sort_array(F.collect_list(text)).alias("lines"))
     return verdicts.join(lines, "piece_id", "left").select(
         "piece_id", F.explode(F.concat(gates, F.coalesce("lines", F.array().cast("array<string>")))).alias("note")
     )

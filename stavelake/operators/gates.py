@@ -81,10 +81,11 @@ def genre_targets(corpus: Corpus) -> DataFrame:
 
 
 def genre_band_check(corpus: Corpus, scored: DataFrame) -> DataFrame:
-    """State of every axis against the piece's genre band: in, LOW or HIGH."""
+    """State of every axis against the piece's genre band: in, LOW, HIGH, or no_band where the genre is too small for one."""
     v = F.col("value")
-    state = F.when(v.between(F.col("lo"), F.col("hi")), "in").when(v < F.col("lo"), "LOW").otherwise("HIGH")
-    return scored.join(genre_targets(corpus), ["axis", "genre"]).select(
+    banded = F.when(v.between(F.col("lo"), F.col("hi")), "in").when(v < F.col("lo"), "LOW").otherwise("HIGH")
+    state = F.when(F.col("lo").isNull(), "no_band").otherwise(banded)
+    return scored.join(genre_targets(corpus), ["axis", "genre"], "left").select(
         "piece_id", "genre", "axis", "value", "percentile", "lo", "hi", "target", state.alias("state")
     )
 
@@ -115,8 +116,9 @@ def extreme_counts(corpus: Corpus, scored: DataFrame) -> DataFrame:
 
 
 def band_occupancy(corpus: Corpus, scored: DataFrame) -> DataFrame:
-    """How many axes sit inside the genre's [p25, p75] ("fit")."""
+    """How many axes sit inside the genre's [p25, p75] ("fit"); null where the genre is too small for a band."""
     bands = corpus.genre_bands.select("axis", "genre", "p25", "p75")
-    return scored.join(bands, ["axis", "genre"]).groupBy("piece_id", "genre").agg(
-        num.count_if(F.col("value").between(F.col("p25"), F.col("p75"))).alias("fit")
+    inside = num.count_if(F.col("value").between(F.col("p25"), F.col("p75")))
+    return scored.join(bands, ["axis", "genre"], "left").groupBy("piece_id", "genre").agg(
+        F.when(F.count("p25") > 0, inside).alias("fit")
     )

@@ -13,11 +13,13 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stavelake.operators.blocks import block_pairs
+from stavelake.session import shared
 
+#: The pre-filter of the original gate: only so many candidates by bag score were slid. No query but the named
+#: compatibility one uses it, as it may miss true copies.
 TOP_K = 25
 COINCIDENTAL = 0.22
 STRICT = 0.30
-BAR_BITS = 4096
 
 
 def note_key() -> Column:
@@ -26,15 +28,30 @@ def note_key() -> Column:
 
 
 def cells(events: DataFrame) -> DataFrame:
-    """(key, total, cells): each piece's distinct cells as key * 4096 + bar.
+    """(key, total, kinds, bars): each piece's distinct cells as two parallel arrays, onset-pitch kind and bar.
 
     Reduced to distinct cells first, so a piece is bounded by its grid whatever its note count.
     """
-    cell = (note_key() * BAR_BITS + F.col("bar")).alias("cell")
-    distinct = events.groupBy("piece_id", cell).agg(F.count(F.lit(1)).alias("n"))
-    return distinct.groupBy(F.col("piece_id").alias("key")).agg(
-        F.sum("n").alias("total"), F.collect_list("cell").alias("cells")
+    distinct = events.groupBy("piece_id", note_key().alias("kind"), "bar").agg(F.count(F.lit(1)).alias("n"))
+    per_piece = distinct.groupBy(F.col("piece_id").alias("key")).agg(
+        F.sum("n").alias("total"), F.collect_list(F.struct("kind", "bar")).alias("cells")
     )
+    return per_piece.select("key", "total", F.col("cells.kind").alias("kinds"), F.col("cells.bar").alias("bars"))
+
+
+def _best_shift(owner: np.ndarray, shift: np.ndarray, n: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per owner the most frequent shift (the smallest on a tie) and how often it occurs."""
+    best, where = np.zeros(n, dtype=np.int64), np.zeros(n, dtype=np.int64)
+    slots = owner * width + shift
+    if n * width <= 4 * len(slots) + (1 << 20):
+        counts = np.bincount(slots, minlength=n * width).reshape(n, width)
+        where = counts.argmax(axis=1)
+        return counts[np.arange(n), where], where
+    slot, count = np.unique(slots, return_counts=True)
+    order = np.lexsort((slot, -count, slot // width))
+    first = order[np.concatenate(([True], np.diff(slot[order] // width) != 0))]
+    best[slot[first] // width], where[slot[first] // width] = count[first], slot[first] % width
+    return best, where
 
 
 def _kernel(exclude_self: bool, top_k: int | None):
@@ -42,20 +59,19 @@ def _kernel(exclude_self: bool, top_k: int | None):
         cols = ["piece_id", "song", "bag", "hits", "bar_offset", "total"]
         if not len(q) or not len(c):
             return pd.DataFrame({k: [] for k in cols})
-        sizes = q["cells"].map(len).to_numpy()
-        flat = np.concatenate(q["cells"].to_list()).astype(np.int64)
+        sizes = q["kinds"].map(len).to_numpy()
+        key = np.concatenate(q["kinds"].to_list()).astype(np.int64)
+        bar = np.concatenate(q["bars"].to_list()).astype(np.int64)
         owner = np.repeat(np.arange(len(q)), sizes)
-        key, bar = flat // BAR_BITS, flat % BAR_BITS
         order = np.argsort(key, kind="stable")
         key, bar, owner = key[order], bar[order], owner[order]
-        bag_size = np.array([len(np.unique(np.asarray(x) // BAR_BITS)) for x in q["cells"]])
+        bag_size = np.array([len(np.unique(x)) for x in q["kinds"]])
         bar_top = int(bar.max())
         bag_key = np.unique(key * len(q) + owner)  # distinct (key, owner)
         bag_owner, bag_only = bag_key % len(q), bag_key // len(q)
         rows = []
-        for song, song_cells in zip(c["key"], c["cells"]):
-            s = np.asarray(song_cells, dtype=np.int64)
-            s_key, s_bar = s // BAR_BITS, s % BAR_BITS
+        for song, song_kinds, song_bars in zip(c["key"], c["kinds"], c["bars"]):
+            s_key, s_bar = np.asarray(song_kinds, dtype=np.int64), np.asarray(song_bars, dtype=np.int64)
             lo, hi = np.searchsorted(key, s_key, "left"), np.searchsorted(key, s_key, "right")
             reps = hi - lo
             if not reps.sum():
@@ -65,10 +81,7 @@ def _kernel(exclude_self: bool, top_k: int | None):
                 start = np.repeat(lo - np.concatenate(([0], np.cumsum(reps)[:-1])), reps)
                 at = start + np.arange(reps.sum())
                 shift = np.repeat(s_bar, reps) - bar[at] + bar_top
-                width = bar_top + int(s_bar.max()) + 1
-                counts = np.bincount(owner[at] * width + shift, minlength=len(q) * width).reshape(len(q), width)
-                where = counts.argmax(axis=1)
-                best = counts[np.arange(len(q)), where]
+                best, where = _best_shift(owner[at], shift, len(q), bar_top + int(s_bar.max()) + 1)
                 where = where - bar_top
             u = np.unique(s_key)
             pos = np.searchsorted(u, bag_only)
@@ -93,13 +106,14 @@ def _keep(df: pd.DataFrame, exclude_self: bool, top_k: int | None) -> pd.DataFra
     return df.sort_values(by, ascending=False).groupby("piece_id", sort=False).head(top_k or 1)
 
 
-def corpus_overlap(gen: DataFrame, corpus: DataFrame, exclude_self: bool = True, top_k: int | None = TOP_K) -> DataFrame:
-    """Best whole-piece alignment of every ``gen`` piece against ``corpus``.
+def corpus_overlap(gen: DataFrame, corpus: DataFrame, exclude_self: bool = True, top_k: int | None = None) -> DataFrame:
+    """Best whole-piece alignment of every ``gen`` piece against every piece of ``corpus``.
 
-    With ``top_k`` only the pieces sharing most (onset, pitch) kinds are slid, as the gate defines it;
-    ``top_k=None`` slides every piece. Ties go to the larger bag score, then the larger id.
+    Ties go to the larger bag score, then the larger id. A piece without a partner has no song, no hits and overlap 0.
+    ``top_k`` slides only so many pieces by bag score, as the original gate did.
     """
-    g, c = cells(gen), cells(corpus)
+    g = shared(cells(gen))
+    c = shared(cells(corpus))  # the same plan again reads the same cached cells
     kind = dict(corpus.dtypes)["piece_id"]
     per_block = block_pairs(
         g, c, _kernel(exclude_self, top_k),
@@ -111,13 +125,12 @@ def corpus_overlap(gen: DataFrame, corpus: DataFrame, exclude_self: bool = True,
     else:
         kept = per_block
     best = kept.withColumn("_b", F.row_number().over(w.orderBy(F.desc("hits"), F.desc("bag"), F.desc("song")))).filter("_b = 1")
-    return best.select(
-        "piece_id", F.when(F.col("hits") > 0, F.col("song")).alias("song"), "hits", "total", "bar_offset",
-        (F.col("hits") / F.col("total")).alias("overlap"),
-    )
+    partnered = best.select("piece_id", F.when(F.col("hits") > 0, F.col("song")).alias("song"), "hits", "bar_offset")
+    every = g.select(F.col("key").alias("piece_id"), "total").join(partnered, "piece_id", "left").fillna({"hits": 0, "bar_offset": 0})
+    return every.select("piece_id", "song", "hits", "total", "bar_offset", (F.col("hits") / F.col("total")).alias("overlap"))
 
 
-def copy_risk(gen: DataFrame, corpus: DataFrame, threshold: float = STRICT, exclude_self: bool = True, top_k: int | None = TOP_K) -> DataFrame:
+def copy_risk(gen: DataFrame, corpus: DataFrame, threshold: float = STRICT, exclude_self: bool = True, top_k: int | None = None) -> DataFrame:
     return corpus_overlap(gen, corpus, exclude_self, top_k).select(
         "piece_id", "song", F.round("overlap", 3).alias("copy_risk"), (F.col("overlap") < threshold).alias("passed")
     )

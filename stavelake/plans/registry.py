@@ -119,6 +119,12 @@ def copy_overlap_exact(spark, sf_dir):
     return r6(overlap.corpus_overlap(n, n, top_k=None).drop("bar_offset"), "overlap")
 
 
+def copy_risk_prefiltered(spark, sf_dir):
+    """Compatibility: the gate with only the 25 best candidates by bag score slid; it may miss a copy that copy_risk finds."""
+    n = tables.notes(spark, sf_dir)
+    return overlap.copy_risk(n, n, top_k=overlap.TOP_K)
+
+
 def copy_budget(spark, sf_dir):
     n = tables.notes(spark, sf_dir)
     return calibrate.copy_budget(overlap.corpus_overlap(n, n), tables.pieces(spark, sf_dir))
@@ -243,10 +249,9 @@ LEVER_DOSE = 0.5
 def _lever(metric) -> Query:
     def query(spark, sf_dir):
         edited = levers.perturb(tables.notes(spark, sf_dir), metric, LEVER_DOSE)
-        return edited.groupBy("piece_id").agg(
-            F.count(F.lit(1)).alias("n"), F.sum("slot").cast("long").alias("sum_slot"), F.sum("dur_slots").cast("long").alias("sum_dur"),
-            F.sum("midi").alias("sum_midi"), F.sum(F.col("bar") * F.col("midi")).alias("sum_bar"), F.sum("grid").alias("sum_grid"),
-        )
+        kinds = {k: "int" for k in ("bar", "slot", "dur_slots", "midi", "grid")}
+        rows = edited.select("piece_id", "voice", *(F.col(k).cast(t).alias(k) for k, t in kinds.items()))
+        return rows.groupBy(*rows.columns).agg(F.count(F.lit(1)).alias("n"))
     return query
 
 
@@ -254,7 +259,7 @@ def _piece_fitness(spark, sf_dir) -> DataFrame:
     c, n = corpus_of(spark, sf_dir), tables.notes(spark, sf_dir)
     ext, fits = gates.extreme_counts(c, c.profile), gates.band_occupancy(c, c.profile)
     copies = cut_lineage(overlap.corpus_overlap(n, n))
-    oob = gates.genre_band_check(c, c.profile).filter("state <> 'in'").groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_oob"))
+    oob = gates.genre_band_check(c, c.profile).filter("state in ('LOW', 'HIGH')").groupBy("piece_id").agg(F.count(F.lit(1)).alias("n_oob"))
     sounding = n.groupBy("piece_id").agg(F.count_distinct("bar").alias("bars"))
     return feedback.fitness(ext, fits, copies, sounding, oob, cut_lineage(calibrate.gate_thresholds(ext, fits, copies)))
 
@@ -467,7 +472,7 @@ def bootstrap_overlap(spark, sf_dir):
     """Bootstrap interval of mean nearest-neighbour overlap per genre."""
     n = tables.notes(spark, sf_dir)
     df = overlap.corpus_overlap(n, n).join(tables.pieces(spark, sf_dir), "piece_id").withColumn("row_id", F.col("piece_id"))
-    return r6(dose.bootstrap_mean(df, ["genre"], "overlap"), "mean", "lo", "hi")
+    return r6(dose.poisson_bootstrap_mean(df, ["genre"], "overlap"), "mean", "lo", "hi")
 
 
 def grammar_roundtrip(spark, sf_dir):
@@ -586,7 +591,7 @@ def build() -> dict[str, Query]:
     for q in (
         fingerprint_axes, corpus_balanced_values, corpus_breakpoints, corpus_shapes, corpus_genre_bands,
         corpus_extreme_budget, percentile_profile, band_profile, band_summary, genre_band_check, global_band_check,
-        genre_extremes, genre_fit, copy_risk, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
+        genre_extremes, genre_fit, copy_risk, copy_risk_prefiltered, copy_overlap_exact, copy_budget, nearest_neighbors, neighbor_tendencies,
         centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity, pattern_catalog,
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,

@@ -54,6 +54,49 @@ def test_overlap_matches_brute_force_and_ignores_shifts(spark):
     assert top == pytest.approx(got)  # five pieces: nothing is left out by the pre-filter
 
 
+def test_overlap_has_no_limit_on_bars(spark):
+    rows = [("a", bar, 0.5 * (bar % 7), 60 + bar % 5) for bar in range(1, 30)]
+    far = [("b", bar + 5000, o, m) for _, bar, o, m in rows]
+    wide = [("c", bar * 200_003, o, m) for _, bar, o, m in rows]
+    df = notes_frame(spark, rows + far + wide)
+    got = {r["piece_id"]: (r["song"], r["overlap"], r["bar_offset"]) for r in overlap.corpus_overlap(df, df).collect()}
+    assert got["a"] == ("b", 1.0, 5000) and got["b"] == ("a", 1.0, -5000)
+
+
+def test_a_piece_without_a_partner_has_no_risk(spark):
+    df = notes_frame(spark, [("a", 1, 0.0, 60), ("a", 2, 0.0, 60)])
+    rows = overlap.copy_risk(df, df).collect()
+    assert [(r["piece_id"], r["song"], r["copy_risk"], r["passed"]) for r in rows] == [("a", None, 0.0, True)]
+
+
+@pytest.mark.parametrize("k, n", [(0, 0), (0, 5), (1, 1), (3, 5), (8, 8), (7, 12), (5, 12), (60, 100), (600, 1100), (1500, 2900), (50_200, 100_001), (101_000, 200_500)])
+def test_sign_test_is_exact_for_any_n(spark, k, n):
+    from fractions import Fraction
+
+    term, tail = math.comb(n, k), 0
+    for i in range(k, n + 1):
+        tail += term
+        term = term * (n - i) // (i + 1)
+    want = float(Fraction(tail, 2**n)) if k else 1.0
+    got = spark.range(1).select(dose.sign_test(F.lit(k), F.lit(n)).alias("p")).first()["p"]
+    assert got == pytest.approx(want, rel=1e-8)
+
+
+def test_poisson_counts_have_no_upper_end():
+    cdf = dose._poisson_cdf()
+    assert len(cdf) > 15 and cdf == sorted(cdf) and 1 - cdf[-1] < 1e-15
+    assert cdf[1] - cdf[0] == pytest.approx(math.exp(-1)) and cdf[3] - cdf[2] == pytest.approx(math.exp(-1) / 6)
+
+
+def test_small_genres_keep_their_pieces(spark):
+    from stavelake.plans import registry
+
+    fitness = registry.build()["piece_fitness"](spark, SF)
+    assert fitness.count() == tables.pieces(spark, SF).count()
+    states = registry.build()["genre_band_check"](spark, SF)
+    assert states.select("piece_id").distinct().count() == fitness.count()
+
+
 def test_overlap_is_the_same_for_any_block_size(spark, monkeypatch):
     n = tables.notes(spark, SF)
     whole = {r["piece_id"]: (r["song"], r["hits"]) for r in overlap.corpus_overlap(n, n).collect()}
@@ -90,18 +133,27 @@ def test_dose_summary(spark):
 
 def test_bootstrap_interval_holds_the_mean(spark):
     rows = [("a", i, float(i % 10)) for i in range(200)]
-    r = dose.bootstrap_mean(spark.createDataFrame(rows, "g string, row_id long, v double"), ["g"], "v", draws=400).first()
+    r = dose.poisson_bootstrap_mean(spark.createDataFrame(rows, "g string, row_id long, v double"), ["g"], "v", draws=400).first()
     assert r["lo"] < r["mean"] == 4.5 < r["hi"] and r["hi"] - r["lo"] == pytest.approx(2 * 1.96 * 2.872 / math.sqrt(200), rel=0.25)
 
 
 @pytest.mark.parametrize("metric", sorted(levers.LEVERS))
 def test_levers_are_pure_and_dose_zero_is_identity(spark, metric):
     n = tables.notes(spark, SF)
-    cols = ["piece_id", "bar", "voice", "slot", "dur_slots", "midi"]
+    cols = ["piece_id", "bar", "voice", "slot", "dur_slots", "midi", "grid"]
     same = levers.perturb(n, metric, 0.0)
     assert same is n
     a, b = levers.perturb(n, metric, 0.6).select(cols), levers.perturb(n.repartition(5), metric, 0.6).select(cols)
-    assert a.exceptAll(b).isEmpty() and not a.exceptAll(n.select(cols)).unionAll(n.select(cols).exceptAll(a)).isEmpty() or metric == "rhy_triplet_share"
+    assert a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
+    assert not a.exceptAll(n.select(cols)).unionAll(n.select(cols).exceptAll(a)).isEmpty()
+
+
+def test_triplet_lever_moves_bars_and_their_notes_together(spark):
+    n, b = tables.notes(spark, SF), tables.bars(spark, SF)
+    notes = levers.perturb(n, "rhy_triplet_share", 0.5).select("piece_id", "bar", "grid").distinct()
+    bars = levers.perturb_bars(b, "rhy_triplet_share", 0.5)
+    assert 0 < bars.filter("is_triplet").count() < bars.count()
+    assert notes.join(bars.filter("is_triplet = (grid = 12)"), ["piece_id", "bar", "grid"], "left_anti").isEmpty()
 
 
 @pytest.mark.parametrize("kind", [k for k in anomaly.KINDS if k != "parallel_fifths"])
