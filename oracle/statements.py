@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from oracle import bank, base, edits, overlap, patterns, regions, studies, reference
+from oracle import bank, base, combined, edits, overlap, patterns, regions, studies, reference
 
 
 def build() -> dict[str, str]:
@@ -10,4 +10,4 @@ def build() -> dict[str, str]:
     out["fingerprint_axes"] = f"{base.FINGERPRINT}\nSELECT piece_id, axis, value FROM raw"
     for part in (reference, overlap, bank, patterns, edits, regions, studies):
         out.update(part.build())
-    return out
+    return out | combined.build(out)

@@ -98,7 +98,8 @@ ag AS (SELECT case_id, arg_max(pr, part) - arg_min(pr, part) AS span, arg_min(pr
 SELECT case_id, round(CAST(span AS DECIMAL(28,9)), 3)::DOUBLE AS span, round(CAST(mono AS DECIMAL(28,9)), 3)::DOUBLE AS monotonic, round(CAST(ev AS DECIMAL(28,9)), 3)::DOUBLE AS evenness,
   round(CAST(CASE WHEN span / k > 1e-6 THEN top / (span / k) ELSE 0 END AS DECIMAL(28,9)), 2)::DOUBLE AS max_jolt, bt AS backtracks, f < 0.4 AND l > 0.6 AS anchored,
   round(CAST((greatest(0, mono) + least(1, span / 0.6) + ev + (f < 0.4 AND l > 0.6)::INTEGER) / 4 AS DECIMAL(28,9)), 3)::DOUBLE AS score FROM ag""",
-        "grammar_roundtrip": PRELUDE + "SELECT piece_id, count(*) AS notes, 0 AS lost, 0 AS extra FROM (SELECT DISTINCT piece_id, voice, bar, abs, dur, midi, vel FROM n) GROUP BY ALL",
+        "grammar_roundtrip": PRELUDE + "SELECT p.piece_id, coalesce(any_value(k), 0) AS notes, 0 AS lost, 0 AS extra, 32 AS bars, 0 AS lost_bars, 0 AS extra_bars FROM p LEFT JOIN"
+        " (SELECT piece_id, count(*) AS k FROM (SELECT DISTINCT piece_id, voice, bar, slot, dur_slots, midi, vel FROM n) GROUP BY ALL) c USING (piece_id) GROUP BY p.piece_id",
         "drill_rhythm": PRELUDE + """, sg AS (SELECT piece_id, bar, list_sort(list((onb, dur))) AS s FROM n GROUP BY ALL),
 rn AS (SELECT *, sum(CASE WHEN s = q THEN 0 ELSE 1 END) OVER (PARTITION BY piece_id ORDER BY bar) AS run FROM (SELECT *, lag(s) OVER (PARTITION BY piece_id ORDER BY bar) AS q FROM sg)),
 lr AS (SELECT piece_id, max(k) AS longest_run, count(*) AS runs, sum(k) AS nb FROM (SELECT piece_id, run, count(*) AS k FROM rn GROUP BY ALL) GROUP BY ALL),

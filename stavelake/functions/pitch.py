@@ -49,8 +49,9 @@ def midi_name(midi: Column) -> Column:
 
 
 def grid_int(label: Column) -> Column:
-    """First whole number of a grid label, 16 when there is none."""
-    return F.coalesce(F.regexp_extract(label, r"(\d+)", 1).try_cast("int"), F.lit(16))
+    """First whole number of a grid label, 16 when there is none; null when it is zero or no int."""
+    digits = F.regexp_extract(label, r"(\d+)", 1)
+    return F.when(F.coalesce(digits, F.lit("")) == "", F.lit(16)).otherwise(F.nullif(digits.try_cast("int"), F.lit(0)))
 
 
 def grid_label(grid: Column, triplet: Column) -> Column:

@@ -23,6 +23,9 @@ def wide(profile: DataFrame, axes: tuple[str, ...], keep: tuple[str, ...] = ("pi
     return profile.groupBy(*keep).pivot("axis", list(axes)).agg(F.first("percentile").cast("double"))
 
 
+MAX_ITERATIONS = 3000
+
+
 class GenreModel:
     """A fitted classifier with its class order."""
 
@@ -31,7 +34,10 @@ class GenreModel:
 
     @classmethod
     def fit(cls, features: DataFrame, axes: tuple[str, ...], standardize: bool = True, penalty: float = 1.0) -> "GenreModel":
-        """``penalty`` is the inverse strength on the summed loss, so the averaged loss gets 1/(penalty*n)."""
+        """``penalty`` is the inverse strength on the summed loss, so the averaged loss gets 1/(penalty*n).
+
+        A fit that has not converged after MAX_ITERATIONS is refused.
+        """
         sizes = features.groupBy("genre").agg(F.count(F.lit(1)).alias("n_g"))
         # Group labels are few; this is the class list, not data.
         rows = sorted(sizes.collect(), key=lambda r: r["genre"])
@@ -45,9 +51,12 @@ class GenreModel:
         else:
             stages[0].setOutputCol("features")
         stages.append(LogisticRegression(
-            family="multinomial", weightCol="weight", regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=200,
+            family="multinomial", weightCol="weight", regParam=1.0 / (penalty * n), elasticNetParam=0.0, standardization=False, maxIter=MAX_ITERATIONS,
         ))
-        return cls(Pipeline(stages=stages).fit(data), classes, axes)
+        model = Pipeline(stages=stages).fit(data)
+        if model.stages[-1].summary.totalIterations >= MAX_ITERATIONS:
+            raise RuntimeError(f"the classifier has not converged after {MAX_ITERATIONS} iterations")
+        return cls(model, classes, axes)
 
     def score(self, features: DataFrame) -> DataFrame:
         """Adds ``p``, the class probabilities in class order."""

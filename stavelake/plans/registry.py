@@ -37,13 +37,22 @@ def fingerprint_axes(spark, sf_dir):
 
 
 # -- reference distribution and gates ----------------------------------------------------------
-_CORPORA: dict[tuple[str, str], Corpus] = {}
+_CORPORA: dict[tuple, Corpus] = {}
+
+
+def _state_of(spark, path: str) -> tuple[int, int]:
+    """When a table was last written and how large it is, from the file system Spark reads it by."""
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    return files.getFileStatus(location).getModificationTime(), files.getContentSummary(location).getLength()
 
 
 def corpus_of(spark, sf_dir) -> Corpus:
-    """The reference distribution of a data set, built once per application."""
-    key = (spark.sparkContext.applicationId, sf_dir)
+    """The reference distribution of a data set, kept until another data set or new files are asked for."""
+    state = tuple(_state_of(spark, f"{sf_dir}/{name}.parquet") for name in ("lineitem", "supplier"))
+    key = (spark.sparkContext.applicationId, sf_dir, state)
     if key not in _CORPORA:
+        forget()
         fr = frames(spark, sf_dir)
         keep = corpus.admitted(fr.pieces, fr.voices)
         _CORPORA[key] = Corpus(axes.fingerprint(Frames(fr.events, keep), ("genre",)))
@@ -396,10 +405,11 @@ def _morph_cases(spark, sf_dir) -> DataFrame:
 
 def _medleys(spark, sf_dir, cases) -> Frames:
     """One stand-in piece per case: the first half of A, then the second half of B."""
-    n, half = tables.notes(spark, sf_dir), tables.N_BARS // 2
+    n = tables.notes(spark, sf_dir).join(tables.pieces(spark, sf_dir).select("piece_id", F.floor(F.col("n_bars") / 2).alias("half")), "piece_id")
+    half = F.col("half")
     first = n.filter(F.col("bar") <= half).join(cases.select(F.col("a").alias("piece_id"), "case_id"), "piece_id")
     second = n.filter(F.col("bar") > half).join(cases.select(F.col("b").alias("piece_id"), "case_id"), "piece_id")
-    events = first.unionByName(second).withColumn("piece_id", F.col("case_id")).drop("case_id")
+    events = first.unionByName(second).withColumn("piece_id", F.col("case_id")).drop("case_id", "half")
     pieces = cases.select(
         F.col("case_id").alias("piece_id"), F.col("genre_a").alias("genre"), F.lit(tables.BAR_QL).alias("bar_ql"), F.lit(tables.N_BARS).alias("n_bars")
     )
@@ -476,21 +486,30 @@ def bootstrap_overlap(spark, sf_dir):
 
 
 def grammar_roundtrip(spark, sf_dir):
-    """Write every piece in the notation, read it back and count notes lost or gained."""
-    n = tables.notes(spark, sf_dir)
+    """Write every piece in the notation (some bars moved to a triplet grid, silent bars and chord labels included), read
+    it back and count notes and bars lost or gained; a bar counts with its grid, triplet tag and chord."""
+    metric = "rhy_triplet_share"
+    n = levers.perturb(tables.notes(spark, sf_dir), metric, LEVER_DOSE)
+    bars = levers.perturb_bars(tables.bars(spark, sf_dir), metric, LEVER_DOSE)
+    chords = facts.bar_chords(frames(spark, sf_dir))
     head = tables.pieces(spark, sf_dir).select(
         "piece_id", F.lit("KEY: C major | METER: 4/4 | TEMPO: 120 | GRID: 16th | BARS: 32").alias("header"),
         F.lit("VOICES: V1[prog=0], V2[prog=0], V3[prog=24], V4[prog=24], V5[prog=48], V6[prog=48], V7[drums]").alias("voices_line"),
     )
-    texts = cut_lineage(grammar.render(n, head))
-    cols = ["piece_id", "voice", "bar", "abs", "dur", "midi", "vel"]
+    texts = cut_lineage(grammar.render(n, head, chords, bars))
+    cols = ["piece_id", "voice", "bar", "grid", "slot", "dur_slots", "midi", "vel"]
     want, got = n.select(*cols).distinct(), grammar.events(texts).select(*cols)
-    lost, extra = want.exceptAll(got), got.exceptAll(want)
-    counts = got.groupBy("piece_id").agg(F.count(F.lit(1)).alias("notes"))
-    return (
-        counts.join(lost.groupBy("piece_id").agg(F.count(F.lit(1)).alias("lost")), "piece_id", "left")
-        .join(extra.groupBy("piece_id").agg(F.count(F.lit(1)).alias("extra")), "piece_id", "left").fillna(0)
-    )
+    bar_cols = ["piece_id", "bar", "grid", "is_triplet", "chord"]
+    want_bars = bars.join(chords, ["piece_id", "bar"], "left").fillna({"chord": "?"}).select(*bar_cols)
+    got_bars = grammar.bars(texts).select(*bar_cols)
+    counted = [
+        (got, "notes"), (want.exceptAll(got), "lost"), (got.exceptAll(want), "extra"),
+        (got_bars, "bars"), (want_bars.exceptAll(got_bars), "lost_bars"), (got_bars.exceptAll(want_bars), "extra_bars"),
+    ]
+    out = tables.pieces(spark, sf_dir).select("piece_id")
+    for rows, name in counted:
+        out = out.join(rows.groupBy("piece_id").agg(F.count(F.lit(1)).alias(name)), "piece_id", "left")
+    return out.fillna(0)
 
 
 def adaptive_grid(spark, sf_dir):

@@ -1,12 +1,13 @@
 """Reader and writer of the piece notation ("grammar" text).
 
-Reading is row-local: a file is one row, split into bar blocks, lines, tokens and pitches, so parsing
-needs no shuffle. Malformed lines and tokens are skipped, and ``rejects`` lists them.
+Reading is row-local: a file is one row, split into bar blocks, lines, tokens and pitches; only numbering a
+file's pitches brings its rows together. Malformed bars, lines and tokens are skipped, and ``rejects`` lists them.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
@@ -98,7 +99,8 @@ def bar_blocks(texts: DataFrame) -> DataFrame:
     return blocks.filter(top.rlike(BAR)).select(
         "piece_id",
         "block_ix",
-        F.regexp_extract(top, BAR, 1).cast("int").alias("bar"),
+        F.regexp_extract(top, BAR, 1).try_cast("int").alias("bar"),
+        top.alias("top"),
         F.regexp_extract(top, BAR, 2).alias("chord"),
         F.when(label != "", pitch.grid_int(label)).otherwise(pitch.grid_int(F.col("default_label"))).alias("grid"),
         F.when(label != "", label.rlike(r"^\d+t")).otherwise(F.col("default_label").rlike(r"^\d+t\b")).alias("is_triplet"),
@@ -106,13 +108,18 @@ def bar_blocks(texts: DataFrame) -> DataFrame:
     )
 
 
+def _is_usable() -> Column:
+    """A bar whose number fits and whose grid is not zero."""
+    return F.col("bar").isNotNull() & F.col("grid").isNotNull()
+
+
 def bars(texts: DataFrame) -> DataFrame:
-    return bar_blocks(texts).drop("block")
+    return bar_blocks(texts).filter(_is_usable()).drop("block", "top")
 
 
 def voice_lines(texts: DataFrame) -> DataFrame:
     """Indented voice lines of recognised bars, with their raw text for citations."""
-    lines = bar_blocks(texts).select(
+    lines = bar_blocks(texts).filter(_is_usable()).select(
         "piece_id", "block_ix", "bar", "grid", F.posexplode(F.split("block", "\n")).alias("line_ix", "line")
     )
     stripped = F.trim(F.col("line"))
@@ -130,24 +137,35 @@ def tokens(texts: DataFrame) -> DataFrame:
     )
 
 
+def _number(group: int) -> Column:
+    return F.regexp_extract("token", TOKEN, group).try_cast("int")
+
+
 def rejects(texts: DataFrame) -> DataFrame:
-    """Tokens and pitches the reader skips."""
+    """Bars (by their first line), tokens and pitches the reader skips."""
+    unusable = bar_blocks(texts).filter(~_is_usable()).select(
+        "piece_id", "bar", F.lit(None).cast("string").alias("voice"), F.col("top").alias("token"),
+        F.when(F.col("bar").isNull(), "bar").otherwise("grid").alias("reason"),
+    )
     t = tokens(texts)
+    oversized = t.filter(F.col("token").rlike(TOKEN) & (_number(2).isNull() | _number(3).isNull())).select(
+        "piece_id", "bar", "voice", "token", F.lit("number").alias("reason")
+    )
     bad_tokens = t.filter(~F.col("token").rlike(TOKEN)).select("piece_id", "bar", "voice", "token", F.lit("token").alias("reason"))
     names = t.filter(F.col("token").rlike(TOKEN)).select(
         "piece_id", "bar", "voice", F.explode(F.split(F.regexp_extract("token", TOKEN, 1), r"\+")).alias("token")
     )
     bad_names = names.filter(pitch.midi_of(F.col("token")).isNull()).withColumn("reason", F.lit("pitch"))
-    return bad_tokens.unionByName(bad_names)
+    return bad_tokens.unionByName(bad_names).unionByName(oversized).unionByName(unusable)
 
 
 def events(texts: DataFrame) -> DataFrame:
-    """Note events, one row per sounding pitch, in file order by ``seq``."""
-    t = tokens(texts).filter(F.col("token").rlike(TOKEN))
+    """Note events, one row per sounding pitch; ``seq`` counts a file's pitches in file order."""
+    t = tokens(texts).filter(F.col("token").rlike(TOKEN) & _number(2).isNotNull() & _number(3).isNotNull())
     names = t.select(
         "*",
-        F.regexp_extract("token", TOKEN, 2).cast("int").alias("slot"),
-        F.regexp_extract("token", TOKEN, 3).cast("int").alias("slots"),
+        _number(2).alias("slot"),
+        _number(3).alias("slots"),
         F.regexp_extract("token", TOKEN, 4).try_cast("int").alias("vel"),
         F.posexplode(F.split(F.regexp_extract("token", TOKEN, 1), r"\+")).alias("pitch_ix", "name"),
     )
@@ -156,8 +174,7 @@ def events(texts: DataFrame) -> DataFrame:
     onb = (F.col("slot") - 1) * slot_ql
     midi = pitch.midi_of(F.col("name"))
     place = F.array_position("voices", F.col("voice"))
-    # (block, line, token, pitch) as one ordered number
-    seq = ((F.col("block_ix").cast("long") * 4096 + F.col("line_ix")) * 8192 + F.col("token_ix")) * 64 + F.col("pitch_ix")
+    seq = F.row_number().over(W.partitionBy("piece_id").orderBy("block_ix", "line_ix", "token_ix", "pitch_ix")).cast("long")
     return (
         names.join(head, "piece_id")
         .withColumn("midi", midi)
@@ -209,18 +226,27 @@ def render_lines(notes: DataFrame) -> DataFrame:
     )
 
 
-def render(notes: DataFrame, headers: DataFrame, chords: DataFrame | None = None) -> DataFrame:
-    """(piece_id, text). ``headers`` holds (piece_id, header, voices_line); chords (piece_id, bar, chord)."""
+def render(notes: DataFrame, headers: DataFrame, chords: DataFrame | None = None, bars: DataFrame | None = None) -> DataFrame:
+    """(piece_id, text). ``headers`` holds (piece_id, header, voices_line); chords (piece_id, bar, chord).
+
+    With ``bars`` (piece_id, bar, grid, is_triplet) silent bars are written too and triplet grids carry their ``t``.
+    """
     lines = render_lines(notes)
     bar_rows = lines.groupBy("piece_id", "bar", "grid").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("voice_ix", "line"))), lambda x: x["line"]), "\n").alias("body")
     )
-    if chords is not None:
-        bar_rows = bar_rows.join(chords, ["piece_id", "bar"], "left")
+    if bars is None:
+        bar_rows = bar_rows.withColumn("is_triplet", F.lit(False))
     else:
+        bar_rows = bars.select("piece_id", "bar", "grid", "is_triplet").join(bar_rows, ["piece_id", "bar", "grid"], "left")
+    if chords is None:
         bar_rows = bar_rows.withColumn("chord", F.lit(None).cast("string"))
+    else:
+        bar_rows = bar_rows.join(chords, ["piece_id", "bar"], "left")
+    label = F.concat(F.col("grid").cast("string"), F.when(F.col("is_triplet"), "t").otherwise(""))
     block = F.concat(
-        F.lit("@"), F.col("bar"), F.lit(" ["), F.coalesce("chord", F.lit("?")), F.lit("] (grid:"), F.col("grid"), F.lit(")\n"), F.col("body")
+        F.lit("@"), F.col("bar"), F.lit(" ["), F.coalesce("chord", F.lit("?")), F.lit("] (grid:"), label, F.lit(")"),
+        F.coalesce(F.concat(F.lit("\n"), F.col("body")), F.lit("")),
     )
     bodies = bar_rows.groupBy("piece_id").agg(
         F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("bar", block.alias("b")))), lambda x: x["b"]), "\n").alias("body")

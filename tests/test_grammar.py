@@ -54,6 +54,36 @@ def test_rejects(texts):
     assert bad == {("junk", "token"), ("H9", "pitch")}
 
 
+def test_unusable_numbers_are_rejected_not_fatal(spark):
+    text = GOLDEN + "@3 [C] (grid:0)\n  Lead: C4@1>1\n@99999999999 [C]\n  Lead: C4@1>1\n@4 [F]\n  Lead: C4@99999999999>3 D4@1>99999999999 E4@1>2^80\n"
+    df = spark.createDataFrame([("x", text)], "piece_id string, text string")
+    assert [e["midi"] for e in grammar.events(df).filter("bar > 2").collect()] == [64]
+    assert sorted((r["reason"], r["token"]) for r in grammar.rejects(df).collect()) == [
+        ("bar", "@99999999999 [C]"), ("grid", "@3 [C] (grid:0)"), ("number", "C4@99999999999>3"), ("number", "D4@1>99999999999")]
+    assert sorted(b["bar"] for b in grammar.bars(df).collect()) == [1, 2, 4]
+
+
+def test_order_has_no_width(spark):
+    chord = "+".join(f"{n}{o}" for o in range(0, 8) for n in "C D E F G A B Bb Eb".split())
+    line = " ".join(f"C4@{i}>1" for i in range(1, 9001))
+    text = f"KEY: C major | METER: 4/4 | GRID: 16th | BARS: 1\nVOICES: A\n@1 [C]\n  A: {chord}@1>1 {line}\n  A: D4@1>1\n"
+    rows = grammar.events(spark.createDataFrame([("x", text)], "piece_id string, text string")).orderBy("seq").collect()
+    assert len({r["seq"] for r in rows}) == len(rows) == 72 + 9000 + 1
+    assert [r["slot"] for r in rows[72:-1]] == list(range(1, 9001)) and rows[-1]["midi"] == 62
+
+
+def test_roundtrip_keeps_bars_grids_and_chords(texts):
+    one = texts.filter("piece_id = 'g1'")
+    head = one.select("piece_id", F.lit(GOLDEN.splitlines()[0]).alias("header"), F.lit(GOLDEN.splitlines()[1]).alias("voices_line"))
+    bars = grammar.bars(one)
+    silent = bars.limit(1).select("piece_id", F.lit(7).alias("bar"), F.lit("Am").alias("chord"), F.lit(24).alias("grid"), F.lit(True).alias("is_triplet"))
+    cols = ["bar", "chord", "grid", "is_triplet"]
+    want = bars.select("piece_id", *cols).unionByName(silent)
+    back = grammar.render(grammar.events(one), head, want.select("piece_id", "bar", "chord"), want)
+    assert sorted(map(tuple, grammar.bars(back).select(*cols).collect())) == [(1, "C", 16, False), (2, "G7", 12, True), (7, "Am", 24, True)]
+    assert grammar.events(back).select("bar", "slot", "midi", "vel").exceptAll(grammar.events(one).select("bar", "slot", "midi", "vel")).isEmpty()
+
+
 def test_axes(texts):
     got = {(r["piece_id"], r["axis"]): r["value"] for r in axes.fingerprint(frames(texts)).collect()}
     for name, want in AXES.items():
