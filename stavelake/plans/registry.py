@@ -593,10 +593,42 @@ def voice_removal(spark, sf_dir):
 
 def best_rounds(spark, sf_dir):
     """Score each region of a piece as a round of one case and keep the best."""
+    return rounds.pick_best(_region_rounds(spark, sf_dir), rounds.orders()["gap"])
+
+
+def _region_rounds(spark, sf_dir) -> DataFrame:
     fitness = region_fitness(spark, sf_dir)
     turn = F.element_at(F.create_map(*[F.lit(x) for kv in (("start", 1), ("infill", 2), ("cont", 3)) for x in kv]), F.col("type"))
-    results = fitness.select(F.split("piece_id", r"\|")[0].alias("case_id"), turn.alias("round"), "score", "converged")
-    return rounds.pick_best(results, rounds.orders()["gap"])
+    return fitness.select(F.split("piece_id", r"\|")[0].alias("case_id"), turn.alias("round"), "score", "converged")
+
+
+def loop_benefit(spark, sf_dir):
+    """First against best round of every case, with the regions of a piece as its rounds."""
+    return r6(rounds.loop_benefit(_region_rounds(spark, sf_dir), "score", rounds.orders()["gap"]), "first", "best", "gain")
+
+
+def pick_best_orders(spark, sf_dir):
+    """Every pick-best order over one table of scored rounds: a piece is a case, a voice a round, its note counts the scores."""
+    n = tables.notes(spark, sf_dir)
+    count = lambda cond: F.count(F.when(cond, 1))
+    scored = n.groupBy(F.col("piece_id").alias("case_id"), F.col("voice_ix").alias("round")).agg(
+        count(F.col("midi") > 72).alias("score"), (count(F.col("vel") > 80) % 3).alias("copy_over"), (count(F.col("slot") == 1) % 4).alias("off_target"),
+        (count(F.col("midi") < 40) % 5).alias("extremes"), (count(F.col("dur_slots") > 4) % 7).alias("copy"), (count(F.col("bar") > 16) % 2).alias("copy_fails"),
+        F.when(count(F.col("bar") > 24) % 2 == 0, count(F.col("bar") < 9)).alias("morph_score"), (count(F.col("pc") == 0) % 3).alias("groove_fit"),
+        (count(F.col("pc") == 7) % 3).alias("rhythm_sim"), (count(F.col("pc") == 4) % 3).alias("kit"), (count(F.col("pc") == 2) % 3).alias("fit"),
+        (count(F.col("pc") == 5) % 3).alias("beat_pct"), (count(F.col("pc") == 9) % 2 == 0).alias("improved"), (count(F.col("pc") == 11) % 2 == 0).alias("verdict"),
+        (count(F.col("slot") > 8) % 4).alias("failed_checks"), F.concat(F.lit("v"), F.max("voice_ix")).alias("path"),
+    )
+    parts = [rounds.pick_best(scored, order).select("case_id", F.lit(task).alias("task"), "round") for task, order in rounds.orders().items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def grammar_rejects(spark, sf_dir):
+    """Rejected tokens per piece after the velocity of every quiet token is cut off in the written text."""
+    n = tables.notes(spark, sf_dir)
+    head = tables.pieces(spark, sf_dir).select("piece_id", F.lit("KEY: C major | METER: 4/4 | GRID: 16th | BARS: 32").alias("header"), F.lit("VOICES: V1").alias("voices_line"))
+    texts = cut_lineage(grammar.render(n, head).select("piece_id", F.regexp_replace("text", r"\^56\b", "^").alias("text")))
+    return grammar.rejects(texts).groupBy("piece_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 def build() -> dict[str, Query]:
@@ -615,7 +647,7 @@ def build() -> dict[str, Query]:
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
-        piece_fitness, piece_corrections, genre_guardrail,
+        piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
         drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
