@@ -9,7 +9,7 @@ and item (sum of the lesser over sum of the greater multiplicities), which must
 differ in about 10 of 64 bits, so the radius loses about 3 in 100 windows exactly at the limit and none of near-verbatim ones.
 
 Windows that hold no shingle of any item have similarity zero and are not fingerprinted; that prunes no match. The
-benchmark is taken in blocks of ``ITEMS`` items, each broadcast (a bounded table) and run over all documents; documents are
+benchmark is taken in blocks of ``ITEMS`` items, each indexed and broadcast (some 16 MB at most) and run over all documents; documents are
 never shuffled and each is judged on its own row, whole.
 
 Defined results: null and empty texts and items match nothing; a text or item shorter than five words is one shingle and
@@ -25,7 +25,6 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,21 +38,23 @@ _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 _FILTER_BITS = 20
 
 
-class Words:
-    """Word hashes, remembered for the frequent words."""
+_PLACES = 1 << 16
+_POWERS = np.cumprod(np.concatenate([np.ones(1, np.uint64), np.full(_PLACES - 1, 0xD1342543DE82EF95, np.uint64)]), dtype=np.uint64)
+_LETTERS = np.random.default_rng(2).integers(0, 1 << 64, 256, dtype=np.uint64)
 
-    def __init__(self, most: int = 1 << 18) -> None:
-        self.known: dict[bytes, int] = {}
-        self.most = most
 
-    def of(self, data: bytes) -> np.ndarray:
-        words = data.decode("utf-8", "replace").lower().encode().translate(_TABLE).split()
-        known = self.known
-        if len(known) > self.most:
-            known.clear()
-        for word in set(words).difference(known):
-            known[word] = xxhash.xxh64_intdigest(word)
-        return np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
+def word_hashes(data: bytes) -> np.ndarray:
+    """A hash per word, polynomial in its bytes; computed for all words of a text at once."""
+    letters = np.frombuffer(data.decode("utf-8", "replace").lower().encode().translate(_TABLE), np.uint8)
+    in_word = letters != 32
+    begins = in_word.copy()
+    begins[1:] &= ~in_word[:-1]
+    own = letters[in_word]
+    if not len(own):
+        return np.zeros(0, np.uint64)
+    first = np.flatnonzero(begins[in_word])
+    place = np.arange(len(own)) - np.repeat(first, np.diff(np.append(first, len(own))))
+    return np.add.reduceat(_LETTERS[own] * _POWERS[place & (_PLACES - 1)], first)
 
 
 def shingles(words: np.ndarray) -> np.ndarray:
@@ -92,9 +93,9 @@ class Index:
     """Items by the neighbourhood of their fingerprint blocks, and their shingles."""
 
     def __init__(self, items: list[tuple[int | None, bytes]]) -> None:
-        words, found = Words(), []
+        found = []
         for item_id, data in items:
-            hashed = shingles(words.of(data))
+            hashed = shingles(word_hashes(data))
             if len(hashed):
                 found.append((item_id, hashed))
         self.ids = [item_id for item_id, _ in found]
@@ -195,14 +196,14 @@ def hit_columns(text: Column, benchmark: DataFrame) -> list[Column]:
     context = benchmark.sparkSession.sparkContext
 
     def column(items: list) -> Column:
-        shared = context.broadcast(items)
+        shared = context.broadcast(Index(items))
 
         @F.pandas_udf(HITS)
         def searched(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            index, words = Index(shared.value), Words()
+            index = shared.value
             fields = ("item_id", "start_word", "n_words", "distance", "similarity")
             for batch in batches:
-                yield pd.Series([[dict(zip(fields, hit)) for hit in index.hits(words.of(data))] for data in batch], dtype=object)
+                yield pd.Series([[dict(zip(fields, hit)) for hit in index.hits(word_hashes(data))] for data in batch], dtype=object)
 
         return searched(utf8(text))
 
