@@ -32,6 +32,17 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """The names, lengthened until none of them is a column of ``df`` (case aside)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        out.append(name)
+    return out
+
+
 def text_bytes(docs: DataFrame, column: str = "text") -> int:
     """Bytes in a text column, for choosing a number of partitions."""
     return docs.agg(F.sum(F.octet_length(column))).first()[0] or 0

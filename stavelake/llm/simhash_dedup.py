@@ -19,7 +19,6 @@ Only doc_id and text are read.
 from __future__ import annotations
 
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -28,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import cut, pieces, utf8
+from stavelake.llm.common import cut, pieces, unused, utf8
 from stavelake.llm.components import components
 
 SHINGLE, RADIUS, SEED = 3, 2, 42
@@ -171,7 +170,8 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns."""
-    keep = classes(docs).select("first").distinct().select(F.col("first.doc_id").alias("sh_doc"), F.col("first.body").alias("sh_body"))
+    doc, body = unused(docs, "first_doc", "first_body")
+    keep = classes(docs).select("first").distinct().select(F.col("first.doc_id").alias(doc), F.col("first.body").alias(body))
     own = docs.select(*(docs[c] for c in docs.columns))
-    kept = own.join(keep, own["doc_id"].eqNullSafe(keep["sh_doc"]) & (F.xxhash64(own["text"]) == keep["sh_body"]))
-    return kept.dropDuplicates(["sh_doc", "sh_body"]).select(*(own[c] for c in own.columns))
+    kept = own.join(keep, own["doc_id"].eqNullSafe(keep[doc]) & (F.xxhash64(own["text"]) == keep[body]))
+    return kept.dropDuplicates([doc, body]).select(*(own[c] for c in own.columns))

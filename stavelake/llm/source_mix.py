@@ -13,8 +13,8 @@ seed, source, level and block only and documents are put in a fixed order first,
 
 Defined results: a null text has no words; a null source is a source of its own, last in order; rows with equal
 doc_id (null included), source and size are one unit and share a decision; documents without words are decided by the
-document total alone and take nothing; an empty table gives an empty result. Only the named columns are read, and
-results are joined back by value, so other columns cannot clash.
+document total alone and take nothing; an empty table gives an empty result. All columns of the documents are kept; only
+columns named ``mix_size`` or ``mix_copies`` are replaced by the results of these names.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import WORD, cut
+from stavelake.llm.common import WORD, cut, unused
 
 EPSILON = 1e-9
 
@@ -155,13 +155,12 @@ def decisions(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
 
 def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     """The taken documents with their columns, and how often each is repeated, as ``mix_copies``."""
-    made = decisions(docs, mix).where("copies > 0").select(
-        F.struct("doc_id", "source", "size").alias("mix_key"), F.col("copies").alias("mix_copies")
+    doc, source = unused(docs, "mix_doc", "mix_source")
+    taken = decisions(docs, mix).where("copies > 0").select(
+        F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")
     )
-    made = made.select(*(F.col(f"mix_key.{c}").alias(f"mix_{c}") for c in ("doc_id", "source", "size")), "mix_copies")
-    own = docs.select(*(docs[c] for c in docs.columns if not c.startswith("mix_")))
+    own = docs.select(*(docs[c] for c in docs.columns if c not in ("mix_size", "mix_copies")))
     joined = own.join(
-        made,
-        own["doc_id"].eqNullSafe(made["mix_doc_id"]) & own["source"].eqNullSafe(made["mix_source"]) & (n_words(own["text"]) == made["mix_size"]),
+        taken, own["doc_id"].eqNullSafe(taken[doc]) & own["source"].eqNullSafe(taken[source]) & (n_words(own["text"]) == taken["mix_size"])
     )
     return joined.select(*(own[c] for c in own.columns), "mix_size", "mix_copies")

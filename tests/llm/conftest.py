@@ -6,7 +6,7 @@ DOCS = T.StructType([
     T.StructField("source", T.StringType()), T.StructField("n_chars", T.LongType()),
 ])
 #: Names that the operators might be tempted to use inside.
-CLASHING = ["kept", "fp", "body", "places", "words", "shingles", "found", "mix_size", "ld_removed", "sh_doc", "size", "key", "n"]
+CLASHING = ["kept", "fp", "body", "places", "words", "shingles", "found", "mix_size", "ld_removed", "ld_places", "first_doc", "mix_doc", "size", "key", "n"]
 
 
 @pytest.fixture

@@ -187,7 +187,7 @@ def test_simhash_matches_brute_force(documents, prose):
             base[50 * k + i % 7] = f"edit{k}"
         docs.append((i, " ".join(base), "s"))
     docs += [(40, "", "s"), (41, None, "s"), (42, "  \n ", "s"), (43, "Word", "s"), (44, "wORD", "s"), (45, prose(3, 40_000), "s")]
-    rows = simhash_dedup.classes(documents(docs, clash=True)).select("doc_id", simhash_dedup.hexadecimal("fp") if False else "fp", "first.doc_id").collect()
+    rows = simhash_dedup.classes(documents(docs, clash=True)).select("doc_id", "fp", "first.doc_id").collect()
     got = {r[0]: (f"{r[1] & (1 << 64) - 1:016x}", r[2]) for r in rows}
     assert got == brute_classes([(i, t) for i, t, _ in docs])
 
