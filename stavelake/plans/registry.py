@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, feedback, gates, levers, models, morph, overlap, patterns, prune, regions, retrieval, rounds
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, feedback, gates, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -631,6 +631,22 @@ def grammar_rejects(spark, sf_dir):
     return grammar.rejects(texts).groupBy("piece_id", "reason").agg(F.count(F.lit(1)).alias("n"))
 
 
+def voice_intervals(spark, sf_dir):
+    return lookups.voice_intervals(tables.notes(spark, sf_dir).filter("not is_drum"))
+
+
+def pitch_at_bars(spark, sf_dir):
+    """The last pitch every voice struck at or before each barline."""
+    n = tables.notes(spark, sf_dir)
+    asked = n.select("piece_id", "voice").distinct().select("*", F.explode(F.sequence(F.lit(0), F.lit(tables.N_BARS))).alias("bar"))
+    return lookups.pitch_at(n, asked.select("piece_id", "voice", (F.col("bar") * tables.BAR_QL).alias("t")))
+
+
+def copy_bars(spark, sf_dir):
+    n = tables.notes(spark, sf_dir)
+    return lookups.copy_bars(n, n)
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
@@ -647,7 +663,7 @@ def build() -> dict[str, Query]:
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
-        piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects,
+        piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
         drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
