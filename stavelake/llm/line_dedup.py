@@ -8,8 +8,8 @@ stays at its earliest place (smallest doc_id, then line number) and is removed e
 
 Defined results: a null text has no lines and stays null; blank lines are never counted or removed; a null source is a
 site of its own; a null doc_id orders first; rows with equal doc_id and text are treated alike (a repeated row that
-holds the earliest place keeps the line in each copy); an empty table gives an empty result. Internal columns live in
-slim side tables whose names are prefixed, so extra columns of the documents cannot clash.
+holds the earliest place keeps the line in each copy); an empty table gives an empty result. All columns of the documents
+are kept; only columns named ``ld_lines`` or ``ld_removed`` are replaced by the results of these names.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import cut
+from stavelake.llm.common import cut, unused
 
 #: Relative standard error of a sketch with 2^k registers is about 1.04 / 2^(k/2).
 LG_K = 11
@@ -51,29 +51,31 @@ def boilerplate(docs: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
     seen = occurrences(docs)
     margin = max(1.0, 5 * 1.04 / 2 ** (lg_k / 2) * min_sites)
     spread = seen.groupBy("h1", "h2").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", F.lit(lg_k))).alias("estimate"))
-    wide = spread.where(F.col("estimate") >= min_sites - margin)
+    # Written tables on the small side of a join let Spark split a hot line's rows on the large side.
+    wide = cut(spread.where(F.col("estimate") >= min_sites - margin))
     found = cut(seen.join(wide, ["h1", "h2"]))
     near = found.where(F.col("estimate") <= min_sites + margin)
     exact = near.select("h1", "h2", "site").distinct().groupBy("h1", "h2").agg(F.count("*").alias("sites"))
     sure = found.where(F.col("estimate") > min_sites + margin).select("h1", "h2").distinct()
     spread_wide = sure.unionByName(exact.where(F.col("sites") >= min_sites).select("h1", "h2"))
     first = found.groupBy("h1", "h2").agg(F.min(F.struct("doc", "place")).alias("first"))
-    hit = found.join(spread_wide.join(first, ["h1", "h2"]), ["h1", "h2"])
+    hit = found.join(cut(spread_wide.join(first, ["h1", "h2"])), ["h1", "h2"])
     return hit.where(~F.struct("doc", "place").eqNullSafe(F.col("first"))).select("doc", "body", "place")
 
 
 def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     """Documents with their columns, the text without boilerplate lines, and ``ld_lines``, ``ld_removed`` (counts)."""
     drop = boilerplate(docs, min_sites).groupBy("doc", "body").agg(F.collect_set("place").alias("places"))
-    drop = drop.select(F.col("doc").alias("ld_doc"), F.col("body").alias("ld_body"), "places").withColumnRenamed("places", "ld_places")
-    own = docs.select(*(docs[c] for c in docs.columns if not c.startswith("ld_")))
-    joined = own.join(drop, own["doc_id"].eqNullSafe(drop["ld_doc"]) & (F.xxhash64(own["text"]) == drop["ld_body"]), "left")
+    doc, body, places = unused(docs, "ld_doc", "ld_body", "ld_places")
+    drop = drop.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("places").alias(places))
+    own = docs.select(*(docs[c] for c in docs.columns if c not in ("ld_lines", "ld_removed")))
+    joined = own.join(drop, own["doc_id"].eqNullSafe(drop[doc]) & (F.xxhash64(own["text"]) == drop[body]), "left")
     lines = lines_of(own["text"])
-    kept = F.filter(lines, lambda line, i: ~F.array_contains(F.col("ld_places"), i))
-    text = F.when(F.col("ld_places").isNull(), own["text"]).otherwise(F.array_join(kept, "\n"))
+    kept = F.filter(lines, lambda line, i: ~F.array_contains(drop[places], i))
+    text = F.when(drop[places].isNull(), own["text"]).otherwise(F.array_join(kept, "\n"))
     n_lines = F.coalesce(F.size(F.filter(lines, lambda line: bare(line) != "")), F.lit(0))
     return joined.select(
         *(text.alias(c) if c == "text" else own[c] for c in own.columns),
         F.greatest(n_lines, F.lit(0)).cast("long").alias("ld_lines"),
-        F.greatest(F.size("ld_places"), F.lit(0)).cast("long").alias("ld_removed"),
+        F.greatest(F.size(drop[places]), F.lit(0)).cast("long").alias("ld_removed"),
     )
