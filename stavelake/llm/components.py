@@ -1,4 +1,7 @@
-"""Connected components of an edge list by alternating large and small stars, each star a grouped minimum and a join."""
+"""Connected components of an edge list by alternating large and small stars, each star a grouped minimum and a join.
+
+The minima are written before they are joined, so that the join can split the edges of a node with very many neighbours.
+"""
 
 from __future__ import annotations
 
@@ -16,7 +19,7 @@ def _large_star(edges: DataFrame) -> DataFrame:
     """Every greater neighbour of u is linked to the least of u and its neighbours."""
     around = _both_ways(edges)
     least = around.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("centre"), F.least("u", "m").alias("m"))
-    joined = around.where("v > u").join(least, F.col("u") == F.col("centre"))
+    joined = around.where("v > u").join(cut(least), F.col("u") == F.col("centre"))
     return joined.select(F.col("v").alias("u"), F.col("m").alias("v"))
 
 
@@ -24,7 +27,7 @@ def _small_star(edges: DataFrame) -> DataFrame:
     """u and its lesser neighbours are linked to the least of them."""
     down = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v")
     least = down.groupBy("u").agg(F.min("v").alias("m")).withColumnRenamed("u", "centre")
-    joined = down.join(least, F.col("u") == F.col("centre"))
+    joined = down.join(cut(least), F.col("u") == F.col("centre"))
     moved = joined.select(F.explode(F.array(F.struct(F.col("v").alias("u"), F.col("m").alias("v")), F.struct(F.col("u").alias("u"), F.col("m").alias("v")))).alias("e"))
     return moved.select("e.*").where("u <> v").distinct()
 
