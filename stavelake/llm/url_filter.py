@@ -124,7 +124,7 @@ def host_scores(pages: DataFrame, per_page: DataFrame, graph: Graph) -> DataFram
 def filtered(pages: DataFrame, rules: tuple[Rule, ...], graph: Graph = Graph()) -> DataFrame:
     """page_id, host, path, rule, verdict, trust, distrust per page."""
     per_page = judged(pages, rules)
-    scores = host_scores(pages, per_page, graph)
+    scores = cut(host_scores(pages, per_page, graph))  # written, so that the join can split a host with very many pages
     blocked = F.coalesce(F.col("distrust") - F.col("trust") > graph.margin, F.lit(False))
     return per_page.join(scores, "host", "left").select(
         "page_id", "host", "path", "rule",
