@@ -6,8 +6,9 @@ empty skippable frame as line separator, so the file is a valid Zstandard stream
 lost executor repeats its tasks only. Records with equal payloads (SHA-256) are written once, as the response with the
 smallest page_id; the others are revisit records, which keep the HTTP header and so the length of the payload.
 
-The dictionary is trained on a bounded sample of the records (``Options.samples`` records in the order of a hash, drawn
-among those up to ``sample_bytes``); every record is written and every byte of it is compressed.
+The dictionary is trained on a bounded sample of the records: those up to ``Options.sample_bytes`` are drawn by a hash with
+the chance that gives ``samples`` of them, and twice as many at most reach the driver. Every record is written and every
+byte of it is compressed.
 
 Defined results: null html is an empty payload; null page_ids sort last, and among equal payloads all rows with the
 smallest page_id are responses (also if it is null or repeated); a null url is written as an empty target; very long
@@ -27,7 +28,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stavelake.llm.common import utf8
+from stavelake.llm.common import cut, utf8
 
 #: Fixed values of the format: skippable frame magics (the second marks a dictionary) and the empty frame as separator.
 SKIPPABLE, DICTIONARY = 0x184D2A50, 0x184D2A5D
@@ -130,9 +131,10 @@ def records_in(archive: bytes) -> Iterator[bytes]:
 def dictionary(pages: DataFrame, options: Options = Options()) -> bytes:
     """A dictionary trained on a bounded sample; empty where there are too few records to train on."""
     rows = pages.select("page_id", "url", utf8(pages["html"]).alias("payload")).where(F.octet_length("payload").between(1, options.sample_bytes))
-    order = F.xxhash64("page_id", "payload")
-    sample = rows.orderBy(order, "page_id").limit(options.samples).collect()
-    records = [record_bytes(r["page_id"], r["url"], bytes(r["payload"]), None, False) for r in sample]
+    share = min(1.0, options.samples / max(1, rows.count()))
+    drawn = F.pmod(F.xxhash64("page_id", "payload"), F.lit(1 << 32)) < int(share * (1 << 32))
+    sample = rows.where(drawn).limit(2 * options.samples).collect()
+    records = sorted(record_bytes(r["page_id"], r["url"], bytes(r["payload"]), None, False) for r in sample)
     if len(records) < 16:
         return b""
     return zstandard.train_dictionary(min(options.dictionary_bytes, sum(map(len, records)) // 8), records).as_bytes()
@@ -143,7 +145,8 @@ def linked(pages: DataFrame, min_payload: int = 0) -> DataFrame:
     rows = pages.select(
         pages["page_id"], pages["url"], utf8(pages["html"]).alias("payload"),
     ).withColumn("key", F.unhex(F.sha2("payload", 256)))
-    again = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    repeated = rows.groupBy("key").agg(F.min("page_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    again = cut(repeated)  # written, so that the join below can split a payload that very many pages share
     is_revisit = F.coalesce(F.octet_length("payload") >= min_payload, F.lit(False)) & F.col("first").isNotNull() & ~F.col("page_id").eqNullSafe(F.col("first"))
     joined = rows.join(again, "key", "left")
     return joined.select("page_id", "url", "payload", F.when(is_revisit, F.col("first")).alias("refers_to"), is_revisit.alias("is_revisit"))
