@@ -56,8 +56,11 @@ GROUP BY doc_id, license, template HAVING count(*) / any_value(of) >= 0.8
 
 REPEATS = r"""
 WITH docs AS (SELECT doc_id, lower(hex(encode(coalesce(text, '')))) AS h FROM documents),
-places AS (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99)) AS p FROM docs),
-grams AS (SELECT doc_id, p, row_number() OVER (PARTITION BY substr(h, 1 + 2 * p, 200) ORDER BY doc_id, p) > 1 AS again FROM places),
+blocks AS (SELECT doc_id, low, substr(h, 1 + 2 * low, 598) AS part FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 99, 200)) AS low FROM docs)),
+places AS (SELECT doc_id, low, part, unnest(range(0, least(200, length(part) // 2 - 99))) AS q FROM blocks),
+keyed AS (SELECT doc_id, low + q AS p, md5_number(substr(part, 1 + 2 * q, 200)) AS k FROM places),
+firsts AS (SELECT k, min((doc_id, p)) AS first FROM keyed GROUP BY k HAVING count(*) > 1),
+grams AS (SELECT doc_id, p, true AS again FROM keyed JOIN firsts USING (k) WHERE (doc_id, p) <> first),
 hits AS (SELECT doc_id, p, p - lag(p) OVER (PARTITION BY doc_id ORDER BY p) AS gap FROM grams WHERE again),
 runs AS (SELECT doc_id, p, sum((gap IS NULL OR gap > 100)::INT) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM hits),
 spans AS (SELECT doc_id, run, min(p) AS low, max(p) + 100 AS high FROM runs GROUP BY doc_id, run),
