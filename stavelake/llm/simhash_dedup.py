@@ -18,7 +18,7 @@ Only doc_id and text are read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -160,9 +160,14 @@ def links(values: DataFrame) -> DataFrame:
 def classes(docs: DataFrame) -> DataFrame:
     """Per document: doc_id, body (a hash of its text), fp, first (the component's representative: doc_id and body)."""
     slim = cut(docs.select(docs["doc_id"], F.xxhash64(docs["text"]).alias("body"), fingerprints(docs["text"]).alias("fp")))
+    return classified(slim, links)
+
+
+def classified(slim: DataFrame, linked: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``slim`` (doc_id, body, fp) with first, where ``linked`` gives the links (u, v) between the distinct values of fp."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body"))
     by_value = cut(slim.groupBy("fp").agg(first.alias("own_first")))
-    rooted = components(links(by_value.select("fp")))
+    rooted = components(linked(by_value.select("fp")))
     grouped = by_value.join(rooted, by_value["fp"] == rooted["node"], "left").select("fp", "own_first", F.coalesce("root", "fp").alias("root"))
     per_root = grouped.groupBy("root").agg(F.min("own_first").alias("first"))
     return slim.join(grouped.join(per_root, "root").select("fp", "first"), "fp").select("doc_id", "body", "fp", "first")
@@ -170,8 +175,13 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def survivors(docs: DataFrame) -> DataFrame:
     """One document of each component, the one with the smallest doc_id, with its columns."""
+    return firsts(docs, classes(docs))
+
+
+def firsts(docs: DataFrame, classed: DataFrame) -> DataFrame:
+    """The documents that represent a component, once each."""
     doc, body = unused(docs, "first_doc", "first_body")
-    keep = classes(docs).select("first").distinct().select(F.col("first.doc_id").alias(doc), F.col("first.body").alias(body))
+    keep = classed.select("first").distinct().select(F.col("first.doc_id").alias(doc), F.col("first.body").alias(body))
     own = docs.select(*(docs[c] for c in docs.columns))
     kept = own.join(keep, own["doc_id"].eqNullSafe(keep[doc]) & (F.xxhash64(own["text"]) == keep[body]))
     return kept.dropDuplicates([doc, body]).select(*(own[c] for c in own.columns))

@@ -228,6 +228,55 @@ def test_simhash_odd_rows(documents, prose):
     assert simhash_dedup.classes(documents([])).count() == 0 and simhash_dedup.survivors(documents([])).count() == 0
 
 
+def brute_near(docs):
+    sets = {}
+    for doc_id, text in docs:
+        words = (text or "").encode().lower().split()
+        sets[doc_id] = {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+    first = {d: d for d in sets}
+    for a in sorted(sets):
+        for b in sorted(sets):
+            if a < b and 9 * len(sets[a] & sets[b]) >= 4 * (len(sets[a]) + len(sets[b])) and first[a] != first[b]:
+                low, high = sorted((first[a], first[b]))
+                first = {d: low if f == high else f for d, f in first.items()}
+    return first
+
+
+def near_docs(prose):
+    passage, docs = prose(77, 30), []
+    for i in range(60):
+        base = prose(i % 12, 120 + i % 12).split()
+        for k in range(i // 12):
+            base[(17 * k + i) % 100] = f"edit{i % 5}"  # similarity falls below 0.8 as the edits grow
+        docs.append((i, " ".join(base) + (" " + passage if i % 3 == 0 else ""), "s"))
+    docs += [(100, "", "s"), (101, None, "s"), (102, "One two", "s"), (103, "one  two", "s"), (104, "one two three", "s"), (105, docs[3][1].upper(), "s")]
+    base = prose(300, 400).split()
+    return docs + [(200 + i, " ".join(base[10 * i : 10 * i + 120]), "s") for i in range(8)]  # a chain
+
+
+def test_pipeline_near_duplicates_match_brute_force(spark, documents, prose, monkeypatch):
+    import corpus_pipeline
+    from stavelake.llm import near_dedup
+
+    docs = near_docs(prose)
+    want = brute_near([(i, t) for i, t, _ in docs])
+    df = documents(docs, clash=True)
+    kept = corpus_pipeline.near_duplicates(spark, df, "")
+    assert kept.columns == df.columns
+    assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
+    assert 20 < len(set(want.values())) < 50
+    monkeypatch.setattr(near_dedup, "HOT", 5)  # another order of the shingles gives the same
+    assert {r["doc_id"]: r["first"]["doc_id"] for r in near_dedup.classes(df).collect()} == want
+
+
+def test_near_duplicates_odd_rows(documents, prose):
+    from stavelake.llm import near_dedup
+
+    kept = near_dedup.survivors(documents(odd_rows(prose), clash=True))
+    assert sorted((r["doc_id"] is None, r["doc_id"]) for r in kept.collect()) == [(False, 1), (False, 3), (False, 5), (False, 6), (True, None)]
+    assert near_dedup.survivors(documents([])).count() == 0
+
+
 def test_long_chain_is_one_component(spark):
     from stavelake.llm.components import components
 
