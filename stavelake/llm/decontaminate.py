@@ -1,7 +1,8 @@
 """Benchmark decontamination by SimHash over item-sized windows.
 
 Words are runs of letters and digits, lower-cased; shingles are five words. Every benchmark item gets a SimHash of its
-shingles. A document's windows of as many shingles as an item has, at every offset, get theirs from running sums of bits.
+shingles. A document's windows of as many shingles as an item has, at every offset, get theirs from running sums of bits;
+for an item longer than the document the whole document is the one window.
 Four 16-bit blocks index the item fingerprints: if two fingerprints differ in at most ``RADIUS`` = 15 bits, one of the
 blocks differs in at most three, and every value within three bits of an item's block is listed, so the lookup returns
 each item within the radius. Candidates within the radius are then verified by the exact weighted similarity of window
@@ -155,9 +156,10 @@ class Index:
         for part in np.split(at, np.flatnonzero(np.diff(at) > longest) + 1):
             begin, end = max(0, int(part[0]) - longest + 1), min(len(hashed), int(part[-1]) + longest)
             self._search(hashed[begin:end], known[begin:end], begin, best)
+        self._search_whole(hashed, len(at), best)
         n = min(WORDS, len(words)) - 1
         return [
-            (self.ids[item], -minus_start, int(self.sizes[item]) + n, distance, similarity)
+            (self.ids[item], -minus_start, min(int(self.sizes[item]), len(hashed)) + n, distance, similarity)
             for item, (similarity, minus_start, distance) in sorted(best.items())
         ]
 
@@ -176,6 +178,18 @@ class Index:
                 if similarity >= MIN_SIMILARITY:
                     best[item] = max(best.get(item, (0.0, 0, 0)), (similarity, -(begin + start), distance))
 
+    def _search_whole(self, hashed: np.ndarray, n_known: int, best: dict[int, tuple]) -> None:
+        """A document that is shorter than an item is one window, all of it."""
+        n = len(hashed)
+        longer = np.flatnonzero((self.sizes > n) & (n >= MIN_SIMILARITY * self.sizes - 1e-9))
+        longer = longer[n_known * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (n + self.sizes[longer]) - 1e-9]
+        if not len(longer):
+            return
+        distances = np.bitwise_count(window_prints(running_bits(hashed), n)[0] ^ self.prints[longer])
+        for item, distance in zip(longer.tolist(), distances.tolist()):
+            if distance <= RADIUS and (similarity := self._similarity(hashed.tolist(), item)) >= MIN_SIMILARITY:
+                best[item] = (similarity, 0, distance)
+
     def _similarity(self, window: list[int], item: int) -> float:
         mine, its = Counter(window), self.counts[item]
         shared = sum(min(n, its[h]) for h, n in mine.items() if h in its)

@@ -125,6 +125,37 @@ def test_decontaminate_matches_brute_force(spark, documents, prose, monkeypatch)
     assert leak_results(documents(docs), bench) == got
 
 
+def brute_short_leaks(docs, items):
+    """As ``brute_leaks`` for items longer than the document, which is then the window."""
+    words = lambda t: (t or "").lower().encode().translate(decontaminate._TABLE).split()
+    grams = lambda w: Counter(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else Counter()
+    out = {}
+    for doc_id, text in docs:
+        for item_id, item in items:
+            a, b = grams(words(text)), grams(words(item))
+            shared = (a & b).total()
+            if a.total() < b.total() and 9 * shared >= 4 * (a.total() + b.total()):
+                out[doc_id, item_id] = (shared / (a.total() + b.total() - shared), 0)
+    return out
+
+
+def test_decontaminate_compares_documents_shorter_than_an_item(spark, documents, prose):
+    items = [(i, prose(700 + i, 56 - i)) for i in range(6)]
+    docs = []
+    for i, text in items:
+        w = text.split()
+        docs += [(10 * i, " ".join(w[:-1]), "s"), (10 * i + 1, " ".join(w[4:]), "s"), (10 * i + 2, " ".join(w[: len(w) * 3 // 5]), "s"), (10 * i + 3, prose(i, 50), "s")]
+    docs += [(90, " ".join(items[0][1].split()[:3]), "s"), (91, "", "s"), (92, None, "s")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    pairs = [(i, t) for i, t, _ in docs]
+    want = brute_leaks(pairs, items) | brute_short_leaks(pairs, items)
+    assert len(want) == 12
+    assert leak_results(documents(docs), bench) == want
+    n_words = {r["doc_id"]: r["n_words"] for r in decontaminate.matches(documents(docs), bench).collect()}
+    assert n_words[0] == 55 and n_words[1] == 52
+    assert decontaminate.clean(documents(docs), bench).count() == len(docs) - 12
+
+
 def test_decontaminate_index_finds_all_within_the_radius():
     import numpy as np
 
