@@ -5,11 +5,12 @@ shingles. A document's windows of as many shingles as an item has, at every offs
 for an item longer than the document the whole document is the one window.
 Four 16-bit blocks index the item fingerprints: if two fingerprints differ in at most ``RADIUS`` = 15 bits, one of the
 blocks differs in at most three, and every value within three bits of an item's block is listed, so the lookup returns
-each item within the radius. Candidates within the radius are then verified by the exact weighted similarity of window
-and item (sum of the lesser over sum of the greater multiplicities), which must reach 0.8. Two texts of that similarity
-differ in about 10 of 64 bits, so the radius loses about 3 in 100 windows exactly at the limit and none of near-verbatim ones.
+each item within the radius. Candidates are then verified by the exact weighted similarity of window and item (sum of the
+lesser over sum of the greater multiplicities), which must reach 0.8. Two texts of that similarity differ in about 10 of 64
+bits, at times in more than the radius, so the items that share enough shingles with a window are candidates as well and
+no match is lost.
 
-Windows that hold no shingle of any item have similarity zero and are not fingerprinted; that prunes no match. The
+Windows with too few shingles of any items to reach 0.8 with one are not fingerprinted; that prunes no match. The
 benchmark is taken in blocks of ``ITEMS`` items, each indexed and broadcast (some 16 MB at most) and run over all documents; documents are
 never shuffled and each is judged on its own row, whole.
 
@@ -103,6 +104,10 @@ class Index:
         self.counts = [Counter(h.tolist()) for _, h in found]
         self.sizes = np.array([len(h) for _, h in found], np.int64)
         self.prints = np.array([window_prints(running_bits(h), len(h))[0] for _, h in found], np.uint64)
+        self.owners: dict[int, list[int]] = {}
+        for item, held in enumerate(self.counts):
+            for h in held:
+                self.owners.setdefault(h, []).append(item)
         self.shingles = np.unique(np.concatenate([h for _, h in found])) if found else np.zeros(0, np.uint64)
         self.filter = np.zeros(1 << _FILTER_BITS, bool)
         self.filter[self.shingles >> np.uint64(64 - _FILTER_BITS)] = True
@@ -166,17 +171,17 @@ class Index:
     def _search(self, hashed: np.ndarray, known: np.ndarray, begin: int, best: dict[int, tuple]) -> None:
         sums, seen = running_bits(hashed), np.concatenate([[0], np.cumsum(known)])
         for size in np.unique(self.sizes[self.sizes <= len(hashed)]).tolist():
-            holds = np.flatnonzero(seen[size:] > seen[:-size])
+            # a window with fewer known shingles is below the limit, whatever the item
+            holds = np.flatnonzero((seen[size:] - seen[:-size]) * (1 + MIN_SIMILARITY) >= 2 * MIN_SIMILARITY * size - 1e-9)
             if not len(holds):
                 continue
             prints = window_prints(sums, size)[holds]
-            for window, item, distance in self.candidates(prints, size):
-                start = int(holds[window])
-                if (seen[start + size] - seen[start]) * (1 + MIN_SIMILARITY) < 2 * MIN_SIMILARITY * size - 1e-9:
-                    continue  # too few known shingles for the limit, whatever the item
-                similarity = self._similarity(hashed[start : start + size].tolist(), item)
-                if similarity >= MIN_SIMILARITY:
-                    best[item] = max(best.get(item, (0.0, 0, 0)), (similarity, -(begin + start), distance))
+            pairs = {(window, item) for window, item, _ in self.candidates(prints, size)}
+            for window, start in enumerate(holds.tolist()):
+                shared = hashed[start : start + size].tolist()
+                pairs.update((window, item) for item in self.sharing(shared) if self.sizes[item] == size)
+            for window, item in pairs:
+                self._verify(hashed[int(holds[window]) :][:size], begin + int(holds[window]), prints[window], item, best)
 
     def _search_whole(self, hashed: np.ndarray, n_known: int, best: dict[int, tuple]) -> None:
         """A document that is shorter than an item is one window, all of it."""
@@ -185,10 +190,20 @@ class Index:
         longer = longer[n_known * (1 + MIN_SIMILARITY) >= MIN_SIMILARITY * (n + self.sizes[longer]) - 1e-9]
         if not len(longer):
             return
-        distances = np.bitwise_count(window_prints(running_bits(hashed), n)[0] ^ self.prints[longer])
-        for item, distance in zip(longer.tolist(), distances.tolist()):
-            if distance <= RADIUS and (similarity := self._similarity(hashed.tolist(), item)) >= MIN_SIMILARITY:
-                best[item] = (similarity, 0, distance)
+        print_ = window_prints(running_bits(hashed), n)[0]
+        for item in longer.tolist():
+            self._verify(hashed, 0, print_, item, best)
+
+    def sharing(self, window: list[int]) -> list[int]:
+        """Items of which the window holds enough shingles for the limit, if they are as long as the window."""
+        held = Counter(item for h in window for item in self.owners.get(h, ()))
+        return [item for item, n in held.items() if n * (1 + MIN_SIMILARITY) >= 2 * MIN_SIMILARITY * len(window) - 1e-9]
+
+    def _verify(self, window: np.ndarray, start: int, print_: np.uint64, item: int, best: dict[int, tuple]) -> None:
+        similarity = self._similarity(window.tolist(), item)
+        if similarity >= MIN_SIMILARITY:
+            distance = int(np.bitwise_count(print_ ^ self.prints[item]))
+            best[item] = max(best.get(item, (0.0, 0, 0)), (similarity, -start, distance))
 
     def _similarity(self, window: list[int], item: int) -> float:
         mine, its = Counter(window), self.counts[item]

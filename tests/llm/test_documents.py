@@ -156,6 +156,19 @@ def test_decontaminate_compares_documents_shorter_than_an_item(spark, documents,
     assert decontaminate.clean(documents(docs), bench).count() == len(docs) - 12
 
 
+def test_decontaminate_loses_nothing_at_the_limit():
+    """Windows of similarity 0.8 and a little more are found whatever their distance."""
+    far = 0
+    for i in range(600):
+        item = [f"i{i}w{k}" for k in range(49)]
+        window = [*item[:-5], *(f"x{i}w{k}" for k in range(5))]  # 40 of 45 shingles: 40 / 50
+        found = decontaminate.Index([(i, " ".join(item).encode())]).hits(decontaminate.word_hashes(" ".join(["a b c", *window, "d e"]).encode()))
+        best = {hit[0]: hit for hit in found}
+        assert best[i][4] == pytest.approx(0.8)
+        far += best[i][3] > decontaminate.RADIUS
+    assert far
+
+
 def test_decontaminate_index_finds_all_within_the_radius():
     import numpy as np
 
