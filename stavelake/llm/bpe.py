@@ -25,19 +25,23 @@ import json
 import os
 import struct
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import cached_property
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark import Broadcast
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BinaryType, StringType, StructField, StructType
 from tokenizers import Tokenizer
 
 MOST_BYTES = 1 << 26
-REMEMBERED, SHORT = 1 << 19, 64
+REMEMBERED, SHORT = 1 << 17, 64
+#: Rows that ``recoded`` sends back at a time.
+ROWS = 256
 #: A pair of ids is one number: the first id shifted by so many bits, and the second.
 BITS = 32
 #: The front end that this module implements, as vocabulary files describe it.
@@ -99,8 +103,12 @@ class Vocabulary:
         return regex.compile("(" + "|".join(regex.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")")
 
     @cached_property
-    def remembered(self) -> _Words:
-        return _Words(self)
+    def by_word(self) -> _Memory:
+        return _Memory(lambda word: _packed(self.merged(word)))
+
+    @cached_property
+    def by_stretch(self) -> _Memory:
+        return _Memory(lambda stretch: b"".join(map(self.by_word.__getitem__, self.words.findall(stretch))))
 
     @cached_property
     def library(self) -> Tokenizer:
@@ -136,54 +144,53 @@ class Vocabulary:
                     heapq.heappush(queue, rank * n + leader)
         return [s for s in symbols if s >= 0]
 
-    def split(self, text: str) -> list[str]:
-        """The normalized words of a text without special tokens. No word holds white space, so its runs may stay as they are."""
+    def plain(self, text: str) -> bytes:
+        """The packed ids of a text without special tokens. No word holds a space, so it is taken from space to space."""
         if not text.isascii():
             if any(unicodedata.category(c) == "Cn" for c in set(text)):
-                return self._split_unassigned(text)
+                return b"".join(map(self.by_word.__getitem__, self._split_unassigned(text)))
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")  # no final sigma: letters are lowered one by one
-        return self.words.findall(text.lower())
+        return b"".join(map(self.by_stretch.__getitem__, text.lower().replace("\n", " ").split(" ")))
 
     def _split_unassigned(self, text: str) -> list[str]:
-        """As ``split`` for texts with code points that this Python's Unicode tables lack: the library's tables decide."""
+        """The words of a text with code points that this Python's Unicode tables lack: the library's tables decide."""
         normal = self.library.normalizer.normalize_str(text)
         places = [at for _, at in self.library.pre_tokenizer.pre_tokenize_str(normal)]
         return [normal[a:b] for a, b in places]
 
     def encode(self, text: str) -> bytes:
         """The packed ids of a text."""
-        known = self.remembered
-        out = []
-        for part in self.cuts.split(text) if self.special else [text]:
-            if part in self.special:
-                out.append(struct.pack("<I", self.special[part]))
-            elif part:
-                out.extend(map(known.__getitem__, self.split(part)))
-        known.trim()
-        return b"".join(out)
+        if not self.special:
+            return self.plain(text)
+        parts = self.cuts.split(text)
+        return b"".join([_packed([self.special[p]]) if p in self.special else self.plain(p) for p in parts if p])
 
     def decode(self, packed: bytes) -> str:
         """The vocabulary's strings of packed ids, joined."""
         return " ".join(map(self.strings.__getitem__, np.frombuffer(packed, "<u4").tolist()))
 
 
-class _Words(dict):
-    """Packed ids by word, computed when first asked for."""
+def _packed(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
 
-    def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
-        self.vocabulary = vocabulary
 
-    def __missing__(self, word: str) -> bytes:
-        ids = self.vocabulary.merged(word)
-        packed = struct.pack(f"<{len(ids)}I", *ids)
-        if len(word) <= SHORT:
-            self[word] = packed
-        return packed
+class _Memory(dict):
+    """Packed ids by string, computed when first asked for. What has not been asked for in a generation is forgotten."""
 
-    def trim(self) -> None:
-        if len(self) > REMEMBERED:
-            self.clear()
+    def __init__(self, compute: Callable[[str], bytes]):
+        super().__init__()
+        self.compute, self.before = compute, {}
+
+    def __missing__(self, key: str) -> bytes:
+        packed = self.before.pop(key, None)
+        if packed is None:
+            packed = self.compute(key)
+        if len(key) <= SHORT:
+            if len(self) >= REMEMBERED:
+                self.before = dict(self)
+                self.clear()
+            self[key] = packed
+        return packed
 
 
 def shared(spark: SparkSession, path: str) -> Broadcast[Vocabulary]:
@@ -213,6 +220,22 @@ def decode(ids: Column, vocabulary: Broadcast[Vocabulary]) -> Column:
     return decoded(F.coalesce(ids, F.lit(bytearray())))
 
 
+def recoded(docs: DataFrame, vocabulary: Broadcast[Vocabulary], keep: list[str], text: str = "text") -> DataFrame:
+    """The ``keep`` columns, packed ``ids`` and the text ``decoded`` from these, in one pass that sends few rows at a time."""
+    rows = docs.select(*(docs[c] for c in keep), F.coalesce(docs[text], F.lit("")))
+    schema = StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType()), StructField("decoded", StringType())])
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, ROWS):
+                *own, texts = batch.slice(at, ROWS).columns
+                ids = [vocabulary.value.encode(t) for t in texts.to_pylist()]
+                decoded = pa.array([vocabulary.value.decode(i) for i in ids], pa.string())
+                yield pa.record_batch([*own, pa.array(ids, pa.binary()), decoded], schema.names)
+
+    return rows.mapInArrow(made, schema)
+
+
 def unpacked(ids: Column) -> Column:
     """Packed ids as an array of longs."""
 

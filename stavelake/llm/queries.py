@@ -82,9 +82,7 @@ def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = bpe.shared(spark, public_tokenizers.path("word_bpe_49k.json"))
-    docs = read(spark, sf_dir, "documents")
-    made = docs.select("doc_id", bpe.encode(docs["text"], vocabulary).alias("ids"))
-    made = made.select("doc_id", "ids", bpe.decode(F.col("ids"), vocabulary).alias("decoded"))
+    made = bpe.recoded(read(spark, sf_dir, "documents"), vocabulary, ["doc_id"])
     return made.select(
         "doc_id", bpe.n_tokens(F.col("ids")).alias("n_tokens"), F.sha2("ids", 256).alias("ids_sha256"),
         F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"),
