@@ -63,12 +63,15 @@ def boilerplate(docs: DataFrame, min_sites: int, lg_k: int = LG_K) -> DataFrame:
     return hit.where(~F.struct("doc", "place").eqNullSafe(F.col("first"))).select("doc", "body", "place")
 
 
-def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
-    """Documents with their columns, the text without boilerplate lines, and ``ld_lines``, ``ld_removed`` (counts)."""
+def cleaned(docs: DataFrame, min_sites: int = 10, counts: tuple[str, str] = ("ld_lines", "ld_removed")) -> DataFrame:
+    """Documents with their columns, the text without boilerplate lines, and the numbers of lines and of removed ones.
+
+    The numbers are named by ``counts``; columns of these names (case aside) are replaced.
+    """
     drop = boilerplate(docs, min_sites).groupBy("doc", "body").agg(F.collect_set("place").alias("places"))
     doc, body, places = unused(docs, "ld_doc", "ld_body", "ld_places")
     drop = drop.select(F.col("doc").alias(doc), F.col("body").alias(body), F.col("places").alias(places))
-    own = docs.select(*(docs[c] for c in docs.columns if c not in ("ld_lines", "ld_removed")))
+    own = docs.select(*(docs[c] for c in docs.columns if c.lower() not in {n.lower() for n in counts}))
     joined = own.join(drop, own["doc_id"].eqNullSafe(drop[doc]) & (F.xxhash64(own["text"]) == drop[body]), "left")
     lines = lines_of(own["text"])
     kept = F.filter(lines, lambda line, i: ~F.array_contains(drop[places], i))
@@ -76,6 +79,6 @@ def cleaned(docs: DataFrame, min_sites: int = 10) -> DataFrame:
     n_lines = F.coalesce(F.size(F.filter(lines, lambda line: bare(line) != "")), F.lit(0))
     return joined.select(
         *(text.alias(c) if c == "text" else own[c] for c in own.columns),
-        F.greatest(n_lines, F.lit(0)).cast("long").alias("ld_lines"),
-        F.greatest(F.size(drop[places]), F.lit(0)).cast("long").alias("ld_removed"),
+        F.greatest(n_lines, F.lit(0)).cast("long").alias(counts[0]),
+        F.greatest(F.size(drop[places]), F.lit(0)).cast("long").alias(counts[1]),
     )

@@ -11,10 +11,12 @@ that are still open on the side that misses the word total least.
 Blocks bound what a task holds, so a source with a third of all rows spreads over the cluster. Random numbers depend on
 seed, source, level and block only and documents are put in a fixed order first, so reruns agree.
 
+Ids pass the flight as strings: pandas would turn a column of numbers with a null in it into doubles.
+
 Defined results: a null text has no words; a null source is a source of its own, last in order; rows with equal
 doc_id (null included), source and size are one unit and share a decision; documents without words are decided by the
 document total alone and take nothing; an empty table gives an empty result. All columns of the documents are kept; only
-columns named ``mix_size`` or ``mix_copies`` are replaced by the results of these names.
+columns named ``mix_size`` or ``mix_copies`` (case aside) are replaced by the results of these names.
 """
 
 from __future__ import annotations
@@ -126,7 +128,7 @@ def decisions(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     ratio = F.coalesce(F.try_divide("target", "source_size"), F.lit(0.0))
     order = F.xxhash64(F.lit(mix.seed), "doc_id", "size")
     start = per_unit.join(per_source.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of"))).select(
-        "doc_id", "source", "size", "rows", "source_size", "target",
+        F.col("doc_id").cast("string").alias("doc_id"), "source", "size", "rows", "source_size", "target",
         F.floor(ratio).alias("copies"), (ratio - F.floor(ratio)).alias("chance"),
         (F.col("size") * F.col("rows")).cast("double").alias("weight"), order.alias("order"),
         F.pmod(order, F.col("n_blocks")).alias("block"),
@@ -148,7 +150,7 @@ def decisions(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     for more in done[1:]:
         out = out.unionByName(more)
     return out.select(
-        "doc_id", "source", "size", "rows", "source_size", "target",
+        F.col("doc_id").cast(per_unit.schema["doc_id"].dataType).alias("doc_id"), "source", "size", "rows", "source_size", "target",
         (F.col("copies") + F.when(F.col("chance") > 0.5, 1).otherwise(0)).cast("long").alias("copies"),
     )
 
@@ -159,7 +161,7 @@ def mixed(docs: DataFrame, mix: Mix = Mix()) -> DataFrame:
     taken = decisions(docs, mix).where("copies > 0").select(
         F.col("doc_id").alias(doc), F.col("source").alias(source), F.col("size").alias("mix_size"), F.col("copies").alias("mix_copies")
     )
-    own = docs.select(*(docs[c] for c in docs.columns if c not in ("mix_size", "mix_copies")))
+    own = docs.select(*(docs[c] for c in docs.columns if c.lower() not in ("mix_size", "mix_copies")))
     joined = own.join(
         taken, own["doc_id"].eqNullSafe(taken[doc]) & own["source"].eqNullSafe(taken[source]) & (n_words(own["text"]) == taken["mix_size"])
     )

@@ -7,6 +7,7 @@ from collections import Counter, defaultdict
 
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from stavelake.llm import decontaminate, license_scan, line_dedup, quality_rules, simhash_dedup, source_mix, suffix_dedup
 
@@ -309,10 +310,49 @@ def test_pipeline_near_duplicates_match_brute_force(spark, documents, prose, mon
     assert kept.columns == df.columns
     assert sorted(r["doc_id"] for r in kept.collect()) == sorted(set(want.values()))
     assert 20 < len(set(want.values())) < 50
-    monkeypatch.setattr(near_dedup, "HOT", 5)  # another order of the shingles gives the same
+    # another order of the shingles, small blocks, dealt shingles and wide bitmaps give the same
+    for name, value in (("HOT", 5), ("BLOCK", 3), ("DEALT", 2), ("LARGE", 100)):
+        monkeypatch.setattr(near_dedup, name, value)
     assert {r["doc_id"]: r["first"]["doc_id"] for r in near_dedup.classes(df).collect()} == want
 
 
+def test_near_duplicates_offer_a_row_per_component_not_per_pair():
+    """Two components of many members under one shingle: a round offers few pairs, and bounds leave out unlike ones."""
+    import numpy as np
+    import pyarrow as pa
+    from stavelake.llm import near_dedup
+
+    rng = np.random.default_rng(4)
+    common = rng.integers(0, 1 << 63, 300, dtype=np.uint64)
+    families = [np.concatenate([common[:150], rng.integers(0, 1 << 63, 150, dtype=np.uint64)]) for _ in range(2)]
+    rows = []
+    for i in range(400):
+        own = np.append(families[i % 2][: 295 + i % 5], rng.integers(0, 1 << 63, 3, dtype=np.uint64))
+        rows.append((1, i, len(own), i % 2 if i < 300 else i, near_dedup.parities(np.unique(own))))
+    columns = list(zip(*rows))
+    batch = pa.record_batch([pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.binary())], ["cell", "fp", "n", "root", "bits"])
+    offered = [b.to_pydict() for b in near_dedup._candidates(nearest=True)(iter([batch]))]
+    assert sum(len(o["a"]) for o in offered) <= 2 * 102
+    whole = [b.to_pydict() for b in near_dedup._candidates(nearest=False)(iter([batch]))]
+    assert {(a + b) % 2 for o in whole for a, b in zip(o["a"], o["b"])} == {0}
+
+
+def test_parity_bound_never_exceeds_the_difference():
+    import numpy as np
+    from stavelake.llm import near_dedup
+
+    rng = np.random.default_rng(2)
+    for n in (1, 30, 900, 1100, 5000):
+        base = rng.integers(0, 1 << 63, 2 * n, dtype=np.uint64)
+        a, b = np.unique(base[: n + n // 7]), np.unique(base[n // 9 : n + n // 3])
+        near, wide = near_dedup._bitmaps([near_dedup.parities(a), near_dedup.parities(b)])
+        differ = len(np.setxor1d(a, b))
+        at = np.array([0]), np.array([1])
+        assert near_dedup._apart(near, *at)[0] <= differ
+        if min(len(a), len(b)) >= near_dedup.LARGE:
+            assert near_dedup._apart(near, *at)[0] <= near_dedup._apart(wide, *at)[0] <= differ
+
+
 def test_near_duplicates_odd_rows(documents, prose):
     from stavelake.llm import near_dedup
 
@@ -453,6 +493,19 @@ def test_flight_keeps_both_totals():
     assert math.isclose(sum(chance), before[0], abs_tol=1e-6) and math.isclose(sum(c * s for c, s in zip(chance, size)), before[1], rel_tol=1e-9)
 
 
+def test_mix_keeps_large_ids_beside_a_null(documents, prose):
+    """Ids past 2**53 survive a null among them; one giant document and a source without words change nothing."""
+    rows = [((1 << 60) + i, prose(i, 5 + i % 9), f"s{i % 3}") for i in range(200)]
+    rows += [(None, prose(900, 8), "s1"), ((1 << 60) + 500, prose(901, 60_000), "s0"), ((1 << 60) + 501, None, "none"), ((1 << 60) + 502, "", "none")]
+    df = documents(rows).selectExpr("*", "1 AS MIX_SIZE", "2 AS Ld_Removed")
+    decided = source_mix.decisions(df, source_mix.Mix(block=16)).collect()
+    sizes = {(r["doc_id"], r["source"]): (r["size"], r["copies"]) for r in decided}
+    assert sizes.keys() == {(i, s) for i, _, s in rows}
+    assert all(sizes[i, s][0] == len((t or "").split()) for i, t, s in rows)
+    mixed = [(r["doc_id"], r["mix_copies"]) for r in source_mix.mixed(df, source_mix.Mix(block=16)).collect()]
+    assert sorted(mixed, key=str) == sorted(((i, n) for (i, _), (_, n) in sizes.items() if n), key=str)
+
+
 def test_mix_odd_rows(documents, prose):
     df = documents(odd_rows(prose), clash=True)
     rows = source_mix.decisions(df).collect()
@@ -489,6 +542,23 @@ def test_license_scan_matches_brute_force(documents, prose):
 
 
 # -- pipeline --------------------------------------------------------------------------------------
+def test_pipeline_on_odd_tables(spark, documents, prose, tmp_path):
+    """Null ids, repeated rows, clashing and missing columns end to end; an empty table."""
+    import corpus_pipeline
+
+    rows = [((1 << 60) + i, prose(i, 60), f"s{i % 4}") for i in range(12)] + [(None, prose(50, 60), "s1"), (7, prose(3, 60), "s2"), (7, prose(3, 60), "s2"), (8, None, "s1")]
+    spark.createDataFrame([(1, prose(99, 30)), (None, None)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    df = documents(rows, clash=True).drop("n_chars").withColumn("ld_removed", F.lit(99))
+    spark.createDataFrame([(1, prose(99, 30))], "item_id long, text string").write.parquet(f"{tmp_path}/e/benchmark.parquet")
+    documents([]).write.parquet(f"{tmp_path}/e/documents.parquet")
+    df.write.parquet(f"{tmp_path}/documents.parquet")
+    out = corpus_pipeline.run(spark, str(tmp_path)).collect()
+    ids = {r["doc_id"] for r in out}
+    assert ids <= {i for i, _, _ in rows} - {8, (1 << 60) + 3} and len(out) == len(ids)
+    assert {r["ld_removed"] for r in out} == {99} and {len(r["text"].split()) for r in out} == {60}
+    assert corpus_pipeline.run(spark, f"{tmp_path}/e").count() == 0
+
+
 def test_pipeline_matches_brute_force(spark, documents, prose, tmp_path):
     import corpus_pipeline
 
@@ -512,7 +582,7 @@ def test_pipeline_matches_brute_force(spark, documents, prose, tmp_path):
     assert sorted(kept["quality rules"]) == sorted(after)
     lines = {i: t for i, t in brute_lines([r for r in rows if r[0] in after], 10)}
     assert kept["line dedup"] == {i: t for i, t in lines.items() if t.strip()}
-    firsts = {c for _, c in brute_classes(list(kept["line dedup"].items())).values()}
+    firsts = set(brute_near(list(kept["line dedup"].items())).values())
     assert set(kept["near dedup"]) == firsts and 100 not in firsts
     assert set(kept["decontamination"]) == firsts - {103}
     assert set(kept["source mix"]) <= set(kept["decontamination"]) and kept["source mix"]
