@@ -34,14 +34,14 @@ ext AS (SELECT f.piece_id, f.genre, f.axis, f.percentile FROM prof f LEFT JOIN g
 STATUS = "CASE WHEN percentile < 5 THEN 'EXT-LO' WHEN percentile < 25 THEN 'lo' WHEN percentile <= 75 THEN 'in' WHEN percentile <= 95 THEN 'hi' ELSE 'EXT-HI' END"
 
 SHAPES = CORPUS + """,
-st AS (SELECT axis, count(*) AS n, avg(value) AS mean, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi,
+st AS (SELECT axis, count(*) AS n, avg(value) AS mean, sum(round(value * 1000000)::BIGINT) AS u, stddev_pop(value) AS sd, min(value) AS lo, max(value) AS hi,
        count(DISTINCT value) AS d, bool_and(value IN (0, 1)) AS isb FROM bal GROUP BY axis),
 mo AS (SELECT axis, avg(((value - mean) / sd) ** 3) AS skew, avg(((value - mean) / sd) ** 4) AS kurt FROM bal JOIN st USING (axis) WHERE sd > 0 GROUP BY axis),
 hb AS (SELECT axis, max(k) AS k FROM (SELECT axis, CASE WHEN hi > lo THEN least(floor((value - lo) / (hi - lo) * 12), 11) ELSE 0 END AS b,
        count(*) AS k FROM bal JOIN st USING (axis) GROUP BY ALL) GROUP BY axis),
-al AS (SELECT axis, n, mean, sd, lo, hi, d, isb, coalesce(skew, 0) AS skew, coalesce(kurt, 0) AS kurt,
+al AS (SELECT axis, n, mean, u, sd, lo, hi, d, isb, coalesce(skew, 0) AS skew, coalesce(kurt, 0) AS kurt,
        CASE WHEN coalesce(kurt, 0) > 0 THEN (skew ** 2 + 1) / kurt ELSE 1 END AS bc, k / n::DOUBLE AS ms FROM st LEFT JOIN mo USING (axis) JOIN hb USING (axis))
-SELECT axis, n, round(mean, 6) AS mean, round(sd, 6) AS sd, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(bc, 6) AS bc,
+SELECT axis, n, floor((2 * u + n) / (2 * n)::DOUBLE) / 1000000 AS mean, round(sd, 6) AS sd, round(skew, 6) AS skew, round(kurt, 6) AS kurt, round(bc, 6) AS bc,
   round(ms, 6) AS modal_share, d AS distinct, CASE WHEN hi = lo OR d <= 1 OR ms > 0.55 OR (isb AND (mean > 0.95 OR mean < 0.05)) THEN 'DEGENERATE'
   WHEN bc > 0.6 THEN 'bimodal/flat' WHEN abs(skew) < 0.8 THEN 'near-normal' ELSE 'skewed' END AS shape FROM al
 """

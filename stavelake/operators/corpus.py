@@ -84,6 +84,7 @@ class Corpus:
         base = cum.groupBy("axis").agg(
             F.sum("weight").alias("n"),
             (F.sum(w * v) / F.sum(w)).alias("mean"),
+            F.sum(w * F.round(v * 1e6).cast("long")).alias("millionths"),
             F.min("value").alias("lo"),
             F.max("value").alias("hi"),
             F.count(F.lit(1)).alias("distinct"),
@@ -119,7 +120,9 @@ class Corpus:
             .when(F.abs("skew") < NORMAL_SKEW, "near-normal")
             .otherwise("skewed")
         )
-        return df.select("axis", "n", "mean", "sd", "skew", "kurt", "bc", "modal_share", "distinct", shape.alias("shape"))
+        # Values have six decimals, so their mean rounds exactly in whole millionths, whatever the order of summation.
+        mean = F.floor((2 * F.col("millionths") + n) / (2 * n)) / 1e6
+        return df.select("axis", "n", mean.alias("mean"), "sd", "skew", "kurt", "bc", "modal_share", "distinct", shape.alias("shape"))
 
     @cached_property
     def profile(self) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import reduce
 
@@ -10,11 +11,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, dose, drills, facts, feedback, gates, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, diagnose, dose, drills, facts, feedback, gates, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds, saved
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
-from stavelake.session import cut_lineage
+from stavelake.session import checkpoint_dir, cut_lineage
 from stavelake.sources import grammar, midi, tables
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -647,6 +648,24 @@ def copy_bars(spark, sf_dir):
     return lookups.copy_bars(n, n)
 
 
+def bar_attribution(spark, sf_dir):
+    """Every decomposable axis with and without every bar."""
+    made = r6(diagnose.bar_attribution(frames(spark, sf_dir)), "value", "without")
+    return r6(made.withColumn("delta", F.col("without") - F.col("value")), "delta")
+
+
+def saved_profile(spark, sf_dir):
+    """The percentile profile by a distribution that was saved and read back."""
+    fitted, path = corpus_of(spark, sf_dir), f"{checkpoint_dir(spark)}/distribution-{uuid.uuid4().hex}"
+    saved.save(fitted, path)
+    return saved.SavedCorpus(spark, path).report(fitted.fingerprint)
+
+
+def copy_runs(spark, sf_dir):
+    n = tables.notes(spark, sf_dir)
+    return diagnose.copy_runs(n, n)
+
+
 def build() -> dict[str, Query]:
     out: dict[str, Query] = {axis: _axis(axis) for axis in axes.AXES}
     for part in bank.PARTS:
@@ -663,7 +682,7 @@ def build() -> dict[str, Query]:
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
         region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
-        piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars,
+        piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars, bar_attribution, copy_runs, saved_profile,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
         drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
