@@ -17,6 +17,7 @@ from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
 from stavelake.session import checkpoint_dir, cut_lineage
 from stavelake.sources import grammar, midi, tables
+from stavelake.streaming import rounds as live
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -597,6 +598,17 @@ def best_rounds(spark, sf_dir):
     return rounds.pick_best(_region_rounds(spark, sf_dir), rounds.orders()["gap"])
 
 
+def streamed_best_rounds(spark, sf_dir):
+    """``best_rounds`` kept by a stream that sees later rounds first and is started twice."""
+    scored = cut_lineage(_region_rounds(spark, sf_dir))
+    base = f"{checkpoint_dir(spark)}/rounds-{uuid.uuid4().hex}"
+    for part in (scored.where("round > 1"), scored.where("round = 1")):
+        part.write.mode("append").parquet(f"{base}/scored")
+        stream = spark.readStream.schema(scored.schema).parquet(f"{base}/scored")
+        live.keep_best(stream, [F.col("score")], f"{base}/best", f"{base}/checkpoint").awaitTermination()
+    return live.current(spark, f"{base}/best")
+
+
 def _region_rounds(spark, sf_dir) -> DataFrame:
     fitness = region_fitness(spark, sf_dir)
     turn = F.element_at(F.create_map(*[F.lit(x) for kv in (("start", 1), ("infill", 2), ("cont", 3)) for x in kv]), F.col("type"))
@@ -685,7 +697,7 @@ def build() -> dict[str, Query]:
         piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars, bar_attribution, copy_runs, saved_profile,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
-        drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds,
+        drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds, streamed_best_rounds,
     ):
         out[q.__name__] = q
     return out
