@@ -103,7 +103,7 @@ steps AS (
   SELECT 0, k.kind, host, avg(CASE WHEN ruled.action = k.action THEN 1.0 ELSE 0.0 END)
   FROM ruled, (VALUES ('trust', 'allow'), ('distrust', 'block')) k(kind, action) GROUP BY k.kind, host
   UNION ALL
-  SELECT w.i + 1, s.kind, s.t, sum(w.mass * s.part * 0.85) FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.f WHERE w.i < 40 GROUP BY w.i, s.kind, s.t
+  SELECT w.i + 1, s.kind, s.t, sum(w.mass * s.part * 0.85) FROM walk w JOIN steps s ON w.kind = s.kind AND w.host = s.f WHERE w.i < 500 GROUP BY w.i, s.kind, s.t
 ), scores AS (
   SELECT host, sum(CASE WHEN kind = 'distrust' THEN mass ELSE -mass END) AS excess FROM walk GROUP BY host
 )

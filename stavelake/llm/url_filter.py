@@ -8,7 +8,7 @@ personalised PageRank with restart, in units of the restart mass (a host's own s
 when its distrust exceeds its trust by more than ``margin``.
 
 Edges are counted per host pair before anything is joined, so a host with a third of all pages is a few rows. The
-iterations stop when no score moves by more than ``tolerance`` and are cut by reliable checkpoints.
+iterations go on until no score moves by more than ``tolerance`` (an error after ``most_iterations``) and are cut by reliable checkpoints.
 
 Defined results: a null URL or one without ``://`` has an empty host and path and, with no rule to fit, is judged by the
 empty host's score; null html has no links; a null page_id is passed through; repeated rows are pages of their own; an
@@ -41,7 +41,8 @@ class Rule:
 class Graph:
     damping: float = 0.85
     margin: float = 0.5
-    iterations: int = 40
+    #: More iterations than this mean that the scores do not settle: an error, not a result.
+    most_iterations: int = 500
     tolerance: float = 1e-4
     checkpoint_every: int = 5
 
@@ -102,13 +103,13 @@ def host_scores(pages: DataFrame, per_page: DataFrame, graph: Graph) -> DataFram
     own = per_page.groupBy("host").agg(share("allow").alias("trust"), share("block").alias("distrust"))
     seeds = cut(own.select("host", F.explode(F.create_map(F.lit("trust"), "trust", F.lit("distrust"), "distrust")).alias("kind", "seed")))
     score = seeds.select("kind", "host", F.col("seed").alias("score"))
-    for i in range(1, graph.iterations + 1):
+    for i in range(1, graph.most_iterations + 1):
         flow = score.join(steps, (F.col("kind") == F.col("s_kind")) & (F.col("host") == F.col("s_from"))).select(
             F.col("s_kind").alias("kind"), F.col("s_to").alias("host"), (F.col("score") * F.col("part") * graph.damping).alias("score")
         )
         base = seeds.select("kind", "host", F.col("seed").alias("score"))
         new = base.unionByName(flow).groupBy("kind", "host").agg(F.sum("score").alias("score"))
-        if i % graph.checkpoint_every and i < graph.iterations:
+        if i % graph.checkpoint_every:
             score = new
             continue
         new = cut(new)
@@ -117,6 +118,8 @@ def host_scores(pages: DataFrame, per_page: DataFrame, graph: Graph) -> DataFram
         score = new
         if moved <= graph.tolerance:
             break
+    else:
+        raise RuntimeError(f"host scores still move after {graph.most_iterations} iterations")
     of = lambda kind: F.sum(F.when(F.col("kind") == kind, F.col("score")).otherwise(0.0)).alias(kind)
     return score.groupBy("host").agg(of("trust"), of("distrust"))
 

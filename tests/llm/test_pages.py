@@ -5,6 +5,8 @@ import hashlib
 import random
 import re
 
+import pytest
+
 from stavelake.llm import chat_format, url_filter, warc
 from stavelake.llm.queries import URL_RULES
 
@@ -35,6 +37,12 @@ def test_rules_longest_wins(spark):
     assert judged(spark, []) == {}
 
 
+def test_propagation_that_does_not_settle_is_an_error(spark):
+    rows = [(i, f"http://h{i}.com/", f'<a href="//h{1 - i}.com/">') for i in range(2)]
+    with pytest.raises(RuntimeError):
+        judged(spark, rows, graph=url_filter.Graph(most_iterations=5))
+
+
 def test_propagation_matches_brute_force(spark):
     rng = random.Random(4)
     hosts = [f"h{i}.org" for i in range(12)] + ["good.com", "bad.net"]
@@ -42,7 +50,7 @@ def test_propagation_matches_brute_force(spark):
     links["h0.org"], links["h1.org"] = ["bad.net"] * 3, ["h0.org", "H0.org"]
     rows = [(i, f"http://{h}/{'es' if h == 'bad.net' else 'x'}/", "".join(f'<a href="{"//" if k % 2 else "https://"}{t}/p">' for k, t in enumerate(links[h]))) for i, h in enumerate(hosts)]
     rows += [(100, None, None), (101, "http://empty.org/", None), (102, "http://h3.org/x/", "")]
-    got = judged(spark, rows, graph=url_filter.Graph(tolerance=1e-12, iterations=60))
+    got = judged(spark, rows, graph=url_filter.Graph(tolerance=1e-12))
     edges = {}
     for h in hosts:
         for t in (x.lower() for x in links[h]):
@@ -54,7 +62,7 @@ def test_propagation_matches_brute_force(spark):
     nodes = set(hosts) | {"empty.org", ""}
     seed_t, seed_d = {h: float(h == "good.com") for h in nodes}, {h: float(h == "bad.net") for h in nodes}
     t, d = dict(seed_t), dict(seed_d)
-    for _ in range(60):
+    for _ in range(300):
         t = {h: seed_t[h] + 0.85 * sum(t[a] * n / out[a] for (a, b), n in edges.items() if b == h) for h in nodes}
         d = {h: seed_d[h] + 0.85 * sum(d[b] * n / into[b] for (a, b), n in edges.items() if a == h) for h in nodes}
     for r in got.values():
