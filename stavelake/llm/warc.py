@@ -6,9 +6,11 @@ empty skippable frame as line separator, so the file is a valid Zstandard stream
 lost executor repeats its tasks only. Records with equal payloads (SHA-256) are written once, as the response with the
 smallest page_id; the others are revisit records, which keep the HTTP header and so the length of the payload.
 
-The dictionary is trained on a bounded sample of the records: those up to ``Options.sample_bytes`` are drawn by a hash with
-the chance that gives ``samples`` of them, and twice as many at most reach the driver. Every record is written and every
-byte of it is compressed.
+The dictionary is trained on a bounded sample: records of every size are drawn by a hash with the chance that gives
+``Options.samples`` of them, and of each the stretch of at most ``sample_bytes`` of its payload that starts at a hashed
+place; twice as many at most reach the driver. Every record is written and every byte of it is compressed. A task begins a
+new file after some ``file_bytes``, each with the dictionary in front, so a file is never too large to be read as one value
+(a record alone may be larger than that).
 
 Defined results: null html is an empty payload; null page_ids sort last, and among equal payloads all rows with the
 smallest page_id are responses (also if it is null or repeated); a null url is written as an empty target; very long
@@ -48,6 +50,12 @@ class Options:
     dictionary_bytes: int = 65_536
     level: int = 6
     min_payload: int = 0
+    row_bytes: int = 1 << 20
+    file_bytes: int = 64 << 20
+
+    @property
+    def rows_per_file(self) -> int:
+        return max(1, self.file_bytes // self.row_bytes)
 
 
 def sha1(payload: bytes) -> str:
@@ -130,10 +138,13 @@ def records_in(archive: bytes) -> Iterator[bytes]:
 
 def dictionary(pages: DataFrame, options: Options = Options()) -> bytes:
     """A dictionary trained on a bounded sample; empty where there are too few records to train on."""
-    rows = pages.select("page_id", "url", utf8(pages["html"]).alias("payload")).where(F.octet_length("payload").between(1, options.sample_bytes))
+    rows = pages.select("page_id", "url", utf8(pages["html"]).alias("payload")).where(F.octet_length("payload") > 0)
     share = min(1.0, options.samples / max(1, rows.count()))
-    drawn = F.pmod(F.xxhash64("page_id", "payload"), F.lit(1 << 32)) < int(share * (1 << 32))
-    sample = rows.where(drawn).limit(2 * options.samples).collect()
+    key = F.xxhash64("page_id", "payload")
+    places = F.greatest(F.octet_length("payload") - options.sample_bytes, F.lit(0)) + 1
+    stretch = F.substring("payload", (F.pmod(F.xxhash64(key), places) + 1).cast("int"), F.lit(options.sample_bytes))
+    drawn = rows.where(F.pmod(key, F.lit(1 << 32)) < int(share * (1 << 32)))
+    sample = drawn.select("page_id", "url", stretch.alias("payload")).limit(2 * options.samples).collect()
     records = sorted(record_bytes(r["page_id"], r["url"], bytes(r["payload"]), None, False) for r in sample)
     if len(records) < 16:
         return b""
@@ -160,20 +171,22 @@ def write(pages: DataFrame, path: str, options: Options = Options()) -> None:
         raw = trained.value
         data = zstandard.ZstdCompressionDict(raw) if raw else None
         compressor = zstandard.ZstdCompressor(level=options.level, dict_data=data, write_content_size=True)
-        opened = False
+        row, held, n_rows = [], 0, 0
         for batch in batches:
-            out = [] if opened else [skippable(DICTIONARY, raw)]
-            opened = True
-            for row in zip(*(batch.column(i) for i in range(batch.num_columns))):
-                out.append(compressor.compress(record_bytes(*(v.as_py() for v in row))))
-                if sum(map(len, out[-64:])) > 1 << 20 or len(out) >= 256:
-                    yield pa.record_batch([pa.array(out, pa.binary())], ["frame"])
-                    out = []
-            if out:
-                yield pa.record_batch([pa.array(out, pa.binary())], ["frame"])
-
-    made = linked(pages, options.min_payload).mapInArrow(frames, "frame binary")
-    made.select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+            for fields in zip(*(batch.column(i) for i in range(batch.num_columns))):
+                if not row and n_rows % options.rows_per_file == 0:
+                    row.append(skippable(DICTIONARY, raw))
+                row.append(compressor.compress(record_bytes(*(v.as_py() for v in fields))))
+                held += len(row[-1])
+                if held >= options.row_bytes:
+                    yield pa.record_batch([pa.array([b"".join(row)], pa.binary())], ["frames"])
+                    row, held, n_rows = [], 0, n_rows + 1
+        if row:
+            yield pa.record_batch([pa.array([b"".join(row)], pa.binary())], ["frames"])
+
+    made = linked(pages, options.min_payload).mapInArrow(frames, "frames binary")
+    lines = made.select(F.col("frames").cast("string").alias("value"))
+    lines.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", options.rows_per_file).text(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
