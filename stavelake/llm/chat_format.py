@@ -4,7 +4,8 @@ The turns of a conversation are collected as structs and sorted; adjacent turns
 an array aggregation joins; blocks are concatenated. Every control string starts with ``<|``. A text (or role) that holds
 ``<|``, with or without backslashes between the two characters, gets one more backslash there, so no text can forge a
 control string and reading back removes exactly that backslash. The loss mask is a list of (start, length) spans in code
-points: the assistant texts, without any control string.
+points: the assistant texts, without any control string. Its running offsets are summed in slices of ``CHUNK`` texts, then
+over the slices, so a conversation of very many turns costs little more than its length.
 
 Format: ``<|turn|>role<|text|>first text<|part|>next text of the same role<|end|>`` and so on.
 
@@ -19,6 +20,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TURN, TEXT, PART, END = "<|turn|>", "<|text|>", "<|part|>", "<|end|>"
+SPANS = "array<struct<start:bigint,length:bigint>>"
+CHUNK = 256
 
 
 def escaped(text: Column) -> Column:
@@ -61,32 +64,61 @@ def formatted(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
     return made.select(
         "conv_id",
         F.array_join(F.transform("blocks", lambda b: F.concat(b["head"], b["body"], F.lit(END))), "").alias("formatted"),
-        _spans(F.col("blocks")).alias("loss_spans"),
+        _items(F.col("blocks")).alias("items"),
+    ).select("conv_id", "formatted", F.transform(_parts(F.col("items")), _local_spans).alias("parts")).select(
+        "conv_id", "formatted", _placed(F.col("parts")).alias("loss_spans")
     )
 
 
-def _spans(blocks: Column) -> Column:
-    """Running offsets over the blocks and, in a block under the mask, over its texts."""
-    empty = F.array().cast("array<struct<start:bigint,length:bigint>>")
+def _parts(items: Column) -> Column:
+    """The array in slices of CHUNK, so that what is copied per step stays small however long a conversation is."""
+    numbers = F.when(F.size(items) > 0, F.sequence(F.lit(0), F.floor((F.size(items) - 1) / CHUNK).cast("int"))).otherwise(F.array().cast("array<int>"))
+    return F.transform(numbers, lambda k: F.slice(items, k * CHUNK + 1, CHUNK))
 
-    def texts(block: Column, at: Column, spans: Column) -> Column:
-        return F.aggregate(
-            block["lengths"],
-            F.struct(at.alias("at"), spans.alias("spans")),
-            lambda acc, n: F.struct(
-                (acc["at"] + n + len(PART)).alias("at"),
-                F.concat(acc["spans"], F.array(F.struct(acc["at"].alias("start"), n.cast("long").alias("length")))).alias("spans"),
-            ),
-        )["spans"]
 
-    def step(acc: Column, block: Column) -> Column:
-        body = acc["at"] + F.char_length(block["head"])
-        return F.struct(
-            (body + F.char_length(block["body"]) + len(END)).alias("at"),
-            F.when(block["is_loss"], F.concat(acc["spans"], texts(block, body, empty))).otherwise(acc["spans"]).alias("spans"),
-        )
+def _items(blocks: Column) -> Column:
+    """Per text: code points of control strings before it, its length, and whether it is under the mask."""
+    def of(block: Column, k: Column) -> Column:
+        head = F.char_length(block["head"]) + F.when(k > 0, len(END)).otherwise(0)
+        return F.transform(block["lengths"], lambda n, j: F.struct(
+            F.when(j == 0, head).otherwise(len(PART)).cast("long").alias("lead"), n.cast("long").alias("length"), block["is_loss"].alias("is_loss"),
+        ))
 
-    return F.aggregate(blocks, F.struct(F.lit(0).cast("long").alias("at"), empty.alias("spans")), step)["spans"]
+    return F.flatten(F.transform(blocks, of))
+
+
+def _local_spans(part: Column) -> Column:
+    """The spans of one slice, counted from its start, and its length."""
+    def step(acc: Column, item: Column) -> Column:
+        start = acc["at"] + item["lead"]
+        span = F.array(F.struct(start.alias("start"), item["length"].alias("length")))
+        return F.struct((start + item["length"]).alias("at"), F.when(item["is_loss"], F.concat(acc["spans"], span)).otherwise(acc["spans"]).alias("spans"))
+
+    return F.aggregate(part, F.struct(F.lit(0).cast("long").alias("at"), F.array().cast(SPANS).alias("spans")), step)
+
+
+def _placed(parts: Column) -> Column:
+    """All spans, from those of the slices and the slices' running offsets."""
+    none = F.struct(F.lit(0).cast("long").alias("at"), F.array().cast("array<bigint>").alias("starts"))
+    offsets = F.aggregate(
+        parts, none, lambda acc, p: F.struct((acc["at"] + p["at"]).alias("at"), F.concat(acc["starts"], F.array(acc["at"])).alias("starts"))
+    )["starts"]
+    moved = lambda p, at: F.transform(p["spans"], lambda s: F.struct((s["start"] + at).alias("start"), s["length"].alias("length")))
+    return F.flatten(F.zip_with(parts, offsets, moved))
+
+
+def _under_mask(text: Column, spans: Column) -> Column:
+    """The text under the spans. A position in UTF-8 is found by counting from the start, so each slice of spans first
+    cuts out the stretch that it covers."""
+    def of(part: Column) -> Column:
+        first, last = F.element_at(part, 1), F.element_at(part, -1)
+        stretch = F.substring(text, (first["start"] + 1).cast("int"), (last["start"] + last["length"] - first["start"]).cast("int"))
+        cut_out = lambda held: F.transform(part, lambda s: unescaped(
+            F.substring(held, (s["start"] - first["start"] + 1).cast("int"), s["length"].cast("int"))
+        ))
+        return F.array_join(F.flatten(F.transform(F.array(stretch), cut_out)), "")
+
+    return F.array_join(F.transform(_parts(spans), of), "")
 
 
 def read_back(made: DataFrame) -> DataFrame:
@@ -98,9 +130,9 @@ def read_back(made: DataFrame) -> DataFrame:
         body = F.substring_index(F.substring_index(chunk, TEXT, -1), END, 1)
         return F.transform(F.split(body, r"<\|part\|>"), lambda t: F.struct(unescaped(role).alias("role"), unescaped(t).alias("text")))
 
-    loss = F.transform("loss_spans", lambda s: unescaped(F.substring(F.col("formatted"), (s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return made.select(
-        "conv_id", "formatted", F.flatten(F.transform(chunks, turns_of)).alias("turns"), F.array_join(loss, "").alias("loss_text")
+        "conv_id", "formatted", F.flatten(F.transform(chunks, turns_of)).alias("turns"),
+        _under_mask(F.col("formatted"), F.col("loss_spans")).alias("loss_text"),
     )
 
 

@@ -110,6 +110,26 @@ def test_warc_files_are_plain_zstandard_streams(spark, tmp_path):
     assert len(data) - size < len(plain) / 2
 
 
+def test_warc_dictionary_of_large_pages_and_bounded_files(spark, tmp_path):
+    """Pages beyond the sampled stretch train a dictionary too; small files each start with it and read back whole."""
+    rng = random.Random(8)
+    block = "<div class='entry'><a href='/next'>{}</a></div>"
+    pages = [(i, f"http://h/{i}", "".join(block.format(rng.random()) for _ in range(900))) for i in range(60)]
+    pages += [(100, "u", None), (101, "u", "")]
+    df = spark.createDataFrame(pages, PAGES).coalesce(1)
+    assert all(len(h) > warc.Options().sample_bytes for _, _, h in pages[:60])
+    assert len(warc.dictionary(df)) > 1000
+    options = warc.Options(row_bytes=20_000, file_bytes=60_000)
+    warc.write(df, f"{tmp_path}/big", options)
+    parts = [p.read_bytes() for p in tmp_path.glob("big/part-*")]
+    assert len(parts) > 3
+    for data in parts:
+        assert int.from_bytes(data[:4], "little") == warc.DICTIONARY and len(data) < 400_000
+    got = {r["page_id"]: bytes(r["payload"]).decode() for r in warc.read(spark, f"{tmp_path}/big").collect() if r["record_type"] == "response"}
+    assert got == {i: html or "" for i, _, html in pages if i != 101}
+    assert warc.read(spark, f"{tmp_path}/big").count() == len(pages)
+
+
 def test_warc_empty(spark, tmp_path):
     warc.write(spark.createDataFrame([], PAGES), f"{tmp_path}/c")
     assert warc.read(spark, f"{tmp_path}/c").count() == 0
@@ -144,3 +164,24 @@ def test_chat_round_trip(spark):
         merged = sum(1 for i, (r, _) in enumerate(turns) if not i or turns[i - 1][0] != r)
         assert got[conv]["formatted"].count(chat_format.TURN) == merged
     assert chat_format.formatted(spark.createDataFrame([], TURNS)).count() == 0
+
+
+def test_chat_of_many_turns(spark):
+    """Offsets and masked texts over several slices of texts, alone and merged into one block."""
+    import time
+
+    n = 20_000
+    rows = [(1, i, ("user", "assistant")[i % 2], f"é{i} <| 😀") for i in range(n)]
+    rows += [(2, i, "assistant", f"x{i}") for i in range(3 * chat_format.CHUNK)] + [(3, i, "user", "") for i in range(chat_format.CHUNK + 1)]
+    made = chat_format.formatted(spark.createDataFrame(rows, TURNS))
+    began = time.monotonic()
+    got = {r["conv_id"]: r for r in chat_format.digest(made).collect()}
+    assert time.monotonic() - began < 60
+    for conv in (1, 2, 3):
+        turns = [(r, t) for i, _, r, t in rows if i == conv]
+        loss = "".join(t for r, t in turns if r == "assistant")
+        assert got[conv]["n_turns"] == len(turns) and got[conv]["loss_chars"] == len(loss)
+        assert got[conv]["loss_sha256"] == hashlib.sha256(loss.encode()).hexdigest()
+        assert got[conv]["turns_sha256"] == hashlib.sha256("".join(f"{r}\n{t}\n" for r, t in turns).encode()).hexdigest()
+    spans = {r["conv_id"]: r for r in made.where("conv_id = 2").collect()}[2]
+    assert [spans["formatted"][s["start"] : s["start"] + s["length"]] for s in spans["loss_spans"]] == [t for i, _, _, t in rows if i == 2]
