@@ -51,15 +51,15 @@ def _when(cond: str, new: str, old: str) -> str:
     return f"CASE WHEN {cond} THEN {new} ELSE {old} END"
 
 
-def _template(salt: str) -> str:
-    return (f"SELECT t.piece_id, n.voice, t.bar, n.slot, n.dur_slots, n.midi, 16 AS grid FROM (SELECT DISTINCT piece_id, bar, {_when(pick(salt, BAR) + f' < {D}', 'ob', 'bar')} AS src"
+def _template(salt: str, d: float) -> str:
+    return (f"SELECT t.piece_id, n.voice, t.bar, n.slot, n.dur_slots, n.midi, 16 AS grid FROM (SELECT DISTINCT piece_id, bar, {_when(pick(salt, BAR) + f' < {d}', 'ob', 'bar')} AS src"
             " FROM n JOIN opening USING (piece_id)) t JOIN n ON n.piece_id = t.piece_id AND n.bar = t.src")
 
 
-def _walk(metric: str, rule: str) -> str:
+def _walk(metric: str, rule: str, d: float) -> str:
     """The highest line folded in order: {b} is the edited pitch before, {o} the token's own."""
     step = rule.format(b="done[-1]", o="t.own")
-    return (f"WITH tk AS (SELECT piece_id, bar, voice, slot, dur_slots, min(midi) AS own, {pick(metric)} < {D} AS hit FROM n JOIN hiv USING (piece_id, voice) GROUP BY ALL),"
+    return (f"WITH tk AS (SELECT piece_id, bar, voice, slot, dur_slots, min(midi) AS own, {pick(metric)} < {d} AS hit FROM n JOIN hiv USING (piece_id, voice) GROUP BY ALL),"
             " ln AS (SELECT piece_id, list({'bar': bar, 'voice': voice, 'slot': slot, 'dur_slots': dur_slots, 'own': own, 'hit': hit} ORDER BY bar, slot, dur_slots) AS ts FROM tk GROUP BY ALL),"
             f" fd AS (SELECT piece_id, ts, list_reduce(ts[2:], lambda done, t: list_append(done, CASE WHEN t.hit THEN {step} ELSE t.own END), [ts[1].own]) AS ps FROM ln),"
             " mv AS (SELECT piece_id, unnest(ts[2:]) AS t, unnest(ps[2:]) AS p FROM fd), ed AS (SELECT piece_id, t.bar AS bar, t.voice AS voice, t.slot AS slot, t.dur_slots AS dur_slots, p FROM mv WHERE t.hit)"
@@ -69,40 +69,46 @@ def _walk(metric: str, rule: str) -> str:
 
 SNAP = "(midi - midi % 12 + CASE WHEN midi % 12 IN (11, 0, 1, 2) THEN 0 WHEN midi % 12 IN (3, 4, 5) THEN 4 ELSE CASE WHEN midi % 12 = 10 THEN 0 ELSE 7 END END)"
 
-LEVERS = {
-    "rhy_syncopation_rate": _set(slot=_when(f"{pick('rhy_syncopation_rate')} < {D}", "slot + 1", "slot")),
-    "rhy_onset_density_per_bar": f"SELECT piece_id, voice, bar, slot, dur_slots, midi, 16 AS grid FROM (SELECT *, {pick('rhy_onset_density_per_bar')} >= {D} AS keep FROM n) JOIN firsttok USING (piece_id, bar, voice)"
-    f" JOIN (SELECT piece_id, bar, voice, bool_or({pick('rhy_onset_density_per_bar')} >= {D}) AS sm FROM n GROUP BY ALL) USING (piece_id, bar, voice) WHERE keep OR (NOT sm AND slot * 100 + dur_slots = ft)",
-    "rhy_triplet_share": _set(grid=_when(f"{pick('rhy_triplet_share', BAR)} < {D}", "12", "16")),
-    "rhy_onset_pos_entropy": _set(slot=_when(f"{pick('rhy_onset_pos_entropy')} < {D}", "1", "slot")),
-    "rhy_dur_cv": _set(dur_slots=_when(f"{pick('rhy_dur_cv')} < {D}", "dm", "dur_slots")) + " JOIN durm USING (piece_id)",
-    "rhy_mean_dur_beats": _set(dur_slots="greatest(1, round_even(dur_slots * 2.5::DOUBLE, 0))"),
-    "rhy_density_variability": _set() + f" JOIN firsttok USING (piece_id, bar, voice) JOIN opening USING (piece_id) WHERE NOT ({pick('rhy_density_variability', BAR)} < {D / 2} AND bar > ob) OR slot * 100 + dur_slots = ft",
-    "har_chromaticism": _set(midi=_when(f"{pick('har_chromaticism')} < {D / 2}", "least(127, midi + 1)", "midi")),
-    "har_distinct_pc": _set(midi=_when(f"{pick('har_distinct_pc')} < {D}", SNAP, "midi")),
-    "har_pc_entropy": _set(midi=_when(f"{pick('har_pc_entropy')} < {D}", "midi - midi % 12", "midi")),
-    "har_root_motion_entropy": _set(midi=_when(f"lov.voice IS NOT NULL AND {pick('har_root_motion_entropy', 'piece_id || chr(124) || bar || chr(124) || voice || chr(124) || slot || chr(124) || dur_slots')} < {D}", "mode", "midi"))
-    + " LEFT JOIN lov USING (piece_id, voice) LEFT JOIN bmode USING (piece_id)",
-    "har_dimaug_rate": f"SELECT piece_id, voice, bar, slot, dur_slots, midi, 16 AS grid FROM n JOIN firstvoice USING (piece_id, bar) WHERE NOT ({pick('har_dimaug_rate', BAR)} < {D} AND voice_ix = fv)"
-    f" UNION ALL SELECT piece_id, 'V' || fv, bar, 1, 8, unnest([60, 63, 66]), 16 FROM firstvoice WHERE {pick('har_dimaug_rate', BAR)} < {D}",
-    "mel_pitch_range": _set(midi="greatest(0, least(127, midi + CASE WHEN h.m IS NOT NULL THEN 6 WHEN lov.voice IS NOT NULL THEN -6 ELSE 0 END))")
-    + " LEFT JOIN hiv h USING (piece_id, voice) LEFT JOIN lov USING (piece_id, voice)",
-    "mel_voice_range": _set(midi=_when("h.m IS NOT NULL", "greatest(0, least(127, round_even(h.m + (midi - h.m) * 2.5::DOUBLE, 0)))", "midi")) + " LEFT JOIN hiv h USING (piece_id, voice)",
-    "mel_interval_entropy": _walk("mel_interval_entropy", "{b} + 2"),
-    "mel_step_ratio": _walk("mel_step_ratio", "CASE WHEN {o} = {b} THEN {b} + 1 ELSE {b} + greatest(-2, least(2, {o} - {b})) END"),
-    "mel_up_ratio": _walk("mel_up_ratio", "CASE WHEN {o} <= {b} THEN {b} + 2 ELSE {o} END"),
-    "tex_voice_count": _set() + " JOIN (SELECT piece_id, voice FROM (SELECT DISTINCT piece_id, voice, " + pick("tex_voice_count", "piece_id || '|' || voice")
-    + f" AS u FROM n) QUALIFY u >= {D} OR u = max(u) OVER (PARTITION BY piece_id)) s USING (piece_id, voice)",
-    "tex_mean_simultaneity": _set() + f" UNION ALL SELECT piece_id, voice, bar, slot, dur_slots, least(127, min(midi) + 4), 16 FROM n WHERE {pick('tex_mean_simultaneity')} < {D} GROUP BY {TK}",
-    "tex_max_chord_width": _set() + f" UNION ALL SELECT piece_id, voice, bar, slot, dur_slots, least(127, min(midi) + 24), 16 FROM n JOIN firstall USING (piece_id, bar) WHERE voice_ix * 10000 + slot * 100 + dur_slots = fa GROUP BY {TK}",
-    "tex_active_voice_density": _set() + f" JOIN firstvoice USING (piece_id, bar) WHERE NOT {pick('tex_active_voice_density', BAR)} < {D} OR voice_ix = fv",
-    "form_self_similarity": _template("form_self_similarity"),
-    "form_distinct_bar_frac": _template("form_distinct_bar_frac"),
-    "within_song_variation": _template("within_song_variation"),
-    "form_novelty_rate": "SELECT t.piece_id, n.voice, t.bar, n.slot, n.dur_slots, n.midi, 16 AS grid FROM (SELECT piece_id, bar, last_value(own IGNORE NULLS) OVER (PARTITION BY piece_id ORDER BY bar) AS src"
-    f" FROM (SELECT piece_id, bar, CASE WHEN bar = ob OR NOT {pick('form_novelty_rate', BAR)} < {D} THEN bar END AS own FROM (SELECT DISTINCT piece_id, bar, ob FROM n JOIN opening USING (piece_id)))) t"
-    " JOIN n ON n.piece_id = t.piece_id AND n.bar = t.src",
-}
+def lever_sql(d: float) -> dict[str, str]:
+    """Every lever at dose d, as a SELECT over n and MEANS."""
+    wide, far = round(12 * d), 12 + round(24 * d)
+    return {
+        "rhy_syncopation_rate": _set(slot=_when(f"{pick('rhy_syncopation_rate')} < {d}", "slot + 1", "slot")),
+        "rhy_onset_density_per_bar": f"SELECT piece_id, voice, bar, slot, dur_slots, midi, 16 AS grid FROM (SELECT *, {pick('rhy_onset_density_per_bar')} >= {d} AS keep FROM n) JOIN firsttok USING (piece_id, bar, voice)"
+        f" JOIN (SELECT piece_id, bar, voice, bool_or({pick('rhy_onset_density_per_bar')} >= {d}) AS sm FROM n GROUP BY ALL) USING (piece_id, bar, voice) WHERE keep OR (NOT sm AND slot * 100 + dur_slots = ft)",
+        "rhy_triplet_share": _set(grid=_when(f"{pick('rhy_triplet_share', BAR)} < {d}", "12", "16")),
+        "rhy_onset_pos_entropy": _set(slot=_when(f"{pick('rhy_onset_pos_entropy')} < {d}", "1", "slot")),
+        "rhy_dur_cv": _set(dur_slots=_when(f"{pick('rhy_dur_cv')} < {d}", "dm", "dur_slots")) + " JOIN durm USING (piece_id)",
+        "rhy_mean_dur_beats": _set(dur_slots=f"greatest(1, round_even(dur_slots * {1 + 3 * d}::DOUBLE, 0))"),
+        "rhy_density_variability": _set() + f" JOIN firsttok USING (piece_id, bar, voice) JOIN opening USING (piece_id) WHERE NOT ({pick('rhy_density_variability', BAR)} < {d / 2} AND bar > ob) OR slot * 100 + dur_slots = ft",
+        "har_chromaticism": _set(midi=_when(f"{pick('har_chromaticism')} < {d / 2}", "least(127, midi + 1)", "midi")),
+        "har_distinct_pc": _set(midi=_when(f"{pick('har_distinct_pc')} < {d}", SNAP, "midi")),
+        "har_pc_entropy": _set(midi=_when(f"{pick('har_pc_entropy')} < {d}", "midi - midi % 12", "midi")),
+        "har_root_motion_entropy": _set(midi=_when(f"lov.voice IS NOT NULL AND {pick('har_root_motion_entropy', 'piece_id || chr(124) || bar || chr(124) || voice || chr(124) || slot || chr(124) || dur_slots')} < {d}", "mode", "midi"))
+        + " LEFT JOIN lov USING (piece_id, voice) LEFT JOIN bmode USING (piece_id)",
+        "har_dimaug_rate": f"SELECT piece_id, voice, bar, slot, dur_slots, midi, 16 AS grid FROM n JOIN firstvoice USING (piece_id, bar) WHERE NOT ({pick('har_dimaug_rate', BAR)} < {d} AND voice_ix = fv)"
+        f" UNION ALL SELECT piece_id, 'V' || fv, bar, 1, 8, unnest([60, 63, 66]), 16 FROM firstvoice WHERE {pick('har_dimaug_rate', BAR)} < {d}",
+        "mel_pitch_range": _set(midi=f"greatest(0, least(127, midi + CASE WHEN h.m IS NOT NULL THEN {wide} WHEN lov.voice IS NOT NULL THEN -{wide} ELSE 0 END))")
+        + " LEFT JOIN hiv h USING (piece_id, voice) LEFT JOIN lov USING (piece_id, voice)",
+        "mel_voice_range": _set(midi=_when("h.m IS NOT NULL", f"greatest(0, least(127, round_even(h.m + (midi - h.m) * {1 + 3 * d}::DOUBLE, 0)))", "midi")) + " LEFT JOIN hiv h USING (piece_id, voice)",
+        "mel_interval_entropy": _walk("mel_interval_entropy", "{b} + 2", d),
+        "mel_step_ratio": _walk("mel_step_ratio", "CASE WHEN {o} = {b} THEN {b} + 1 ELSE {b} + greatest(-2, least(2, {o} - {b})) END", d),
+        "mel_up_ratio": _walk("mel_up_ratio", "CASE WHEN {o} <= {b} THEN {b} + 2 ELSE {o} END", d),
+        "tex_voice_count": _set() + " JOIN (SELECT piece_id, voice FROM (SELECT DISTINCT piece_id, voice, " + pick("tex_voice_count", "piece_id || '|' || voice")
+        + f" AS u FROM n) QUALIFY u >= {d} OR u = max(u) OVER (PARTITION BY piece_id)) s USING (piece_id, voice)",
+        "tex_mean_simultaneity": _set() + f" UNION ALL SELECT piece_id, voice, bar, slot, dur_slots, least(127, min(midi) + 4), 16 FROM n WHERE {pick('tex_mean_simultaneity')} < {d} GROUP BY {TK}",
+        "tex_max_chord_width": _set() + f" UNION ALL SELECT piece_id, voice, bar, slot, dur_slots, least(127, min(midi) + {far}), 16 FROM n JOIN firstall USING (piece_id, bar) WHERE voice_ix * 10000 + slot * 100 + dur_slots = fa GROUP BY {TK}",
+        "tex_active_voice_density": _set() + f" JOIN firstvoice USING (piece_id, bar) WHERE NOT {pick('tex_active_voice_density', BAR)} < {d} OR voice_ix = fv",
+        "form_self_similarity": _template("form_self_similarity", d),
+        "form_distinct_bar_frac": _template("form_distinct_bar_frac", d),
+        "within_song_variation": _template("within_song_variation", d),
+        "form_novelty_rate": "SELECT t.piece_id, n.voice, t.bar, n.slot, n.dur_slots, n.midi, 16 AS grid FROM (SELECT piece_id, bar, last_value(own IGNORE NULLS) OVER (PARTITION BY piece_id ORDER BY bar) AS src"
+        f" FROM (SELECT piece_id, bar, CASE WHEN bar = ob OR NOT {pick('form_novelty_rate', BAR)} < {d} THEN bar END AS own FROM (SELECT DISTINCT piece_id, bar, ob FROM n JOIN opening USING (piece_id)))) t"
+        " JOIN n ON n.piece_id = t.piece_id AND n.bar = t.src",
+    }
+
+
+LEVERS = lever_sql(D)
 SQL_LEVERS = tuple(LEVERS)
 
 SITES = f""",

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+from oracle.bank import FORM, HARMONY, MELODY, RHYTHM, ROLE_LEVELS, TEXTURE, even, long
 from oracle.base import AXIS_NAMES, PRELUDE, derived_fingerprint
-from oracle.edits import D, KEY, pick
+from oracle.edits import BAR, D, MEANS, SQL_LEVERS, lever_sql, pick
 from oracle.overlap import CELLS
 from oracle.reference import CORPUS, STATUS
 from oracle.regions import REST, scored
@@ -30,21 +31,65 @@ MED_N = (f"SELECT a || '_' || b || '|' || ((bar - 1) // 8) AS piece_id, CAST(1 +
 MED_P = "SELECT a || '_' || b || '|' || s AS piece_id, genre_a AS genre, 8 AS n_bars, 4.0::DOUBLE AS bar_ql FROM cs CROSS JOIN (SELECT unnest(range(4)) AS s) s"
 
 
-def _out(metric: str, cond: str, edited: str, dose: float) -> str:
-    pc = "pc" if dose == 0 else f"CASE WHEN {cond} THEN {edited} ELSE pc END"
-    return (f"SELECT '{metric}' AS axis, {dose}::DOUBLE AS dose, piece_id, round(-avg(CASE WHEN NOT list_contains(ks, {pc}) THEN 1.0::DOUBLE ELSE 0 END), 9) AS score"
-            " FROM n JOIN kset USING (piece_id) GROUP BY piece_id")
+DOSES = (0.25, 0.5, 1.0)
+HIGH = ("har_chromaticism", "mel_pitch_range", "mel_voice_range", "rhy_mean_dur_beats", "rhy_syncopation_rate", "rhy_triplet_share", "rhy_density_variability",
+        "har_dimaug_rate", "tex_max_chord_width", "tex_mean_simultaneity", "mel_step_ratio", "mel_up_ratio", "form_self_similarity")
 
 
-DOSE = PRELUDE + KEY + ", rowsd AS (" + " UNION ALL ".join(
-    q for d in (0.0, 0.25, 0.5, 1.0) for q in (
-        _out("har_chromaticism", f"{pick('har_chromaticism')} < {0.5 * d}", "(pc + 1) % 12", d),
-        _out("har_pc_entropy", f"{pick('har_pc_entropy')} < {d}", "0", d),
-        _out("rhy_onset_pos_entropy", "false", "pc", d),
-    )) + """),
+def _variants() -> str:
+    """All notes as they are and after every lever at every dose, with the time columns recomputed."""
+    parts = ["SELECT '|0.0|' || piece_id AS piece_id, voice, bar, slot, dur_slots, midi, 16 AS grid FROM n"]
+    for d in DOSES:
+        parts += [f"SELECT '{m}|{d}|' || piece_id AS piece_id, voice, bar, slot, dur_slots, midi, grid FROM ({q})" for m, q in lever_sql(d).items()]
+    return (
+        "SELECT piece_id, voice, CAST(substr(voice, 2) AS INTEGER) AS voice_ix, voice = 'V7' AS is_drum, NULL::INTEGER AS program, bar::INTEGER AS bar, slot::INTEGER AS slot,"
+        " dur_slots::INTEGER AS dur_slots, midi::INTEGER AS midi, (midi % 12)::INTEGER AS pc, 0 AS vel, 0 AS seq, round((slot - 1) * 4.0::DOUBLE / grid, 4) AS onb,"
+        " round((bar - 1) * 4 + round((slot - 1) * 4.0::DOUBLE / grid, 4), 4) AS abs, round(dur_slots * 4.0::DOUBLE / grid, 4) AS dur FROM (" + " UNION ALL ".join(parts) + ")"
+    )
+
+
+def _study() -> str:
+    """xrow(piece_id, axis, dose, score, entangled): the bank over all variants, nested so that its CTEs read them."""
+    metrics = RHYTHM | HARMONY | MELODY | TEXTURE | FORM | {
+        "rhy_onset_pos_entropy": even("SELECT piece_id, round_even((abs % 4) / 0.25, 0) AS q, count(*) AS c FROM n GROUP BY ALL"),
+        "mel_up_ratio": f"SELECT p.piece_id, coalesce(v, 0.5) AS v FROM p LEFT JOIN ({MELODY['mel_up_ratio']}) u ON u.piece_id = p.piece_id",
+        "rhy_triplet_share": "SELECT piece_id, avg(CASE WHEN piece_id LIKE 'rhy_triplet_share|%' AND " + pick("rhy_triplet_share", "split_part(piece_id, '|', 3) || '|' || bar")
+        + " < CAST(split_part(piece_id, '|', 2) AS DOUBLE) THEN 1.0::DOUBLE ELSE 0 END) AS v FROM (SELECT piece_id, unnest(range(1, 33)) AS bar FROM p) GROUP BY piece_id",
+    }
+    levels = "WITH n AS MATERIALIZED (SELECT * FROM xvar), p AS (SELECT DISTINCT piece_id, 32 AS n_bars, 4.0::DOUBLE AS bar_ql FROM xvar),\n" + ROLE_LEVELS[ROLE_LEVELS.index("voicemean AS"):]
+    seg_n = ("SELECT piece_id || '|' || least((bar - 1) // 6, 4) AS piece_id, CAST(bar - least((bar - 1) // 6, 4) * 6 AS INTEGER) AS bar, abs - least((bar - 1) // 6, 4) * 24 AS abs, "
+             f"{REST} FROM xwsv")
+    seg_p = ("SELECT piece_id || '|' || s AS piece_id, 0 AS genre, CASE WHEN s = 4 THEN 8 ELSE 6 END AS n_bars, 4.0::DOUBLE AS bar_ql FROM (SELECT DISTINCT piece_id FROM xwsv)"
+             " CROSS JOIN (SELECT unnest(range(5)) AS s) s")
+    seg = derived_fingerprint(seg_n, seg_p)
+    # The fingerprint reads velocities, sequence and programs, which the bank does not: bars are copied with all columns here.
+    copied = " UNION ALL ".join(
+        f"SELECT 'within_song_variation|{d}|' || t.piece_id AS piece_id, t.bar, t.bar * 4.0::DOUBLE - 4 + n.onb AS abs, {', '.join('n.' + c for c in REST.split(', '))} FROM"
+        f" (SELECT DISTINCT piece_id, bar, CASE WHEN {pick('within_song_variation', BAR)} < {d} THEN ob ELSE bar END AS src FROM n JOIN opening USING (piece_id)) t"
+        " JOIN n ON n.piece_id = t.piece_id AND n.bar = t.src" for d in DOSES)
+    return CORPUS + MEANS + f""",
+xvar AS MATERIALIZED ({_variants()}),
+xwsv AS MATERIALIZED (SELECT '|0.0|' || piece_id AS piece_id, bar, abs, {REST} FROM n UNION ALL {copied}),
+xbank AS MATERIALIZED ({long(levels, metrics)}),
+xseg AS MATERIALIZED ({seg}),
+xw AS (SELECT split_part(piece_id, '|', 2)::DOUBLE AS dose, split_part(piece_id, '|', 3) AS piece, 'within_song_variation' AS axis, round(avg(s / CASE WHEN sd <> 0 THEN sd ELSE 1e-9 END), 6) AS value
+  FROM (SELECT regexp_replace(piece_id, '[|][0-9]+$', '') AS piece_id, axis, stddev_pop(value) AS s FROM xseg GROUP BY ALL) JOIN bps USING (axis) GROUP BY piece_id),
+xval AS (SELECT split_part(piece_id, '|', 1) AS lever, split_part(piece_id, '|', 2)::DOUBLE AS dose, split_part(piece_id, '|', 3) AS piece, metric, value FROM xbank),
+xorg AS (SELECT * FROM xval WHERE lever = ''),
+xcdf AS (SELECT metric, value, (SELECT count(*) FROM xorg o WHERE o.metric = q.metric AND o.value <= q.value) / (SELECT count(DISTINCT piece) FROM xorg)::DOUBLE AS cdf FROM (SELECT DISTINCT metric, value FROM xval) q),
+xent AS (SELECT a.piece, a.lever AS axis, a.dose, count(*) FILTER (abs(round(100 * (ca.cdf - cb.cdf), 6)) > 15) AS entangled FROM xval a JOIN xorg b ON a.piece = b.piece AND a.metric = b.metric
+  JOIN xcdf ca ON ca.metric = a.metric AND ca.value = a.value JOIN xcdf cb ON cb.metric = b.metric AND cb.value = b.value WHERE a.lever <> '' AND a.metric <> a.lever GROUP BY ALL),
+xown AS (SELECT piece, lever AS axis, dose, value FROM xval WHERE metric = lever UNION ALL SELECT piece, metric, dose, value FROM xorg WHERE metric IN ({', '.join(f"'{m}'" for m in SQL_LEVERS)})
+  UNION ALL SELECT piece, axis, dose, value FROM xw),
+rowsd AS MATERIALIZED (SELECT CAST(piece AS BIGINT) AS piece_id, axis, dose, CASE WHEN axis IN {HIGH} THEN -value ELSE value END AS score, coalesce(entangled, 0) AS entangled
+  FROM xown LEFT JOIN xent USING (piece, axis, dose))"""
+
+
+DOSE = _study() + """,
 rk AS (SELECT *, rank() OVER (PARTITION BY axis, piece_id ORDER BY dose) + (count(*) OVER (PARTITION BY axis, piece_id, dose) - 1) / 2.0::DOUBLE AS rx,
   rank() OVER (PARTITION BY axis, piece_id ORDER BY score) + (count(*) OVER (PARTITION BY axis, piece_id, score) - 1) / 2.0::DOUBLE AS ry FROM rowsd),
-rho AS (SELECT axis, piece_id, corr(rx, ry) AS rho, arg_max(score, dose) - arg_min(score, dose) AS change FROM rk GROUP BY ALL HAVING max(score) > min(score))
+rho AS (SELECT axis, piece_id, CASE WHEN max(score) > min(score) THEN corr(rx, ry) END AS rho, arg_max(score, dose) - arg_min(score, dose) AS change FROM rk GROUP BY ALL),
+tangle AS (SELECT axis, avg(entangled) AS e FROM rowsd WHERE dose > 0 GROUP BY axis)
 """
 
 
@@ -81,9 +126,10 @@ SELECT *, extremes <= c1_budget AS c1_pass, bars BETWEEN 64 AND 179 AS c2_pass,
  extremes <= c1_budget AND bars BETWEEN 64 AND 179 AND copy < copy_threshold AND fit >= fit_threshold AS converged,
  round(CAST(greatest(0, extremes - c1_budget) * 40 + CASE WHEN bars BETWEEN 64 AND 179 THEN 0 ELSE 50 END + greatest(0, copy - copy_threshold) * 300 + greatest(0, fit_threshold - fit) * 15 + n_oob * 2 AS DECIMAL(28,9)), 1)::DOUBLE AS score FROM z""",
         "axis_correlation": CORPUS + f", w AS (SELECT piece_id, {wide} FROM fp GROUP BY piece_id)\nSELECT axis_a, axis_b, round(r, 6) AS r FROM ({pairs})",
-        "dose_spearman": DOSE + "SELECT axis, piece_id, round(rho, 6) AS rho FROM rho",
-        "dose_response": DOSE + """, g AS (SELECT axis, avg(rho) AS m, count(*) AS n, count(*) FILTER (round(rho, 12) < 0) AS neg, avg(change) AS d FROM rho GROUP BY axis)
-SELECT axis, round(m, 6) AS within_rho, n, neg AS n_neg, round(d, 6) AS delta, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i.i + 1) - lgamma(n - i.i + 1) - n * ln(2))) FROM (SELECT unnest(range(0, 1001)) AS i) i WHERE i.i >= greatest(neg, n - neg) AND i.i <= n), 6) AS sign_p, 0.0::DOUBLE AS entangled, m <= -0.5 AND neg = n AND n >= 8 AS validated FROM g""",
+        "dose_spearman": DOSE + "SELECT axis, piece_id, round(rho, 6) AS rho FROM rho WHERE rho IS NOT NULL",
+        "dose_response": DOSE + """, g AS (SELECT axis, avg(rho) AS m, count(rho) AS n, count(*) FILTER (round(rho, 12) < 0) AS neg, avg(change) FILTER (rho IS NOT NULL) AS d FROM rho GROUP BY axis)
+SELECT axis, round(m, 6) AS within_rho, n, neg AS n_neg, round(d, 6) AS delta, round((SELECT sum(exp(lgamma(n + 1) - lgamma(i.i + 1) - lgamma(n - i.i + 1) - n * ln(2))) FROM (SELECT unnest(range(0, 1001)) AS i) i WHERE i.i >= greatest(neg, n - neg) AND i.i <= n), 6) AS sign_p,
+  round(e, 6) AS entangled, coalesce(round(m, 12) <= -0.5 AND neg = n AND n >= 8, false) AS validated FROM g JOIN tangle USING (axis)""",
         "morph_targets": MEDLEY + """SELECT a, b, axis, part, CAST(round_even(pa.percentile + part / 5.0::DOUBLE * (pb.percentile - pa.percentile), 0) AS INTEGER) AS target FROM cs JOIN prof pa ON pa.piece_id = a
 JOIN prof pb ON pb.piece_id = b AND pb.axis = pa.axis CROSS JOIN (SELECT unnest(range(6)) AS part) SELECTED""".replace("SELECT a, b, axis", "SELECT a, b, pa.axis").replace(" SELECTED", " x"),
         "morph_graduality": MEDLEY + scored("sg", MED_N, MED_P) + """,

@@ -1,19 +1,83 @@
-"""Dose-response statistics: within-piece Spearman, sign test, bootstrap interval."""
+"""Dose-response: the study of all levers, within-piece Spearman, sign test, bootstrap interval."""
 
 from __future__ import annotations
 
 import math
+from collections.abc import Callable, Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stavelake.functions import numeric as num
+from stavelake.operators import bank, levers, ranks
+from stavelake.operators.frames import Frames
+from stavelake.session import cut_lineage
 
 MIN_PIECES = 8
+ENTANGLED = 15.0
 BOOTSTRAP = 4000
 
 
+def _tagged(df: DataFrame, lever: str, dose: float) -> DataFrame:
+    return df.withColumn("piece_id", F.concat_ws("|", F.lit(lever), F.lit(str(dose)), "piece_id"))
+
+
+def variants(fr: Frames, names: Sequence[str], doses: Sequence[float]) -> Frames:
+    """Every piece once as it is and once after each lever at each dose above 0, as pieces of one table.
+
+    A variant's piece_id is ``lever|dose|piece``; its pieces also carry source_id, lever ('' for the original) and dose.
+    """
+    edits = [(m, float(d)) for m in names for d in doses if d > 0]
+    notes = cut_lineage(fr.events)
+    parts = [_tagged(notes, "", 0.0)] + [_tagged(levers.perturb(notes, m, d), m, d) for m, d in edits]
+    bars = [_tagged(fr.bars, "", 0.0)] + [_tagged(levers.perturb_bars(fr.bars, m, d), m, d) for m, d in edits]
+    tags = F.array(*(F.struct(F.lit(m).alias("lever"), F.lit(d).alias("dose")) for m, d in [("", 0.0), *edits]))
+    pieces = fr.pieces.withColumn("tag", F.explode(tags)).withColumn("source_id", F.col("piece_id")).select(
+        "*", F.col("tag.lever").alias("lever"), F.col("tag.dose").alias("dose")
+    ).drop("tag").withColumn("piece_id", F.concat_ws("|", "lever", F.col("dose").cast("string"), "source_id"))
+    union = lambda dfs: reduce(DataFrame.unionByName, dfs)
+    return Frames(cut_lineage(union(parts).hint("rebalance")), pieces, cut_lineage(union(bars).hint("rebalance")))
+
+
+def study(fr: Frames, doses: Sequence[float], variation: Callable[[Frames], DataFrame]) -> DataFrame:
+    """(piece_id, axis, dose, score, entangled) of every lever, dose and piece with notes.
+
+    The score is the lever's own metric, signed so that it falls where the lever pushes as declared. Entangled counts the
+    other bank metrics that move by more than 15 percentile points among the original pieces. All variants pass through the
+    bank together; ``variation`` gives (piece_id, wsv), which only its own lever is scored by and which entangles nothing.
+    """
+    measured = [m for m in levers.LEVERS if m != "within_song_variation"]
+    var = variants(fr, list(levers.LEVERS), doses)
+    tags = var.pieces.select("piece_id", "source_id", "lever", "dose")
+    values = cut_lineage(bank.bank(var).withColumn("value", F.round("value", 6)).join(tags, "piece_id").drop("piece_id"))
+    own = values.where(F.col("metric") == F.col("lever")).unionByName(
+        values.where((F.col("lever") == "") & F.col("metric").isin(measured)).withColumn("lever", F.col("metric"))
+    )
+    spread = Frames(
+        var.events.where(F.substring_index("piece_id", "|", 1).isin("", "within_song_variation")),
+        var.pieces.where(F.col("lever").isin("", "within_song_variation")),
+    )
+    varied = variation(spread).join(tags, "piece_id").select(
+        "source_id", "dose", F.lit("within_song_variation").alias("lever"), F.lit("within_song_variation").alias("metric"),
+        F.round("wsv", 6).alias("value"),
+    )
+    sign = F.when(F.col("lever").isin([m for m, lever in levers.LEVERS.items() if lever.push == "high"]), -1.0).otherwise(1.0)
+    scores = own.unionByName(varied).select("source_id", F.col("lever").alias("axis"), "dose", (sign * F.col("value")).alias("score"))
+
+    original = values.where("lever = ''")
+    ranked = ranks.cdf_scores(values, ranks.cumulative(original.select("metric", "value"), ["metric"], "value"), ["metric"], "value")
+    before = ranked.where("lever = ''").select("source_id", "metric", F.col("cdf").alias("cdf0"))
+    moved = F.abs(F.round(100 * (F.col("cdf") - F.col("cdf0")), 6)) > ENTANGLED
+    tangled = ranked.where("lever <> '' AND metric <> lever").join(before, ["source_id", "metric"]).groupBy(
+        "source_id", F.col("lever").alias("axis"), "dose"
+    ).agg(num.count_if(moved).alias("entangled"))
+    return scores.join(tangled, ["source_id", "axis", "dose"], "left").select(
+        F.col("source_id").alias("piece_id"), "axis", "dose", "score", F.coalesce("entangled", F.lit(0)).alias("entangled")
+    )
+
+
 def _log_gamma(x):
     """ln of the gamma function for x >= 1: Stirling's series eight steps up, stepped back."""
     y = x + 8.0
@@ -67,22 +131,23 @@ def spearman(rows: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:
 def summarize(rows: DataFrame, min_pieces: int = MIN_PIECES) -> DataFrame:
     """Per axis: mean within-piece rho, agreeing pieces, end-to-end change, sign-test p and verdict.
 
-    rows: (piece_id, axis, dose, score, entangled); a piece has a handful of doses per axis.
+    rows: (piece_id, axis, dose, score, entangled); a piece has a handful of doses per axis. A piece whose score never
+    changes has no rho and counts nowhere; an axis with no other pieces keeps its row, with n = 0 and without a mean.
     """
     rows = rows.filter(F.col("score").isNotNull())
     keys = ["axis", "piece_id"]
     rho = spearman(rows, keys, "dose", "score")
     ends = rows.groupBy(*keys).agg((F.max_by("score", "dose") - F.min_by("score", "dose")).alias("change"))
     tangled = rows.filter("dose > 0").groupBy("axis").agg(F.avg("entangled").alias("entangled"))
-    agg = rho.join(ends, keys).groupBy("axis").agg(
-        F.avg("rho").alias("within_rho"), F.count(F.lit(1)).alias("n"),
-        num.count_if(F.col("rho") < 0).alias("n_neg"), F.avg("change").alias("delta"),
+    agg = ends.join(rho, keys, "left").groupBy("axis").agg(
+        F.avg("rho").alias("within_rho"), F.count("rho").alias("n"),
+        num.count_if(F.col("rho") < 0).alias("n_neg"), F.avg(F.when(F.col("rho").isNotNull(), F.col("change"))).alias("delta"),
     )
     major = F.greatest(F.col("n_neg"), F.col("n") - F.col("n_neg"))
     valid = (F.col("within_rho") <= -0.5) & (F.col("n_neg") == F.col("n")) & (F.col("n") >= min_pieces)
     return agg.join(tangled, "axis", "left").select(
         "axis", "within_rho", "n", "n_neg", "delta", sign_test(major, F.col("n")).alias("sign_p"),
-        F.coalesce("entangled", F.lit(0.0)).alias("entangled"), valid.alias("validated"),
+        F.coalesce("entangled", F.lit(0.0)).alias("entangled"), F.coalesce(valid, F.lit(False)).alias("validated"),
     )
 
 

@@ -454,30 +454,20 @@ def morph_verdict(spark, sf_dir):
 
 # -- dose-response -----------------------------------------------------------------------------
 DOSES = (0.0, 0.25, 0.5, 1.0)
-DOSE_LEVERS = ("har_chromaticism", "har_pc_entropy", "rhy_onset_pos_entropy")
 
 
 def _dose_rows(spark, sf_dir) -> DataFrame:
-    """Share of notes outside the original key of every piece after three levers at four doses."""
-    n, keys = tables.notes(spark, sf_dir), _keys(spark, sf_dir)
-    parts = []
-    for metric in DOSE_LEVERS:
-        for amount in DOSES:
-            out = F.col("key").bitwiseAND(F.call_function("shiftleft", F.lit(1), F.col("pc"))) == 0
-            parts.append(
-                levers.perturb(n, metric, amount).join(keys, "piece_id").groupBy("piece_id")
-                .agg(F.round(-F.avg(out.cast("double")), 9).alias("score"))
-                .withColumns({"axis": F.lit(metric), "dose": F.lit(amount), "entangled": F.lit(0)})
-            )
-    return reduce(DataFrame.unionByName, parts)
+    """Every piece after all levers at four doses, each scored by its own metric."""
+    fitted = corpus_of(spark, sf_dir)
+    return dose.study(frames(spark, sf_dir), DOSES, lambda fr: regions.within_song_variation(fr, fitted))
 
 
 def dose_spearman(spark, sf_dir):
-    return r6(dose.spearman(_dose_rows(spark, sf_dir), ["axis", "piece_id"], "dose", "score"), "rho")
+    return r6(dose.spearman(cut_lineage(_dose_rows(spark, sf_dir)), ["axis", "piece_id"], "dose", "score"), "rho")
 
 
 def dose_response(spark, sf_dir):
-    return r6(dose.summarize(cut_lineage(_dose_rows(spark, sf_dir))), "within_rho", "delta", "sign_p")
+    return r6(dose.summarize(cut_lineage(_dose_rows(spark, sf_dir))), "within_rho", "delta", "sign_p", "entangled")
 
 
 def bootstrap_overlap(spark, sf_dir):

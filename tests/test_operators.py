@@ -129,6 +129,8 @@ def test_dose_summary(spark):
     r = dose.summarize(spark.createDataFrame(rows, "piece_id string, axis string, dose double, score double, entangled int")).first()
     assert (r["within_rho"], r["n"], r["n_neg"], r["validated"], r["entangled"]) == (-1.0, 8, 8, True, 2.0)
     assert r["sign_p"] == pytest.approx(1 / 256)
+    flat = dose.summarize(spark.createDataFrame([("p", "flat", d, 1.0, 0) for d in (0.0, 1.0)], "piece_id string, axis string, dose double, score double, entangled int"))
+    assert [tuple(r) for r in flat.collect()] == [("flat", None, 0, 0, None, 1.0, 0.0, False)]
 
 
 def test_bootstrap_interval_holds_the_mean(spark):
