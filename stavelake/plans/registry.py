@@ -457,17 +457,19 @@ DOSES = (0.0, 0.25, 0.5, 1.0)
 
 
 def _dose_rows(spark, sf_dir) -> DataFrame:
-    """Every piece after all levers at four doses, each scored by its own metric."""
+    """Every piece after all levers at four doses, each scored by its own metric; kept with the corpus it was measured by."""
     fitted = corpus_of(spark, sf_dir)
-    return dose.study(frames(spark, sf_dir), DOSES, lambda fr: regions.within_song_variation(fr, fitted))
+    if getattr(fitted, "dose_rows", None) is None:
+        fitted.dose_rows = cut_lineage(dose.study(frames(spark, sf_dir), DOSES, lambda fr: regions.within_song_variation(fr, fitted)))
+    return fitted.dose_rows
 
 
 def dose_spearman(spark, sf_dir):
-    return r6(dose.spearman(cut_lineage(_dose_rows(spark, sf_dir)), ["axis", "piece_id"], "dose", "score"), "rho")
+    return r6(dose.spearman(_dose_rows(spark, sf_dir), ["axis", "piece_id"], "dose", "score"), "rho")
 
 
 def dose_response(spark, sf_dir):
-    return r6(dose.summarize(cut_lineage(_dose_rows(spark, sf_dir))), "within_rho", "delta", "sign_p", "entangled")
+    return r6(dose.summarize(_dose_rows(spark, sf_dir)), "within_rho", "delta", "sign_p", "entangled")
 
 
 def bootstrap_overlap(spark, sf_dir):
