@@ -6,6 +6,8 @@ every metric runs on it unchanged.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -31,6 +33,11 @@ def _cuts() -> Column:
     ]))
 
 
+def seam(kind: Column, n_bars: Column) -> Column:
+    """How many bars of a piece of ``n_bars`` come before its region of that type."""
+    return reduce(lambda other, t: F.when(kind == t, F.rint(F.lit(CUTS[t][0]) * n_bars).cast("int")).otherwise(other), CUTS, F.lit(None).cast("int"))
+
+
 def _rebar(events: DataFrame, bar: Column) -> DataFrame:
     """Move events to new bar numbers, keeping the place inside the bar."""
     return events.withColumn("_bar", bar.cast("int")).withColumns({
@@ -54,7 +61,7 @@ def gap_regions(fr: Frames, context: bool = False) -> Frames:
         n_bars = size
     events = moved.withColumn("piece_id", case_id).drop("lo", "hi", "type", "n_bars", "bar_ql")
     pieces = cases.select(
-        case_id.alias("piece_id"), F.col("piece_id").alias("source_id"), "type", "genre", "bar_ql", n_bars.alias("n_bars")
+        case_id.alias("piece_id"), F.col("piece_id").alias("source_id"), "type", "genre", "bar_ql", n_bars.alias("n_bars"), F.col("n_bars").alias("full_bars")
     )
     return Frames(events, pieces)
 

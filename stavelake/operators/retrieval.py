@@ -8,7 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from stavelake.functions import numeric as num
 from stavelake.operators.blocks import block_pairs
+from stavelake.session import cut_lineage
 
 
 def vectors(profile: DataFrame, key: str = "piece_id") -> DataFrame:
@@ -52,8 +54,8 @@ def nearest(queries: DataFrame, corpus: DataFrame, k: int = 3, exclude_self: boo
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
-def beat_percent(cases: DataFrame, corpus: DataFrame) -> DataFrame:
-    """Share of corpus vectors farther from a case's ``vec`` than its ``d_gr``, in whole percent."""
+def farther(cases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(key, farther, n): how many of n corpus vectors lie farther from a case's ``vec`` than its ``d_gr``."""
     def kernel(q: pd.DataFrame, c: pd.DataFrame) -> pd.DataFrame:
         if not len(q) or not len(c):
             return pd.DataFrame({"key": [], "farther": [], "n": []})
@@ -62,7 +64,12 @@ def beat_percent(cases: DataFrame, corpus: DataFrame) -> DataFrame:
 
     kind = dict(cases.dtypes)["key"]
     parts = block_pairs(cases, corpus, kernel, f"key {kind}, farther long, n long")
-    return parts.groupBy("key").agg(F.rint(F.sum("farther") / F.sum("n") * 100).cast("int").alias("beat_pct"))
+    return parts.groupBy("key").agg(F.sum("farther").alias("farther"), F.sum("n").alias("n"))
+
+
+def beat_percent(cases: DataFrame, corpus: DataFrame) -> DataFrame:
+    """Share of corpus vectors farther from a case's ``vec`` than its ``d_gr``, in whole percent."""
+    return farther(cases, corpus).select("key", F.rint(F.col("farther") / F.col("n") * 100).cast("int").alias("beat_pct"))
 
 
 def centroids(profile: DataFrame) -> DataFrame:
@@ -79,6 +86,26 @@ def exemplars(profile: DataFrame, k: int = 3) -> DataFrame:
     return top_per_group(dist, ["genre"], ["dist", "piece_id"], k)
 
 
+def disjoint_exemplars(profile: DataFrame, draws: int, k: int = 2, pool: int | None = None, seed: int = 0) -> DataFrame:
+    """(genre, draw, piece_id, dist, place): ``draws`` successive picks of k exemplars per genre, no piece twice.
+
+    Every draw measures the pieces still free against their own centroid, keeps the ``pool`` nearest (6 or 3k) and takes k
+    of them by a hash of seed, draw and id; a genre that has run out gets fewer. All genres draw in one job, and picks are
+    written between draws, so the driver only counts draws.
+    """
+    pool = max(k, pool or max(6, 3 * k))
+    free, taken = profile.select("genre", "piece_id", "axis", "percentile"), None
+    for draw in range(1, draws + 1):
+        near = exemplars(free, pool).withColumn("lot", num.chance(f"draw{seed}", F.lit(draw), F.col("piece_id")))
+        w = W.partitionBy("genre").orderBy("lot", "piece_id")  # a pool holds a handful of rows
+        picked = cut_lineage(near.withColumn("place", F.row_number().over(w)).where(F.col("place") <= k).select(
+            "genre", F.lit(draw).alias("draw"), "piece_id", "dist", "place"
+        ))
+        taken = picked if taken is None else taken.unionByName(picked)
+        free = free.join(picked.select("piece_id"), "piece_id", "left_anti")
+    return taken
+
+
 def top_per_group(df: DataFrame, keys: list[str], order: list[str], k: int) -> DataFrame:
     """First k rows per group. Each hash slice of a group keeps its own k first, so a large group is
     never ranked in one task."""

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, diagnose, dose, drills, facts, feedback, gates, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds, saved
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, diagnose, dose, drills, extend, facts, feedback, gates, legacy, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds, saved
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -349,6 +349,58 @@ def final_grade(spark, sf_dir):
     return regions.final_grade(region, _regions(spark, sf_dir), _regions(spark, sf_dir, context=True), c, answer)
 
 
+def _candidates(spark, sf_dir) -> Frames:
+    """Stand-ins for written regions: a start five semitones up, an infill with its odd bars a semitone up, and as
+    continuation that of the nearest neighbour."""
+    real = regions.gap_regions(frames(spark, sf_dir))
+    part = F.split("piece_id", r"\|")
+    up = F.when(part[1] == "start", 5).when(F.col("bar") % 2 == 1, 1).otherwise(0)
+    own = real.events.where(part[1] != "cont").withColumn("midi", (F.col("midi") + up).cast("int"))
+    near = _neighbors(spark, sf_dir).where("rank = 1").select("key", F.col("neighbor").cast("string").alias("song"))
+    theirs = real.events.where(part[1] == "cont").withColumn("song", part[0]).join(near, "song")
+    theirs = theirs.withColumn("piece_id", F.concat_ws("|", F.col("key").cast("string"), F.lit("cont"))).drop("song", "key")
+    events = cut_lineage(own.withColumn("pc", F.col("midi") % 12).unionByName(theirs))
+    return Frames(events, real.pieces)
+
+
+def _scored(gen: Frames, fitted: Corpus) -> DataFrame:
+    return cut_lineage(fitted.score(axes.fingerprint(gen, ("source_id", "type", "genre"))))
+
+
+def legacy_gap(spark, sf_dir):
+    """Every stand-in by the legacy gap measures."""
+    fr, c = frames(spark, sf_dir), corpus_of(spark, sf_dir)
+    gen, real = _candidates(spark, sf_dir), regions.gap_regions(fr)
+    truth = _regions(spark, sf_dir)
+    near = _neighbors(spark, sf_dir).select(F.col("key").alias("source_id"), F.col("neighbor").alias("song"))
+    neighbors = gen.pieces.select("piece_id", "source_id").join(near, "source_id").select("piece_id", "song")
+    copied = legacy.copies(gen, real, fr, neighbors)
+    budget = cut_lineage(regions.region_budget(c, truth))
+    return legacy.measure(c, gen, real, _scored(gen, c), truth, _regions(spark, sf_dir, context=True), copied, budget)
+
+
+def legacy_winners(spark, sf_dir):
+    return legacy.winners(cut_lineage(legacy_gap(spark, sf_dir)))
+
+
+def extension_measure(spark, sf_dir):
+    """Every stand-in as an extension of the piece without that region."""
+    fr, c = frames(spark, sf_dir), corpus_of(spark, sf_dir)
+    gen, source = _candidates(spark, sf_dir), regions.gap_regions(fr, context=True)
+    cases = source.pieces.select("piece_id", "type", regions.seam(F.col("type"), F.col("full_bars")).alias("seam"))
+    songs = fr.events.withColumn("piece_id", F.col("piece_id").cast("string"))
+    copy = overlap.corpus_overlap(gen.events, songs).select("piece_id", F.col("overlap").alias("vs_corpus"))
+    return extend.measure(c, gen, source, cases, _scored(gen, c), _regions(spark, sf_dir, context=True), copy)
+
+
+DRAWS = 3
+
+
+def disjoint_exemplars(spark, sf_dir):
+    """Three draws of two exemplars per genre."""
+    return r6(retrieval.disjoint_exemplars(corpus_of(spark, sf_dir).profile, DRAWS), "dist")
+
+
 def drift_report(spark, sf_dir):
     """Profiles before and after the chromatic lever."""
     c = corpus_of(spark, sf_dir)
@@ -685,7 +737,7 @@ def build() -> dict[str, Query]:
         centroid_exemplars, embedding_neighbors, bank_candidates, bar_similarity, pattern_catalog,
         encoding_cost, ground_truth, constant_baselines, key_guess, difficulty_grade, bar_chords, anomaly_sites,
         anomaly_verify, anomaly_heuristic, anomaly_detection, within_song_variation, region_profile, region_budget,
-        region_reprise, reprise_gate, region_fitness, channel_check, final_grade, drift_report, drift_verdict, gate_thresholds,
+        region_reprise, reprise_gate, region_fitness, channel_check, final_grade, legacy_gap, legacy_winners, extension_measure, disjoint_exemplars, drift_report, drift_verdict, gate_thresholds,
         piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars, bar_attribution, copy_runs, saved_profile,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
