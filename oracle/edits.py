@@ -135,9 +135,9 @@ nv AS (SELECT piece_id, name FROM (SELECT *, row_number() OVER (PARTITION BY pie
 db AS (SELECT piece_id, bar FROM (SELECT piece_id, bar, row_number() OVER (PARTITION BY piece_id ORDER BY count(*) DESC, min(seq)) AS r FROM n GROUP BY piece_id, bar) WHERE r = 1),
 truth AS (SELECT n.piece_id, max(midi) AS highest_midi, min(midi) AS lowest_midi, any_value(lead.voice) AS most_active_voice,
   max(CASE WHEN n.voice = lead.voice THEN midi END) - min(CASE WHEN n.voice = lead.voice THEN midi END) AS active_span, max(dur) AS longest_beats, bool_or(dur > 4.000001) AS any_longer_than_bar,
-  any_value(db.bar) AS densest_bar, any_value(coalesce(tw.t, false)) AS near_identical_bars, count(DISTINCT pc) AS distinct_pc_count, bit_or(1 << pc) AS present_pcs, 'straight' AS subdivision,
+  any_value(db.bar) AS densest_bar, any_value(coalesce(tw.t, false)) AS near_identical_bars, round(any_value(coalesce(tw.m, 0)), 6) AS max_bar_sim, count(DISTINCT pc) AS distinct_pc_count, bit_or(1 << pc) AS present_pcs, 'straight' AS subdivision,
   avg(CASE WHEN onb - floor(onb) > 1e-6 THEN 1.0::DOUBLE ELSE 0 END) >= 0.15 AS syncopation, any_value(nv.name) AS note_value
-  FROM n JOIN lead USING (piece_id) JOIN db USING (piece_id) JOIN nv USING (piece_id) LEFT JOIN (SELECT piece_id, max(sim) >= 0.9 AS t FROM ssm WHERE i < j GROUP BY ALL) tw USING (piece_id) GROUP BY n.piece_id)
+  FROM n JOIN lead USING (piece_id) JOIN db USING (piece_id) JOIN nv USING (piece_id) LEFT JOIN (SELECT piece_id, max(sim) >= 0.9 AS t, max(sim) AS m FROM ssm WHERE i < j GROUP BY ALL) tw USING (piece_id) GROUP BY n.piece_id)
 """
 
 

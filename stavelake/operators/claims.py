@@ -5,11 +5,12 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from stavelake.functions import bits, pitch
 from stavelake.functions import numeric as num
-from stavelake.operators import drills
+from stavelake.operators import drills, lookups
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
 
@@ -20,7 +21,7 @@ CLAIM = (
     "piece_id {id}, highest string, lowest string, active_voice string, span int, longest double, over_bar boolean, densest int,"
     " no_repeat boolean, bar_a int, bar_b int, query_pc string, pc_present boolean, pc_count int, tonic string, mode string,"
     " subdivision string, syncopation boolean, note_value string, chord_bar int, chord_pcs array<string>,"
-    " voice_a string, voice_b string, parallel boolean"
+    " voice_a string, voice_b string, parallel boolean, interval_a string, interval_b string, semis int, interval boolean"
 )
 
 
@@ -28,31 +29,32 @@ def _ok(cond: Column) -> Column:
     return F.coalesce(cond, F.lit(False)).cast("double")
 
 
-def parallel_pairs(fr: Frames) -> DataFrame:
-    """Voice pairs whose top notes ever move by the same nonzero step between shared onsets."""
-    from pyspark.sql import Window as W
-
+def parallel_pairs(fr: Frames, asked: DataFrame) -> DataFrame:
+    """The asked (piece_id, voice_a, voice_b) whose top notes move by the same nonzero step between shared onsets, or never."""
     v = fr.voice_onsets.filter(F.col("voice_ix").isNotNull())
     a = v.select("piece_id", "abs", F.col("voice").alias("voice_a"), F.col("hi").alias("ta"))
     b = v.select("piece_id", "abs", F.col("voice").alias("voice_b"), F.col("hi").alias("tb"))
     w = W.partitionBy("piece_id", "voice_a", "voice_b").orderBy("abs")
     da, db = F.col("ta") - F.lag("ta").over(w), F.col("tb") - F.lag("tb").over(w)
-    both = a.join(b, ["piece_id", "abs"]).filter("voice_a <> voice_b")
+    both = asked.distinct().join(a, ["piece_id", "voice_a"]).join(b, ["piece_id", "voice_b", "abs"])
     return both.withColumn("hit", (da != 0) & (da == db)).groupBy("piece_id", "voice_a", "voice_b").agg(
         F.coalesce(F.max("hit"), F.lit(False)).alias("ever")
     )
 
 
 def grade(fr: Frames, truth: DataFrame, claims: DataFrame) -> DataFrame:
-    """(piece_id, category, score) for every claim category; claims follow ``CLAIM``."""
+    """(piece_id, category, score) for the seventeen claim categories; claims follow ``CLAIM``, one row per piece."""
     c = F.col
     near = Structure(fr).similar_bars.select("piece_id", F.col("b1"), F.col("b2"), "sim")
+    asked = claims.select("piece_id", F.col("interval_a").alias("voice_a"), F.col("interval_b").alias("voice_b"), "semis")
+    sounds = lookups.ever_interval(fr.events, asked).withColumnsRenamed({"voice_a": "interval_a", "voice_b": "interval_b"})
     bars = fr.bar_levels.select("piece_id", F.col("bar").alias("chord_bar"), F.col("pcs").alias("bar_pcs"))
     df = (
         claims.withColumns({"b1": F.least("bar_a", "bar_b"), "b2": F.greatest("bar_a", "bar_b")})
         .join(truth.withColumnsRenamed({"subdivision": "t_sub", "syncopation": "t_sync", "note_value": "t_value"}), "piece_id")
         .join(near, ["piece_id", "b1", "b2"], "left").join(bars, ["piece_id", "chord_bar"], "left").join(fr.pc_weights, "piece_id")
-        .join(parallel_pairs(fr), ["piece_id", "voice_a", "voice_b"], "left")
+        .join(parallel_pairs(fr, claims.select("piece_id", "voice_a", "voice_b")), ["piece_id", "voice_a", "voice_b"], "left")
+        .join(sounds.withColumn("sounds", F.lit(True)), ["piece_id", "interval_a", "interval_b", "semis"], "left")
     )
     asked = reduce(lambda a, b: a.bitwiseOR(b), [
         F.coalesce(bits.pc_bit(pitch.pc_of(F.get("chord_pcs", F.lit(i)))), F.lit(0)) for i in range(12)
@@ -78,6 +80,7 @@ def grade(fr: Frames, truth: DataFrame, claims: DataFrame) -> DataFrame:
         "repetition": F.when(F.coalesce("no_repeat", F.lit(False)), _ok(~c("near_identical_bars"))).otherwise(
             _ok((c("sim") >= 0.90) | (c("bar_a") == c("bar_b")))),
         "voice_rel:parallel": _ok(F.coalesce("ever", F.lit(False)) == F.coalesce("parallel", F.lit(False))),
+        "voice_rel:interval": _ok(F.coalesce("sounds", F.lit(False)) == F.coalesce("interval", F.lit(False))),
         "pitch_content:present": _ok(has == c("pc_present")),
         "pitch_content:count": _ok(c("pc_count") == c("distinct_pc_count")),
         "scale_mode": F.coalesce(scale, F.lit(0.0)),

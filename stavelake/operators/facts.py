@@ -45,7 +45,7 @@ def _is_triplet(onb: Column) -> Column:
 
 
 def ground_truth(fr: Frames) -> DataFrame:
-    """The thirteen checkable facts of a piece."""
+    """The checkable facts of a piece, among them the largest similarity of two of its bars."""
     st = Structure(fr)
     onb, off = F.col("onb"), F.pmod(F.col("onb"), F.lit(1.0)) > 1e-6
     base = fr.events.join(fr.pieces.select("piece_id", "bar_ql"), "piece_id").groupBy("piece_id").agg(
@@ -67,11 +67,12 @@ def ground_truth(fr: Frames) -> DataFrame:
     span = fr.voices.join(lead, ["piece_id", "voice"]).groupBy("piece_id", F.col("voice").alias("most_active_voice")).agg(
         (F.max("hi") - F.min("lo")).alias("active_span")
     )
-    twin = st.similar_bars.groupBy("piece_id").agg((F.max("sim") >= NEAR_IDENTICAL).alias("near_identical_bars"))
+    twin = st.similar_bars.groupBy("piece_id").agg(F.max("sim").alias("max_bar_sim"))
     df = base.join(densest, "piece_id").join(value, "piece_id").join(span, "piece_id", "left").join(twin, "piece_id", "left")
     return df.select(
         "piece_id", "highest_midi", "lowest_midi", "most_active_voice", F.coalesce("active_span", F.lit(0)).alias("active_span"),
-        "longest_beats", "any_longer_than_bar", "densest_bar", F.coalesce("near_identical_bars", F.lit(False)).alias("near_identical_bars"),
+        "longest_beats", "any_longer_than_bar", "densest_bar", F.coalesce("max_bar_sim", F.lit(0.0)).alias("max_bar_sim"),
+        F.coalesce(F.col("max_bar_sim") >= NEAR_IDENTICAL, F.lit(False)).alias("near_identical_bars"),
         bits.size(F.col("pcs")).cast("int").alias("distinct_pc_count"), F.col("pcs").alias("present_pcs"),
         F.when(F.col("n_trip") > F.col("n") - F.col("n_trip"), "triplet").otherwise("straight").alias("subdivision"),
         (F.col("n_off") / F.col("n") >= SYNCOPATED).alias("syncopation"), "note_value",

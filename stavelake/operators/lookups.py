@@ -42,6 +42,21 @@ def voice_intervals(notes: DataFrame) -> DataFrame:
     return pairs.join(struck, ["piece_id", "t"]).filter(either).groupBy("piece_id", "voice_a", "voice_b", "semis").agg(F.count("*").alias("n"))
 
 
+def ever_interval(notes: DataFrame, asked: DataFrame) -> DataFrame:
+    """The rows (piece_id, voice_a, voice_b, semis) of ``asked`` whose voices ever sound so many semitones apart at an onset
+    of either. A voice asked against itself is compared with its own sounding pitches. Only asked voices are looked up."""
+    keys = ["piece_id", "voice_a", "voice_b", "semis"]
+    asked = asked.select(*keys).distinct()
+    either = asked.withColumn("voice", F.explode(F.array_distinct(F.array("voice_a", "voice_b"))))
+    heard = notes.join(either.select("piece_id", "voice").distinct(), ["piece_id", "voice"], "left_semi")
+    onsets = heard.select("piece_id", "voice", F.col("abs").alias("t")).distinct()
+    at = sounding_at(heard, onsets.select("piece_id", "t"))
+    when = either.join(onsets, ["piece_id", "voice"]).select(*keys, "t").distinct()
+    a, b = at.withColumnsRenamed({"voice": "voice_a", "midi": "a"}), at.withColumnsRenamed({"voice": "voice_b", "midi": "b"})
+    both = when.join(a, ["piece_id", "voice_a", "t"]).join(b, ["piece_id", "voice_b", "t"])
+    return both.where(F.abs(F.col("a") - F.col("b")) == F.col("semis")).select(*keys).distinct()
+
+
 def pitch_at(notes: DataFrame, asked: DataFrame) -> DataFrame:
     """As-of join: for (piece_id, voice, t) the top pitch of the voice's last onset at or before t, and that onset."""
     tops = notes.groupBy("piece_id", "voice", F.col("abs").alias("t")).agg(F.max("midi").alias("midi"))
