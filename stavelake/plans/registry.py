@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stavelake.functions import pitch
-from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, diagnose, dose, drills, extend, facts, feedback, gates, legacy, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds, saved
+from stavelake.operators import accompany, anomaly, axes, bank, calibrate, claims, corpus, diagnose, dose, drills, extend, facts, feedback, gates, legacy, levers, lookups, models, morph, overlap, patterns, prune, regions, retrieval, rounds, saved, tags
 from stavelake.operators.corpus import Corpus
 from stavelake.operators.frames import Frames
 from stavelake.operators.structure import Structure
@@ -591,6 +591,19 @@ def drill_checks(spark, sf_dir):
     return drills.challenge_checks(drills.features(frames(spark, sf_dir)))
 
 
+def training_tags(spark, sf_dir):
+    """Tags of every piece; meter and tempo, which the tables lack, vary with the id, and the sixteenths of one voice of every
+    fourth piece stand beside the whole pieces as lines."""
+    fr = frames(spark, sf_dir)
+    pid = F.col("piece_id")
+    line = fr.events.where((F.col("voice") == "V1") & (F.col("dur_slots") == 1) & (pid % 4 == 0)).withColumn("piece_id", -1 - pid)
+    heads = fr.pieces.select("piece_id").unionByName(fr.pieces.where(pid % 4 == 0).select((-1 - pid).alias("piece_id"))).select(
+        "piece_id", F.when(pid % 3 == 0, "6/8").otherwise("4/4").alias("meter"), F.when(pid % 5 != 0, 40 + F.abs(pid) * 29 % 150).alias("tempo"))
+    bars = levers.perturb_bars(fr.bars, "rhy_triplet_share", LEVER_DOSE)
+    both = Frames(fr.events.unionByName(line), fr.pieces, bars)
+    return tags.training_tags(both, heads, facts.key_guess(fr), facts.bar_chords(fr))
+
+
 def drill_rhythm(spark, sf_dir):
     return r6(drills.rhythm_mix(frames(spark, sf_dir)), "change_share")
 
@@ -746,7 +759,7 @@ def build() -> dict[str, Query]:
         piece_fitness, piece_corrections, genre_guardrail, loop_benefit, pick_best_orders, grammar_rejects, voice_intervals, pitch_at_bars, copy_bars, bar_attribution, copy_runs, saved_profile,
         genre_classifier, genre_rank_thresholds, genre_steer, axis_correlation, axis_prune, morph_targets, morph_graduality,
         morph_verdict, dose_spearman, dose_response, bootstrap_overlap, grammar_roundtrip, adaptive_grid, midi_roundtrip, abc_lines,
-        drill_checks, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds, streamed_best_rounds,
+        drill_checks, training_tags, drill_rhythm, drill_register, claim_grades, drum_groove, voice_roles, voice_removal, best_rounds, streamed_best_rounds,
     ):
         out[q.__name__] = q
     return out
