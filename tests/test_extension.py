@@ -2,6 +2,7 @@
 
 import hashlib
 from itertools import groupby
+from types import SimpleNamespace
 
 import pytest
 
@@ -88,3 +89,25 @@ def test_voice_agreement(spark):
     a = made(spark, [("p", "V1", 1, 0, 60), ("p", "V2", 1, 0, 60)]).events
     b = made(spark, [("p", "V2", 1, 0, 60), ("p", "V3", 1, 0, 60), ("p", "V4", 1, 0, 60)]).events
     assert extend.voice_agreement(a, b).first()["voices"] == pytest.approx(1 / 4)
+
+
+def test_extension_gates_both_ways(spark):
+    """A region that passes every gate, and one that fails all of them."""
+    song = [0, 5, 7, 0, 9, 2]
+    source = made(spark, chords("good", song) + chords("bad", song))
+    region = made(spark, chords("good", song[::-1], 12) + [("bad", f"X{b}", b, i, 48 + [1, 3, 6][i]) for b in range(1, 6) for i in range(3)] + chords("bad", song[:1])[:1])
+    extremes = [(f"axis_{i}", 99, 90) for i in range(4)]  # beyond 95 here, from 85 on in the source: shared
+
+    def profile(side):
+        pick = lambda rows: [(a, float(p[side]), p[side]) for a, *p in rows]
+        good = pick([("axis_a", 40, 50), ("axis_banded", 2, 20), ("axis_note_density_bar_variability", 100, 0), *extremes])
+        bad = pick([(f"axis_{i}", 98, 50) for i in range(4)])
+        return spark.createDataFrame([("good", 0, *r) for r in good] + [("bad", 0, *r) for r in bad], "piece_id string, genre int, axis string, value double, percentile int")
+
+    corpus = SimpleNamespace(genre_bands=spark.createDataFrame([("axis_banded", 0, 1.0, 3.0)], "axis string, genre int, p25 double, p75 double"))
+    cases = spark.createDataFrame([("good", "cont", 6), ("bad", "start", 0)], "piece_id string, type string, seam int")
+    copy = spark.createDataFrame([("good", 0.1), ("bad", 0.3)], "piece_id string, vs_corpus double")
+    rows = {r["piece_id"]: r for r in extend.measure(corpus, region, source, cases, profile(0), profile(1), copy).collect()}
+    checks = ("coheres", "nondegenerate", "novel", "boundary_ok", "length_ok", "verdict")
+    assert [rows["good"][c] for c in checks] == [True] * 6 and (rows["good"]["extremes"], rows["good"]["d_source"]) == (0, 10.7)
+    assert [rows["bad"][c] for c in checks] == [False] * 6 and (rows["bad"]["extremes"], rows["bad"]["bars"]) == (4, 5)
