@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
 
-from stavelake.operators import overlap
+from stavelake.operators import overlap, retrieval
 from stavelake.operators.blocks import BLOCK_VALUES, block_pairs, grid
 
 
@@ -55,3 +55,23 @@ def test_notes_without_a_place_match_nothing(spark):
     df = spark.createDataFrame(rows, "piece_id long, bar int, onb double, midi int")
     got = {r["piece_id"]: (r["song"], r["hits"], r["total"], r["bar_offset"]) for r in overlap.corpus_overlap(df, df).collect()}
     assert got == {1: (2, 1, 3, 3), 2: (1, 1, 3, -3)}
+
+
+def test_least_keeps_earlier_places_and_skips_what_is_not_finite():
+    d = np.array([[2.0, 1.0, 1.0, np.inf, 1.0], [np.inf, np.nan, 5.0, np.inf, np.inf]])
+    assert retrieval._least(d, 3).tolist() == [[1, 2, 4], [2, -1, -1]]
+
+
+def test_nearest_across_tiles(spark):
+    """More rows than a tile holds, with many equal distances."""
+    rng = np.random.default_rng(11)
+    n = retrieval.TILE_C + 200
+    vec = rng.integers(0, 3, (n, 4)).astype(float)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "key long, vec array<double>")
+    got = {}
+    for r in retrieval.nearest(df, df, 3).orderBy("key", "rank").collect():
+        got.setdefault(r["key"], []).append((r["dist"], r["neighbor"]))
+    for i in range(n):
+        d = np.round(np.abs(vec - vec[i]).mean(axis=1), 9)
+        d[i] = np.inf
+        assert got[i] == [(d[j], j) for j in np.lexsort((np.arange(n), d))[:3]]
