@@ -53,6 +53,23 @@ def test_families_are_kept_until_release(spark, star):
     assert not any(df.is_cached for df in fr.kept)
 
 
+def _persisted(spark):
+    return spark.sparkContext._jsc.getPersistentRDDs().size()
+
+
+def test_scored_regions_keep_nothing(spark, star):
+    """What the fingerprints of regions, contexts and windows kept is released once the scores are written."""
+    registry.forget()
+    spark.catalog.clearCache()
+    c, fr = registry.corpus_of(spark, star), registry.frames(spark, star)
+    before = _persisted(spark)
+    for context in (False, True):
+        assert regions.scored_regions(fr, c, context).count() > 0
+    assert regions.within_song_variation(fr, c).count() > 0
+    assert registry.region_fitness(spark, star).columns[:2] == ["piece_id", "type"]
+    assert _persisted(spark) == before
+
+
 @pytest.mark.parametrize("dims", [1, 2, 39])
 def test_sums_of_bytes(dims):
     rng = np.random.default_rng(dims)
