@@ -2,8 +2,9 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
-from stavelake.operators import axes, blocks, regions, retrieval
+from stavelake.operators import axes, blocks, dose, levers, regions, retrieval
 from stavelake.operators.frames import Frames
 from stavelake.plans import registry
 from stavelake.sources import tables
@@ -70,6 +71,27 @@ def test_scored_regions_keep_nothing(spark, star):
     assert _persisted(spark) == before
 
 
+def test_dose_study_in_groups_of_levers(spark, star, monkeypatch):
+    """One lever at a time gives the rows of all at once, and a lever's notes are gone before the next one's are made."""
+    some = ("har_chromaticism", "rhy_dur_cv", "within_song_variation")
+    monkeypatch.setattr(levers, "LEVERS", {k: levers.LEVERS[k] for k in some})
+    held, made = [], dose.variants
+    monkeypatch.setattr(dose, "variants", lambda *a, **k: held.append(_persisted(spark)) or made(*a, **k))
+    fr = registry.frames(spark, star)
+
+    def rows():
+        held.clear()
+        spark.catalog.clearCache()
+        variation = lambda f: f.pieces.select("piece_id", (F.length("piece_id") * 1.0).alias("wsv"))
+        return sorted(map(tuple, dose.study(fr, (0.0, 0.5), variation).collect()), key=repr), list(held)
+
+    whole, once = rows()
+    monkeypatch.setattr(dose, "STUDIED", 1)
+    single, thrice = rows()
+    assert single == whole and len(whole) > 0
+    assert len(once) == 2 and len(thrice) == 4 and len(set(thrice)) == 1
+
+
 @pytest.mark.parametrize("dims", [1, 2, 39])
 def test_sums_of_bytes(dims):
     rng = np.random.default_rng(dims)
