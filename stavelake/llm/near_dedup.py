@@ -1,7 +1,9 @@
 """Near-duplicates by exact similarity: components of the pairs whose sets of five-word shingles have Jaccard 0.8 or more.
 
-The pipeline's stage. Every text becomes the set of its shingle hashes; equal sets are collapsed. All shingles have one
-global order (see below), and two sets of similarity 0.8 must share a shingle within their first n - ceil(0.8 n) + 1
+The pipeline's stage. Every text becomes the set of its shingle hashes; equal sets are collapsed. The sets' SimHash
+fingerprints go through the vantage-point tree of ``simhash_dedup``; every set that it finds near others is verified against
+the least one of its component, on the whole sets. These are the first links. What no radius of bits covers surely follows
+by an exact join, which finds the links that are left. All shingles have one global order (see below), and two sets of similarity 0.8 must share a shingle within their first n - ceil(0.8 n) + 1
 ones, so grouping those prefixes by shingle brings every such pair together: no pair is lost to a radius or to hashing
 into bands. Each pair is then verified on the whole sets, with integers.
 
@@ -126,11 +128,11 @@ def dealt(tokens: np.ndarray, fp: int, hot: np.ndarray, deals: np.ndarray) -> np
 
 
 def prefixes(docs: DataFrame) -> DataFrame:
-    """Per document: doc_id, body (a hash of its text), fp (a hash of its set), n (the set's size), whole (its parities),
-    bits (these folded), tokens (its prefix) and deals (their tasks)."""
+    """Per document: doc_id, body (a hash of its text), fp (a hash of its set), sim (the set's SimHash), n (its size), whole
+    (its parities), bits (these folded), tokens (its prefix) and deals (their tasks)."""
     shared = docs.sparkSession.sparkContext.broadcast(frequent(docs))
 
-    @F.pandas_udf("fp long, n long, whole binary, bits binary, tokens array<long>, deals array<long>")
+    @F.pandas_udf("fp long, sim long, n long, whole binary, bits binary, tokens array<long>, deals array<long>")
     def made(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         hot, counts, deals = shared.value
         for batch in batches:
@@ -140,6 +142,7 @@ def prefixes(docs: DataFrame) -> DataFrame:
             whole = [parities(s) for s in found]
             yield pd.DataFrame({
                 "fp": np.array(fp, np.uint64).view(np.int64),
+                "sim": np.array([simhash_dedup.of_hashes(s) for s in found], np.int64),
                 "n": np.array([len(s) for s in found], np.int64),
                 "whole": pd.Series(whole, dtype=object),
                 "bits": pd.Series([folded(w, BITS if len(s) < LARGE else WIDE) for w, s in zip(whole, found)], dtype=object),
@@ -297,19 +300,38 @@ def verified(pairs: DataFrame, docs: DataFrame, homes: DataFrame) -> DataFrame:
     return cut(both.select(F.col("a").alias("u"), F.col("b").alias("v")))
 
 
+def tree_pairs(homes: DataFrame) -> DataFrame:
+    """Pairs (a, b): every set with the least set of its component under the SimHash tree, if their sizes allow similarity."""
+    sims = homes.select("fp", "n", "sim")
+    tree = components(simhash_dedup.links(cut(sims.select(F.col("sim").alias("fp")).distinct())))
+    placed = sims.join(tree, sims["sim"] == tree["node"], "left").select("fp", "n", F.coalesce("root", "sim").alias("group"))
+    heads = placed.groupBy("group").agg(F.min(F.struct("fp", "n")).alias("head"))
+    near = placed.join(heads, "group").where("fp <> head.fp AND 5 * least(n, head.n) >= 4 * greatest(n, head.n)")
+    return cut(near.select(F.col("head.fp").alias("a"), F.col("fp").alias("b")))
+
+
+def apart(pairs: DataFrame, rooted: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose sides are in different components."""
+    for side in "ab":
+        named = rooted.select(F.col("node").alias(side), F.col("root").alias(f"{side}_root"))
+        pairs = pairs.join(named, side, "left").withColumn(f"{side}_root", F.coalesce(f"{side}_root", side))
+    return pairs.where("a_root <> b_root").select("a", "b")
+
+
 def links(docs: DataFrame, slim: DataFrame) -> DataFrame:
     """Links (u, v) that span the components of the distinct sets; ``slim`` is ``prefixes(docs)``."""
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "body"))
-    homes = slim.groupBy("fp").agg(first.alias("f"), *(F.first(c).alias(c) for c in ("n", "bits", "whole")))
+    homes = slim.groupBy("fp").agg(first.alias("f"), *(F.first(c).alias(c) for c in ("sim", "n", "bits", "whole")))
     home = F.struct(F.col("f.doc_id").alias("first_doc"), F.col("f.body").alias("first_body")).alias("home")
-    homes = written(homes.select("fp", "n", "bits", "whole", home), "near-sets")
+    homes = written(homes.select("fp", "sim", "n", "bits", "whole", home), "near-sets")
+    found = verified(tree_pairs(homes), docs, homes)
     rows = slim.select("fp", "n", "deals", F.posexplode("tokens").alias("at", "token"))
     rows = rows.select("token", F.coalesce(F.get("deals", F.col("at")), F.lit(0)).alias("deal"), "fp", "n")
     shards = pieces(slim.agg(F.sum(F.size("tokens"))).first()[0] or 0, 1 << 19, 16)
     shared = cut(rows.repartition(shards, "token", "deal").mapInArrow(_shared, "token long, fp long, n long, head long, head_n long"))
     stars = shared.where("fp <> head AND 5 * least(n, head_n) >= 4 * greatest(n, head_n)")
     stars = stars.select(F.col("head").alias("a"), F.col("fp").alias("b"), F.col("head_n").alias("na"), F.col("n").alias("nb"), F.lit(1).alias("k"))
-    found = verified(cut(enough(stars)), docs, homes)
+    found = found.unionByName(verified(cut(apart(enough(stars), roots(found))), docs, homes))
     cells = unsettled(shared, roots(found)).join(homes.select("fp", "bits"), "fp").select(*_cells(), "fp", "n", "root", "bits")
     open_ = cut(cells.repartition(shards, "cell").mapInArrow(_candidates("rows"), "cell long, fp long, n long, root long, bits binary"))
     pair = "a long, b long, na long, nb long, k long"

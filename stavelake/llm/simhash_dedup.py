@@ -37,6 +37,20 @@ VANTAGE = 0x6A09E667F3BCC908
 _CHUNK = 1 << 15
 
 
+def _ones(hashed: np.ndarray) -> np.ndarray:
+    """How many of the hashes have each bit, the highest first."""
+    return np.unpackbits(hashed.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+
+
+def _majority(ones: np.ndarray, n: int) -> int:
+    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+
+
+def of_hashes(hashed: np.ndarray) -> int:
+    """SimHash of shingle hashes, as a signed 64-bit number; 0 of none."""
+    return _majority(sum((_ones(hashed[i : i + _CHUNK]) for i in range(0, len(hashed), _CHUNK)), np.zeros(64, np.int64)), len(hashed))
+
+
 def fingerprint(data: bytes) -> int:
     """SimHash of a text, as a signed 64-bit number."""
     words = data.lower().split()
@@ -47,9 +61,8 @@ def fingerprint(data: bytes) -> int:
     for start in range(0, n, _CHUNK):
         stop = min(n, start + _CHUNK)
         hashed = (xxhash.xxh64_intdigest(b" ".join(words[i : i + SHINGLE]), SEED) for i in range(start, stop))
-        values = np.fromiter(hashed, np.uint64, stop - start)
-        ones += np.unpackbits(values.astype(">u8").view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big", signed=True)
+        ones += _ones(np.fromiter(hashed, np.uint64, stop - start))
+    return _majority(ones, n)
 
 
 def fingerprints(text: Column) -> Column:

@@ -316,6 +316,23 @@ def test_pipeline_near_duplicates_match_brute_force(spark, documents, prose, mon
     assert {r["doc_id"]: r["first"]["doc_id"] for r in near_dedup.classes(df).collect()} == want
 
 
+def test_pipeline_near_duplicates_go_through_the_simhash_tree(spark, documents, prose, monkeypatch):
+    """Texts that the tree links are offered as pairs, and verified; the tree sees a fingerprint of every distinct set."""
+    import corpus_pipeline
+    from stavelake.llm import near_dedup
+
+    base = prose(9, 400).split()
+    docs = [(i, " ".join(base[:399] + [f"end{i}"]), "s") for i in range(6)] + [(10 + i, prose(20 + i), "s") for i in range(4)]
+    seen, verified = [], []
+    tree, verify = simhash_dedup.links, near_dedup.verified
+    monkeypatch.setattr(simhash_dedup, "links", lambda values: seen.append(values.count()) or tree(values))
+    monkeypatch.setattr(near_dedup, "verified", lambda pairs, *rest: verified.append(pairs.count()) or verify(pairs, *rest))
+    kept = corpus_pipeline.near_duplicates(spark, documents(docs), "")
+    assert sorted(r["doc_id"] for r in kept.collect()) == [0, 10, 11, 12, 13]
+    assert len(seen) == 1 and 4 < seen[0] <= 10
+    assert verified[0] > 0
+
+
 def test_near_duplicates_offer_a_row_per_component_not_per_pair():
     """Two components of many members under one shingle: a round offers few pairs, and bounds leave out unlike ones."""
     import numpy as np
