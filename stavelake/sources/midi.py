@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import struct
+from collections.abc import Iterable
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -147,18 +148,28 @@ def lanes(events: DataFrame) -> DataFrame:
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(["abs", "midi", "dur"])
-        ends, out = {}, []
-        for start, dur, note in zip(pdf["abs"], pdf["dur"], pdf["midi"]):
-            sounding = ends.setdefault(note, [])
-            lane = next((i for i, e in enumerate(sounding) if e <= start + 1e-9), len(sounding))
-            sounding[lane : lane + 1] = [start + max(dur, 1e-3)]
-            out.append(lane)
-        return pdf.assign(lane=out)
+        return pdf.assign(lane=_lanes(zip(pdf["abs"], pdf["midi"], pdf["dur"])))
 
     return events.groupBy("piece_id", "voice").applyInPandas(place, schema)
 
 
+def _lanes(notes: Iterable[tuple]) -> list[int]:
+    """The lane of each of a voice's notes (start, midi, dur, ...), which come in order."""
+    ends, out = {}, []
+    for start, note, dur, *_ in notes:
+        sounding = ends.setdefault(note, [])
+        lane = next((i for i, e in enumerate(sounding) if e <= start + 1e-9), len(sounding))
+        sounding[lane : lane + 1] = [start + max(dur, 1e-3)]
+        out.append(lane)
+    return out
+
+
+_SHORT = [bytes([n]) for n in range(128)]
+
+
 def _number(n: int) -> bytes:
+    if n < 128:
+        return _SHORT[n]
     out = bytes([n & 127])
     while n > 127:
         n >>= 7
@@ -167,26 +178,38 @@ def _number(n: int) -> bytes:
 
 
 def _chunk(events: list[tuple[int, bytes]]) -> bytes:
-    body, last = b"", 0
+    parts, last = [], 0
     for tick, data in sorted(events, key=lambda e: (e[0], e[1][0] >> 4 == 9)):
-        body, last = body + _number(tick - last) + data, tick
-    body += b"\x00\xff\x2f\x00"
+        parts += _number(tick - last), data
+        last = tick
+    body = b"".join((*parts, b"\x00\xff\x2f\x00"))
     return b"MTrk" + struct.pack(">I", len(body)) + body
 
 
+def _missing(value: object) -> bool:
+    return value is None or value != value
+
+
 def write_bytes(notes: pd.DataFrame, bpm: float) -> bytes:
-    """A format-1 file: tempo track, then one track per voice lane; pitch and velocity are clamped."""
+    """A format-1 file of a piece's notes: tempo track, then one track per voice lane; pitch and velocity are clamped."""
     tracks = [_chunk([(0, b"\xff\x51\x03" + struct.pack(">I", int(60_000_000 / bpm))[1:])])]
+    voices, parts = {}, {}
+    cols = ("abs", "midi", "dur", "vel", "voice", "voice_ix", "is_drum", "program")
+    for row in sorted(zip(*(notes[c].tolist() for c in cols)), key=lambda r: r[:3]):
+        voices.setdefault(row[4], []).append(row)
+    for voice, rows in voices.items():
+        for row, lane in zip(rows, _lanes(rows)):
+            last = _missing(row[5])
+            parts.setdefault((last, 0 if last else row[5], voice, lane), []).append(row)
     channel = 0
-    for (_, voice, _), part in notes.groupby(["voice_ix", "voice", "lane"], dropna=False, sort=True):
-        drum = bool(part["is_drum"].iloc[0])
+    for (_, _, voice, _), part in sorted(parts.items(), key=lambda p: p[0]):
+        drum, program = bool(part[0][6]), part[0][7]
         ch = 9 if drum else channel % 15 + (channel % 15 >= 9)
         channel += not drum
         name = voice.encode()
-        program = part["program"].iloc[0]
-        events = [(0, b"\xff\x03" + _number(len(name)) + name), (0, bytes([0xC0 | ch, 0 if pd.isna(program) else int(program) & 127]))]
-        for start, dur, midi, vel in zip(part["abs"], part["dur"], part["midi"], part["vel"]):
-            p, v = min(127, max(0, int(midi))), min(127, max(1, 80 if pd.isna(vel) else int(vel)))
+        events = [(0, b"\xff\x03" + _number(len(name)) + name), (0, bytes([0xC0 | ch, 0 if _missing(program) else int(program) & 127]))]
+        for start, midi, dur, vel, *_ in part:
+            p, v = min(127, max(0, int(midi))), min(127, max(1, 80 if _missing(vel) else int(vel)))
             on, off = round(start * TICKS), round((start + max(dur, 1e-3)) * TICKS)
             events += [(on, bytes([0x90 | ch, p, v])), (max(off, on + 1), bytes([0x80 | ch, p, 0]))]
         tracks.append(_chunk(events))
@@ -194,11 +217,10 @@ def write_bytes(notes: pd.DataFrame, bpm: float) -> bytes:
 
 
 def encode(events: DataFrame, bpm: float = 100.0) -> DataFrame:
-    """(piece_id, content): one file per piece, from its distinct notes."""
+    """(piece_id, content): one file per piece, from its distinct notes. A piece is one group; its voices and lanes are parted there."""
     cols = ["piece_id", "voice", "voice_ix", "is_drum", "program", "abs", "dur", "midi", "vel"]
-    laned = lanes(events.select(*cols).distinct())
     kind = dict(events.dtypes)["piece_id"]
-    return laned.groupBy("piece_id").applyInPandas(
+    return events.select(*cols).distinct().groupBy("piece_id").applyInPandas(
         lambda key, pdf: pd.DataFrame({"piece_id": [key[0]], "content": [write_bytes(pdf, bpm)]}), f"piece_id {kind}, content binary"
     )
 
