@@ -26,6 +26,15 @@ def wide(profile: DataFrame, axes: tuple[str, ...], keep: tuple[str, ...] = ("pi
 MAX_ITERATIONS = 3000
 
 
+#: Rows of a task at least. A fit takes up to thousands of passes over the rows, so tasks of a few rows would cost more than the rows.
+FIT_ROWS = 1 << 12
+
+
+def fit_parts(rows: int, own: int, cores: int) -> int:
+    """Over how many of its ``own`` partitions a fit reads its rows: as many as the rows ask for, no more than twice the cores."""
+    return max(1, min(own, 2 * cores, -(-rows // FIT_ROWS)))
+
+
 class GenreModel:
     """A fitted classifier with its class order."""
 
@@ -45,6 +54,7 @@ class GenreModel:
         weight = F.create_map(*[F.lit(x) for r in rows for x in (r["genre"], n / (len(rows) * r["n_g"]))])
         label = F.create_map(*[F.lit(x) for i, g in enumerate(classes) for x in (g, float(i))])
         data = features.withColumns({"label": F.element_at(label, F.col("genre")), "weight": F.element_at(weight, F.col("genre"))})
+        data = data.coalesce(fit_parts(n, data.rdd.getNumPartitions(), data.sparkSession.sparkContext.defaultParallelism))
         stages = [VectorAssembler(inputCols=list(axes), outputCol="raw")]
         if standardize:
             stages.append(StandardScaler(inputCol="raw", outputCol="features", withMean=True, withStd=True))
