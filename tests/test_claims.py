@@ -45,3 +45,18 @@ def test_parallel_voices(spark):
     got = {tuple(r)[:3]: r["ever"] for r in claims.parallel_pairs(Frames(notes(spark, NOTES), pieces), asked).collect()}
     # A voice that moves is parallel to itself; voices without a shared onset have no row.
     assert got == {(2, "V1", "V2"): True, (2, "V2", "V1"): True, (2, "V1", "V3"): False, (2, "V1", "V1"): True}
+
+
+def test_intervals_leave_dealt_notes_where_they_are(spark):
+    """Notes, instants and sounding pairs were dealt anew by bar, instant and voice, ten times and more in all."""
+    dealt = notes(spark, NOTES).repartition(3, "piece_id")
+    found = lookups.voice_intervals(dealt)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Join" not in plan
+    ever = {(r["piece_id"], r["voice_a"], r["voice_b"], r["semis"]): r["n"] for r in found.collect()}
+    for p, a, b, s in product((1, 2), (1, 2, 3), (1, 2, 3), range(30)):
+        assert ((p, f"V{a}", f"V{b}", s) in ever) == (a < b and brute(p, a, b, s))
+    assert ever[2, "V1", "V2", 10] == 2
+    asked = spark.createDataFrame([(1, "V1", "V2", 7)], "piece_id long, voice_a string, voice_b string, semis int")
+    plan = lookups.ever_interval(dealt, asked)._jdf.queryExecution().executedPlan().toString()
+    assert "voice" not in "".join(line for line in plan.splitlines() if "hashpartitioning" in line and "REPARTITION" not in line).split("hashpartitioning", 1)[-1].split("voice_a")[0]
