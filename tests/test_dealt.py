@@ -71,6 +71,34 @@ def test_scored_regions_keep_nothing(spark, star):
     assert _persisted(spark) == before
 
 
+def test_regions_of_one_type_stay_where_their_pieces_are(spark, star):
+    """Regions and contexts, three times the notes, were dealt anew by their own ids."""
+    fr = registry.frames(spark, star)
+    both = {False: regions.gap_regions(fr), True: regions.gap_regions(fr, context=True)}
+    cols = [c for c in both[False].events.columns if c != "piece_id"]
+    parts = regions.by_type(fr)
+    for context, whole in both.items():
+        events = [p[context].events.withColumn("piece_id", F.concat_ws("|", "piece_id", F.lit(t))) for p, t in zip(parts, regions.CUTS)]
+        pieces = regions.all_types(p[context].pieces.select("piece_id", "source_id", "type", "genre", "n_bars") for p in parts)
+        got = sorted(map(repr, (r for e in events for r in e.select("piece_id", *cols).collect())))
+        assert got == sorted(map(repr, whole.events.select("piece_id", *cols).collect())) and len(got) > 0
+        assert sorted(map(repr, pieces.collect())) == sorted(map(repr, whole.pieces.select(*pieces.columns).collect()))
+        for p in parts:
+            grouped = p[context].events.groupBy("piece_id", "voice", "abs").count()._jdf.queryExecution().executedPlan().toString()
+            assert "Exchange hashpartitioning" not in grouped.split("InMemoryRelation")[0]
+    fr.release()
+
+
+def test_claims_and_corpus_keep_nothing(spark, star):
+    """Notes were dealt again for every level of a fingerprint and every kind of claim; now they are kept, and released."""
+    registry.forget()
+    spark.catalog.clearCache()
+    before = _persisted(spark)
+    registry.corpus_of(spark, star)
+    assert registry.claim_grades(spark, star).count() > 0
+    assert _persisted(spark) == before
+
+
 def test_dose_study_in_groups_of_levers(spark, star, monkeypatch):
     """One lever at a time gives the rows of all at once, and a lever's notes are gone before the next one's are made."""
     some = ("har_chromaticism", "rhy_dur_cv", "within_song_variation")
